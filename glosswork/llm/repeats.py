@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernel, shared
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -59,6 +59,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__ord": order, "__rid": F.xxhash64(order, "text")})
 
 
+def split_runs(row, pos):
+    """Runs of entries of one row and one stretch of 65,536 places: (first entries, lengths, the
+    places' upper halves by run, their lower halves by entry)."""
+    start, count = shared.runs((row.astype(np.int64) << 16) | (pos >> 16))
+    return start, count.astype(np.uint32), (pos[start] >> 16).astype(np.uint32), (pos & 0xFFFF).astype(np.uint16)
+
+
+def joined(high, count, low):
+    return (np.repeat(high, count) << np.uint32(16)) | low
+
+
 def returned(rid, pos, n, keys):
     """Blocks of (row, places) dealt by row."""
     order = np.argsort(rid, kind="stable")
@@ -66,17 +77,17 @@ def returned(rid, pos, n, keys):
     part = shared.part_of(kernel.mix(rid.view(kernel.U)), n)
     parts, blocks = [], []
     for p, (r, q) in shared.pack(part, [rid, pos], n):
-        at, count = shared.runs(r)
+        at, count, high, low = split_runs(shared.dense(r), q)
         parts.append(keys[p])
-        blocks.append(shared.block([r[at], count.astype(np.uint32), q]))
+        blocks.append(shared.block([r[at], count, high, low]))
     return shared.packed_batch(parts, blocks)
 
 
 def collected(blocks):
     """(row, place) of returned blocks, sorted."""
-    got = [shared.unblock(b, (np.int64, np.uint32, np.uint32)) for b in blocks]
-    rid = np.concatenate([np.repeat(r, c) for r, c, _ in got])
-    pos = np.concatenate([q for _, _, q in got])
+    got = [shared.unblock(b, (np.int64, np.uint32, np.uint32, np.uint16)) for b in blocks]
+    rid = np.concatenate([np.repeat(r, c) for r, c, _, _ in got])
+    pos = np.concatenate([joined(h, c, q) for _, c, h, q in got])
     order = np.lexsort((pos, rid))
     return rid[order], pos[order]
 
@@ -134,17 +145,17 @@ def earlier(docs: DataFrame, unit, width: int, v: int, cover, across_only: bool,
             rid = batch.column("__rid").to_numpy()
             parts, blocks = [], []
             for p, (k, r, q) in shared.pack(shared.part_of(h, n), [(h & kernel.U(0xFFFFFFFF)).astype(np.uint32), row.astype(np.int32), place[at].astype(np.uint32)], n):
-                start, count = shared.runs(r)
+                start, count, high, low = split_runs(r, q)
                 parts.append(keys[p])
-                blocks.append(shared.block([rid[r[start]], count.astype(np.uint32), k, q]))
+                blocks.append(shared.block([rid[r[start]], count, high, k, low]))
             yield shared.packed_batch(parts, blocks)
 
     def company(batches):
         for _, blocks in shared.by_part(batches):
-            got = [shared.unblock(b, (np.int64, np.uint32, np.uint32, np.uint32)) for b in blocks]
-            rid = np.concatenate([np.repeat(r, c) for r, c, _, _ in got])
-            key = np.concatenate([k for _, _, k, _ in got])
-            pos = np.concatenate([q for _, _, _, q in got])
+            got = [shared.unblock(b, (np.int64, np.uint32, np.uint32, np.uint32, np.uint16)) for b in blocks]
+            rid = np.concatenate([np.repeat(r, c) for r, c, _, _, _ in got])
+            key = np.concatenate([g[3] for g in got])
+            pos = np.concatenate([joined(h, c, q) for _, c, h, _, q in got])
             packed = np.sort((key.astype(kernel.U) << kernel.U(32)) | np.arange(len(key), dtype=kernel.U))
             order, key = (packed & kernel.U(0xFFFFFFFF)).astype(np.int64), packed >> kernel.U(32)
             del packed, got
@@ -163,12 +174,13 @@ def earlier(docs: DataFrame, unit, width: int, v: int, cover, across_only: bool,
                 kept.sort()
                 yield returned(rid[kept], pos[kept], n, keys)
 
-    packed = texts.select("__rid", "text").mapInArrow(anchors, shared.PACKED)
-    flagged = shared.dealt(packed, n).mapInArrow(company, shared.PACKED)
-    flags = shared.written(by_row(flagged, n, False))
+    def exchanged(df, send, receive):
+        return shared.dealt(df.mapInArrow(send, shared.PACKED), n).mapInArrow(receive, shared.PACKED)
+
+    # no name holds a frame whose shuffles are done, so that release() can drop their files
+    flags = shared.written(by_row(exchanged(texts.select("__rid", "text"), anchors, company), n, False))
     shared.release(spark)
-    some = texts.join(flags, "__rid").dropDuplicates(["__rid"])
-    some = shared.written(some)
+    some = shared.written(texts.join(flags, "__rid").dropDuplicates(["__rid"]))
     shared.release(spark)
 
     def windows(bucket):
@@ -195,20 +207,20 @@ def earlier(docs: DataFrame, unit, width: int, v: int, cover, across_only: bool,
                 rid, order = batch.column("__rid").to_numpy(), batch.column("__ord").to_numpy()
                 parts, blocks = [], []
                 for p, (k, r, q) in shared.pack(shared.part_of(h, n), [h, row.astype(np.int32), place[at].astype(np.uint32)], n):
-                    start, count = shared.runs(r)
+                    start, count, high, low = split_runs(r, q)
                     parts.append(keys[p])
-                    blocks.append(shared.block([rid[r[start]], order[r[start]], count.astype(np.uint32), k, q]))
+                    blocks.append(shared.block([rid[r[start]], order[r[start]], count, high, k, low]))
                 yield shared.packed_batch(parts, blocks)
 
         return run
 
     def later(batches):
         for _, blocks in shared.by_part(batches):
-            got = [shared.unblock(b, (np.int64, np.int64, np.uint32, kernel.U, np.uint32)) for b in blocks]
-            rid = np.concatenate([np.repeat(r, c) for r, _, c, _, _ in got])
-            ord_ = np.concatenate([np.repeat(o, c) for _, o, c, _, _ in got])
-            key = np.concatenate([g[3] for g in got])
-            pos = np.concatenate([g[4] for g in got])
+            got = [shared.unblock(b, (np.int64, np.int64, np.uint32, np.uint32, kernel.U, np.uint16)) for b in blocks]
+            rid = np.concatenate([np.repeat(g[0], g[2]) for g in got])
+            ord_ = np.concatenate([np.repeat(g[1], g[2]) for g in got])
+            key = np.concatenate([g[4] for g in got])
+            pos = np.concatenate([joined(g[3], g[2], g[5]) for g in got])
             del got
             order = np.argsort(key, kind="stable")
             key, rid, ord_ = key[order], rid[order], ord_[order]
@@ -224,9 +236,7 @@ def earlier(docs: DataFrame, unit, width: int, v: int, cover, across_only: bool,
 
     found = None
     for b in range(buckets):
-        packed = some.mapInArrow(windows(b), shared.PACKED)
-        part = shared.dealt(shared.dealt(packed, n).mapInArrow(later, shared.PACKED), n)
-        part = shared.written(by_row(part, n, True))
+        part = shared.written(by_row(exchanged(some, windows(b), later), n, True))
         found = part if found is None else found.unionByName(part)
         shared.release(spark)
     return found.groupBy("__rid").agg(F.collect_list("__places").alias("__starts"))

@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of an Arrow batch: whole documents go to Python, so batches are kept small.
-ARROW_ROWS = 1000
+ARROW_ROWS = 200
 
 
 def settle(spark: SparkSession) -> None:
@@ -40,16 +40,19 @@ def written(df: DataFrame) -> DataFrame:
     """Computes df once into a Parquet table of the shared folder; for wide rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished jobs."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -113,6 +116,11 @@ def runs(x):
     return start, np.diff(np.append(start, len(x)))
 
 
+def dense(x):
+    """Numbers of the runs of equal values."""
+    return np.cumsum(np.append(False, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
 def block(arrays):
     """bytes: the length of every array, then the arrays."""
     return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
@@ -138,6 +146,9 @@ def dealt(df: DataFrame, n: int) -> DataFrame:
 
 def by_part(batches):
     """The blocks of a task, by part."""
+    from . import kernel
+
+    kernel.lean()
     held: dict[int, list] = {}
     for batch in batches:
         for p, b in zip(batch.column(0).to_pylist(), batch.column(1)):
