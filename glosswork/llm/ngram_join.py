@@ -42,7 +42,7 @@ SMALL = 6
 PIVOTS = 32
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 16
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def sets(array, width=SHINGLE):
@@ -214,8 +214,23 @@ def cells(texts: DataFrame) -> DataFrame:
     return shared.dealt(packed, n_parts).mapInArrow(grouped, "a long, b long, members binary")
 
 
+def narrow(values):
+    """A set as bytes, 48 bits of each hash: two sets of a thousand agree by chance in one hash
+    with probability 4e-9."""
+    values = values >> kernel.U(16)
+    return shared.block([(values >> kernel.U(16)).astype(np.uint32), (values & kernel.U(0xFFFF)).astype(np.uint16)])
+
+
+def wide(data):
+    high, low = shared.unblock(data, (np.uint32, np.uint16))
+    return (high.astype(kernel.U) << kernel.U(16)) | low
+
+
 def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     """(a, b, common, total): exact intersections and unions of the pairs' sets."""
+    pairs = shared.cut(pairs)
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    shingles = shingles.join(nodes, "node", "left_semi")
     left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
 
@@ -223,7 +238,7 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
         for batch in batches:
             common, total = [], []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), kernel.U), np.frombuffer(y.as_py(), kernel.U)
+                x, y = wide(x.as_py()), wide(y.as_py())
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
                 common.append(int((x[at] == y).sum()))
@@ -349,13 +364,14 @@ def join(docs: DataFrame) -> DataFrame:
             values, offsets = sets(batch.column("text"))
             mine = fingerprints(values, offsets) == batch.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), kernel.binary([values[i:j].tobytes() for i, j in zip(offsets, offsets[1:])])], ["node", "shingles"]
+                [batch.column("node"), kernel.binary([narrow(values[i:j]) for i, j in zip(offsets, offsets[1:])])], ["node", "shingles"]
             ).filter(pa.array(mine))  # ids may repeat with other texts
 
-    shingles = texts.join(wanted, "doc_id").select("node", "text").mapInArrow(shingled, "node long, shingles binary")
-    shingles = shared.written(shingles.dropDuplicates(["node"]))
+    once = texts.join(wanted, "doc_id").dropDuplicates(["doc_id", "node", "text"])  # no new exchange: it is by doc_id
+    shingles = shared.written(once.select("node", "text").mapInArrow(shingled, "node long, shingles binary"))
     shared.release(spark)
     checked = shared.cut(verified(pairs, shingles))
+    shared.release(spark)
     links = checked.where("common * 100 >= total * 80").select("a", "b")
     comp = shared.cut(shared.components(links))
     pivots = PIVOTS
@@ -369,6 +385,7 @@ def join(docs: DataFrame) -> DataFrame:
         fresh = more.where("a is not null").select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         opened = shared.cut(unpacked(more.where("members is not null").select("members")))
         fresh = shared.cut(verified(fresh, shingles))
+        shared.release(spark)
         checked = checked.unionByName(fresh)
         new = fresh.where("common * 100 >= total * 80").select("a", "b")
         if new.limit(1).count():
