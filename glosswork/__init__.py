@@ -1,3 +1,12 @@
-"""Transcript theme analytics on Spark."""
+"""Transcript theme analytics on Spark.
+
+Functions that run in Python workers are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
 
 __version__ = "1.0.0"
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
