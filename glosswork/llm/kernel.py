@@ -24,6 +24,22 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_lean = False
+
+
+def lean():
+    """Lets the C library give large arrays' memory back to the system as soon as they go."""
+    global _lean
+    if not _lean:
+        import ctypes
+
+        try:
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        except (OSError, AttributeError):
+            pass
+        _lean = True
+
+
 def mix(x):
     """Finaliser: spreads every bit of a uint64 array over all bits."""
     x = (x ^ (x >> U(30))) * U(MUL_B)
@@ -78,16 +94,33 @@ def text_buffer(array):
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches, column, most):
-    """Slices of the batches with at most `most` text bytes each, or one row."""
+def chunks(batches, column, most, trim=True):
+    """The batches' rows in pieces of about `most` text bytes: small batches together, large ones
+    cut; a row of more bytes is a piece of its own."""
+    if trim:
+        lean()
+    held, size = [], 0
     for batch in batches:
-        array = batch.column(column)
-        _, offsets = text_buffer(array)
+        _, offsets = text_buffer(batch.column(column))
         at = 0
-        while at < len(array):
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-            yield batch.slice(at, to - at)
+        while at < batch.num_rows:
+            to = int(np.searchsorted(offsets, offsets[at] + most - size, "right")) - 1
+            if to <= at and held:
+                to = at
+            else:
+                to = max(to, at + 1)
+                held.append(batch.slice(at, to - at))
+                size += int(offsets[to] - offsets[at])
+            if to < batch.num_rows:
+                yield whole(held)
+                held, size = [], 0
             at = to
+    if held:
+        yield whole(held)
+
+
+def whole(batches):
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
 
 
 class Words:
