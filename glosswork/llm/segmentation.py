@@ -28,6 +28,8 @@ from . import kernel, shared
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 20
+#: Edges of the lattices that a task keeps for chunks that come again; about 100 MB.
+KEPT_EDGES = 6_000_000
 FILTER_BITS = 19
 
 
@@ -118,7 +120,7 @@ class Lattice:
         degree[node[bytewise] + 1] += 1
         for k, at, _ in found:
             degree[node[at] + k] += 1
-        self.off = np.concatenate([[0], np.cumsum(degree)])[:-1]
+        self.off = np.cumsum(degree) - degree
         edges = int(degree.sum())
         self.source, self.piece, weight = np.zeros(edges, np.int32), np.zeros(edges, np.int32), np.zeros(edges)
         fill = self.off.copy()
@@ -160,7 +162,52 @@ class Lattice:
         self.degree = degree
 
 
-def encode_rows(array, keys, voc, seed):
+class Lattices:
+    """Lattices of the distinct chunks met so far; forgets all of them beyond KEPT_EDGES."""
+
+    PARTS = {"source": np.int32, "piece": np.int32, "cum": np.float32, "off": np.int32, "degree": np.int32, "first": np.int32, "last": np.int32}
+
+    def __init__(self, voc):
+        self.voc = voc
+        self.forget()
+
+    def forget(self):
+        self.hash, self.place = np.zeros(0, kernel.U), np.zeros(0, np.int64)
+        self.size = dict.fromkeys(self.PARTS, 0)
+        for name, kind in self.PARTS.items():
+            setattr(self, name, np.zeros(1 << 12, kind))
+
+    def append(self, name, values):
+        have, n = getattr(self, name), self.size[name]
+        if n + len(values) > len(have):
+            more = np.empty(max(2 * len(have), n + len(values)), have.dtype)
+            more[:n] = have[:n]
+            setattr(self, name, more)
+            have = more
+        have[n : n + len(values)] = values
+        self.size[name] = n + len(values)
+
+    def places(self, h, data, start, length):
+        """Numbers of the chunks with these distinct hashes; unknown ones are filtered and kept."""
+        if self.size["source"] > KEPT_EDGES:
+            self.forget()
+        at = np.searchsorted(self.hash, h)
+        at[at == len(self.hash)] = 0
+        known = self.hash[at] == h if len(self.hash) else np.zeros(len(h), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            own = Lattice(data[gather(start[new], length[new])], length[new], self.voc)
+            count, nodes, edges = self.size["first"], self.size["off"], self.size["source"]
+            for name, shift in (("source", nodes), ("piece", 0), ("cum", 0), ("off", edges), ("degree", 0), ("first", nodes), ("last", nodes)):
+                self.append(name, getattr(own, name) + shift)
+            both = np.concatenate([self.hash, h[new]])
+            order = np.argsort(both, kind="stable")
+            self.hash, self.place = both[order], np.concatenate([self.place, count + np.arange(len(new))])[order]
+            at = np.searchsorted(self.hash, h)
+        return self.place[at]
+
+
+def encode_rows(array, keys, lattice, seed):
     """(pieces of all rows, offsets of rows): one draw per row."""
     data, offsets = kernel.text_buffer(array)
     n = len(data)
@@ -174,13 +221,14 @@ def encode_rows(array, keys, voc, seed):
     length = np.diff(np.append(start, n))
     sums = kernel.prefix(data.astype(kernel.U) + kernel.U(1), kernel.BASE_BYTES)
     h = kernel.ranges(sums, start, start + length, kernel.BASE_BYTES)
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    lattice = Lattice(data[gather(start[first], length[first])], length[first], voc)
+    distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+    which = lattice.places(distinct, data, start[first], length[first])[which]
     rows = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(len(array)), np.diff(rows))
     nth = np.arange(len(start)) - rows[row]
     base = kernel.mix(keys[row] + kernel.mix(nth.astype(kernel.U) + kernel.U(seed)))
-    node, todo, steps = lattice.last[which], np.arange(len(start)), []
+    node, first = lattice.last[which], lattice.first[which]
+    todo, steps = np.arange(len(start)), []
     while len(todo):
         u = (kernel.mix(base[todo] + kernel.U(((len(steps) + 1) * kernel.MUL_A) & kernel.MASK)) >> kernel.U(11)).astype(np.float64) * 2.0**-53
         here = node[todo]
@@ -192,7 +240,7 @@ def encode_rows(array, keys, voc, seed):
             going = going[(lattice.cum[s] <= u[going]) & (s < last[going])]
         steps.append((todo, lattice.piece[slot]))
         node[todo] = lattice.source[slot]
-        todo = todo[node[todo] != lattice.first[which[todo]]]
+        todo = todo[node[todo] != first[todo]]
     count = np.zeros(len(start), np.int64)
     for todo, _ in steps:
         count[todo] += 1
@@ -224,10 +272,11 @@ def encode(docs: DataFrame, path=MODEL, seed=0, sharpness=1.0, key="doc_id", che
 
     def run(batches):
         voc = sent.value
-        for batch in kernel.chunks(batches, "text", CHUNK):
+        lattices = Lattices(voc)
+        for batch in kernel.chunks(batches, "text", CHUNK, trim=False):
             text = batch.column("text")
             keys = batch.column("__key").to_numpy(zero_copy_only=False).astype(np.int64).view(kernel.U)
-            pieces, offsets = encode_rows(text, keys, voc, seed)
+            pieces, offsets = encode_rows(text, keys, lattices, seed)
             null = text.is_null()
             mask = null.to_numpy(zero_copy_only=False)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(pieces), mask=null if null.true_count else None)
