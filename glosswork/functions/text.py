@@ -58,6 +58,11 @@ def is_stopword(t: Column) -> Column:
     return t.isin(*STOPWORDS)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f's lambdas use it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def grams(tokens: Column, n: int, by: str) -> Column:
     """Array of the runs of n tokens, joined."""
     starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
@@ -66,8 +71,7 @@ def grams(tokens: Column, n: int, by: str) -> Column:
 
 def vector_terms(c: Column) -> Column:
     """Content words and their runs of two and three; repeats stay."""
-    tokens = content_words(c)
-    return F.concat(tokens, grams(tokens, 2, "_"), grams(tokens, 3, "_"))
+    return bound(content_words(c), lambda t: F.concat(t, grams(t, 2, "_"), grams(t, 3, "_")))
 
 
 def python_words(text: str, keep_stopwords=False) -> list[str]:

@@ -38,6 +38,11 @@ def segment_array(text):
             lambda i: (at(i) != "") & ((F.regexp_extract(at(i), tx.SPEAKER, 2) != "") | (i == 1) | (at(F.greatest(i - 1, F.lit(1))) == "")),
         )
 
+        return tx.bound(start, lambda starts: turns(all_lines, starts))
+
+    def turns(all_lines, start):
+        at = lambda i: F.element_at(all_lines, i)
+
         def turn(i, k):
             after = F.coalesce(F.get(start, k + 1), F.size(all_lines) + 1)
             said = F.regexp_extract(at(i), tx.SPEAKER, 2)
@@ -52,8 +57,7 @@ def segment_array(text):
 
         return F.filter(F.transform(start, turn), lambda s: s["text"] != "")
 
-    # the lines are bound once, so that every use below is a lookup
-    return F.element_at(F.transform(F.array(lines), build), 1)
+    return tx.bound(lines, build)
 
 
 def segments(documents: DataFrame) -> DataFrame:
