@@ -16,7 +16,7 @@ therefore made in two levels.
    Voronoi region (members within 0.2) is one component with it; what remains are pairs of members
    of different components, and by the triangle inequality only those whose distances to the pivot
    differ by 0.2 at most.  Small remainders are compared in full; in large ones further pivots are
-   taken, in rounds, until no such pair is left.  So no pair that could link is left out, and a
+   taken, in rounds, until no such pair is left.  Sketches of the sets rule out most pairs first.  So no pair that could link is left out, and a
    group of m near copies costs about m comparisons, not m * m.
 
 Links become components by shared.components.
@@ -40,6 +40,9 @@ SHINGLE = 5
 SMALL = 6
 #: Pivots that a large cell takes in its first round; each round takes twice as many as the last.
 PIVOTS = 32
+#: Cells of more members than this take pivots before all their pairs are looked at.
+LARGE = 8192
+BUCKETS = 192
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 16
 CHUNK = 1 << 20
@@ -102,13 +105,18 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
             values, _ = sets(batch.column("text"))
             total += np.bincount((values >> kernel.U(64 - SKETCH_BITS)).astype(np.int64), minlength=size).astype(np.uint32)
         if total.any():
-            yield shared.packed_batch(keys.tolist(), [b.tobytes() for b in np.split(total, SKETCH_BLOCKS)])
+            parts = []
+            for b in np.split(total, SKETCH_BLOCKS):  # only the counters in use; very large counts alike
+                at = np.flatnonzero(b)
+                parts.append(shared.block([at.astype(np.uint32), np.minimum(b[at], 65535).astype(np.uint16)]))
+            yield shared.packed_batch(keys.tolist(), parts)
 
     def add(batches):
         total = {}
         for batch in batches:
             for p, b in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total[p] = total.get(p, 0) + np.frombuffer(b.as_py(), np.uint32).astype(np.uint64)
+                at, n = shared.unblock(b.as_py(), (np.uint32, np.uint16))
+                total.setdefault(p, np.zeros(size // SKETCH_BLOCKS, np.uint64))[at] += n
         if total:
             yield shared.packed_batch(list(total), [np.log2(t + 1.0).astype(np.uint8).tobytes() for t in total.values()])
 
@@ -226,6 +234,34 @@ def wide(data):
     return (high.astype(kernel.U) << kernel.U(16)) | low
 
 
+def sketched(values):
+    """Counts of a set's hashes in BUCKETS buckets.  The sum of two sketches' minima bounds the
+    intersection from above, so a pair that it rules out has no link."""
+    at = ((values >> kernel.U(32)) * kernel.U(BUCKETS)) >> kernel.U(32)
+    return np.minimum(np.bincount(at.astype(np.int64), minlength=BUCKETS), 65535).astype(np.uint16)
+
+
+def possible(x, y):
+    """Whether pairs of sketches (broadcast against each other) can reach the similarity."""
+    common = np.minimum(x, y).sum(axis=-1, dtype=np.int64)
+    total = x.sum(axis=-1, dtype=np.int64) + y.sum(axis=-1, dtype=np.int64) - common
+    full = (x.max(axis=-1) == 65535) | (y.max(axis=-1) == 65535)
+    return (common * 100 >= total * 80) | full
+
+
+def promising(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The pairs whose sketches don't rule them out."""
+    left = shingles.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
+    right = shingles.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("x", "y"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(possible(x, y)))
+
+    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     """(a, b, common, total): exact intersections and unions of the pairs' sets."""
     pairs = shared.cut(pairs)
@@ -245,7 +281,7 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
                 total.append(len(x) + len(y) - common[-1])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, total long")
+    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, total long")
 
 
 def remaining(batches, pivots):
@@ -257,31 +293,35 @@ def remaining(batches, pivots):
 
     def one(cell, table):
         node, size, comp, d, turn = (table.column(c).to_numpy() for c in ("member", "n", "comp", "d", "turn"))
+        if len(np.unique(comp)) < 2:
+            return
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
         pivot = node[turn == 0]
         rest = turn != 0
-        node, size, comp, d, turn = node[rest], size[rest], comp[rest], np.nan_to_num(d[rest], nan=2.0), turn[rest]
+        node, size, comp, d, turn, sketch = node[rest], size[rest], comp[rest], np.nan_to_num(d[rest], nan=2.0), turn[rest], sketch[rest]
         if len(np.unique(comp)) < 2:
             return
-        # distance 2: sizes too different from the pivot's to link, distance not computed
+        # distance 2: ruled out by size or sketch, so it wasn't computed
         order = np.argsort(d, kind="stable")
-        node, size, comp, d, turn = (x[order] for x in (node, size, comp, d, turn))
+        node, size, comp, d, turn, sketch = (x[order] for x in (node, size, comp, d, turn, sketch))
         known = d < 1.5
         reach = np.searchsorted(d, d + 0.2 + 1e-9, "right")
         reach = np.where(known, np.maximum(reach, 0), len(d))
         unknown = int(np.searchsorted(d, 1.5))
         a, b, most = [], [], pivots * len(node)
         pairs = 0
-        for i in range(len(node)):
+        for i in range(len(node) if len(node) <= LARGE else 0):
             j = np.arange(i + 1, reach[i])
             if known[i] and unknown < len(d):
                 j = np.concatenate([j[j < unknown], np.arange(max(unknown, i + 1), len(d))])
             j = j[(comp[j] != comp[i]) & close(size[j], size[i])]
+            j = j[possible(sketch[i], sketch[j])]
             a.append(np.full(len(j), node[i]))
             b.append(node[j])
             pairs += len(j)
             if pairs > most:
                 break
-        else:
+        if len(node) <= LARGE and pairs <= most:
             if pairs:
                 yield "pairs", np.concatenate(a), np.concatenate(b)
             return
@@ -290,6 +330,7 @@ def remaining(batches, pivots):
         a, b = [], []
         for i in by_turn[:pivots]:
             j = np.flatnonzero((comp != comp[i]) & close(size, size[i]))
+            j = j[possible(sketch[i], sketch[j])]
             a.append(np.full(len(j), node[i]))
             b.append(node[j])
         yield "pairs", np.concatenate(a), np.concatenate(b)
@@ -364,13 +405,18 @@ def join(docs: DataFrame) -> DataFrame:
             values, offsets = sets(batch.column("text"))
             mine = fingerprints(values, offsets) == batch.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), kernel.binary([narrow(values[i:j]) for i, j in zip(offsets, offsets[1:])])], ["node", "shingles"]
+                [
+                    batch.column("node"),
+                    kernel.binary([narrow(values[i:j]) for i, j in zip(offsets, offsets[1:])]),
+                    kernel.binary([sketched(values[i:j]).tobytes() for i, j in zip(offsets, offsets[1:])]),
+                ],
+                ["node", "shingles", "sketch"],
             ).filter(pa.array(mine))  # ids may repeat with other texts
 
-    once = texts.join(wanted, "doc_id").dropDuplicates(["doc_id", "node", "text"])  # no new exchange: it is by doc_id
-    shingles = shared.written(once.select("node", "text").mapInArrow(shingled, "node long, shingles binary"))
+    once = texts.join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id", "node", "text"])  # no new exchange: it is by doc_id
+    shingles = shared.written(once.select("node", "text").mapInArrow(shingled, "node long, shingles binary, sketch binary"))
     shared.release(spark)
-    checked = shared.cut(verified(pairs, shingles))
+    checked = shared.cut(verified(promising(pairs, shingles), shingles))
     shared.release(spark)
     links = checked.where("common * 100 >= total * 80").select("a", "b")
     comp = shared.cut(shared.components(links))
@@ -379,11 +425,14 @@ def join(docs: DataFrame) -> DataFrame:
         distance = checked.select(F.col("a"), F.col("b"), (1 - F.col("common") / F.col("total")).alias("d"))
         both = distance.union(distance.select("b", "a", "d")).toDF("pivot", "member", "d").dropDuplicates(["pivot", "member"])
         rows = opened.join(both, ["pivot", "member"], "left").join(comp.withColumnRenamed("node", "member"), "member", "left")
-        rows = rows.select("cell", "member", "n", F.coalesce("component", "member").alias("comp"), F.col("d").cast("double").alias("d"), "turn")
+        rows = rows.join(shingles.select(F.col("node").alias("member"), "sketch"), "member")
+        rows = rows.select("sketch", "cell", "member", "n", F.coalesce("component", "member").alias("comp"), F.col("d").cast("double").alias("d"), "turn")
         rows = rows.repartition(parts, "cell").sortWithinPartitions("cell", "turn")
         more = shared.written(rows.mapInArrow(lambda b, k=pivots: remaining(b, k), "a long, b long, members binary"))
         fresh = more.where("a is not null").select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = shared.cut(fresh)
         opened = shared.cut(unpacked(more.where("members is not null").select("members")))
+        shared.discard(more)
         fresh = shared.cut(verified(fresh, shingles))
         shared.release(spark)
         checked = checked.unionByName(fresh)
@@ -392,6 +441,7 @@ def join(docs: DataFrame) -> DataFrame:
             stars = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
             comp = shared.cut(shared.components(stars.unionByName(new)))
         pivots *= 2
+    shared.discard(found, shingles)
     # components of classes, named by their smallest document
     named = own.where("node is not null and doc_id is not null").select("doc_id", "node", "n")
     named = named.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
