@@ -104,11 +104,16 @@ def decoded(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, paths: Sequence[str], corpus_id: str = "corpus") -> DataFrame:
-    """(corpus_id, doc_pos, source_name, text, error): files in the order given, named by basename."""
-    order = spark.createDataFrame([(i, p.rpartition("/")[2], p) for i, p in enumerate(paths)], "doc_pos int, source_name string, given string")
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    plain = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "%20", " ")
-    rows = decoded(files).withColumn("__p", plain).join(F.broadcast(order), F.expr("endswith(__p, given)"))
+    """(corpus_id, doc_pos, source_name, text, error): files in the order given, named by basename.
+
+    paths: absolute, or with a scheme; a file given twice is two documents.
+    """
+    scheme = "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
+    named = [(i, p.rpartition("/")[2], re.sub(scheme, "", p)) for i, p in enumerate(paths)]
+    order = spark.createDataFrame(named, "doc_pos int, source_name string, given string")
+    files = spark.read.format("binaryFile").load(list(dict.fromkeys(paths))).select("path", "content")
+    plain = F.url_decode(F.replace(F.regexp_replace("path", F.lit(scheme), F.lit("")), F.lit("+"), F.lit("%2B")))
+    rows = decoded(files).withColumn("given", plain).join(order, "given")
     return rows.select(F.lit(corpus_id).alias("corpus_id"), "doc_pos", "source_name", "text", "error")
 
 
