@@ -34,7 +34,9 @@ def lean():
         import ctypes
 
         try:
-            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD: larger blocks go back when freed
+            libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD: so does what is free beyond this
         except (OSError, AttributeError):
             pass
         _lean = True
@@ -94,11 +96,10 @@ def text_buffer(array):
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches, column, most, trim=True):
+def chunks(batches, column, most):
     """The batches' rows in pieces of about `most` text bytes: small batches together, large ones
     cut; a row of more bytes is a piece of its own."""
-    if trim:
-        lean()
+    lean()
     held, size = [], 0
     for batch in batches:
         _, offsets = text_buffer(batch.column(column))

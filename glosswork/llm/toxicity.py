@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import kernel, shared
 
-#: Rows of the learning sample: the labelled rows with the smallest hash of doc_id.
-SAMPLE_ROWS = 12_000
+#: Rows of the learning sample: the labelled rows with the smallest hash of doc_id, half of them
+#: toxic where there are as many.
+SAMPLE_ROWS = 5_000
 BITS = 20
 CHUNK = 2 << 20
 STEMS = (4, 5)
@@ -52,7 +53,7 @@ def features(array, bits):
 class Ftrl:
     """FTRL-proximal with logistic loss; one pass is one update per example."""
 
-    def __init__(self, bits=BITS, alpha=0.1, beta=1.0, l1=1.0, l2=1.0):
+    def __init__(self, bits=BITS, alpha=0.3, beta=1.0, l1=4.0, l2=1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
@@ -74,16 +75,21 @@ class Ftrl:
         return at.astype(np.int32), w[at].astype(np.float32)
 
 
-def sample_of(labels: DataFrame, label: str, keep, rows: int) -> DataFrame:
-    """A bounded sample of labelled rows: those with the smallest hash of their id."""
+def sample_of(labels: DataFrame, label: str, keep, rows: int, halves=False) -> DataFrame:
+    """A bounded sample of labelled rows: those with the smallest hash of their id; with halves,
+    at most half as many of either label."""
     picked = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y"))
     picked = picked.where(F.col("__id").isNotNull() & F.col("__y").isNotNull())
     if keep is not None:
         picked = picked.where(keep(F.col("__id")))
-    return picked.orderBy(F.xxhash64("__id"), "__id", "__y").limit(rows)
+    order = [F.xxhash64("__id"), "__id", "__y"]
+    if not halves:
+        return picked.orderBy(*order).limit(rows)
+    one, other = (picked.where(F.col("__y") == y).orderBy(*order).limit(rows // 2) for y in (0, 1))
+    return one.unionByName(other)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label="toxic", keep=None, rows=SAMPLE_ROWS, bits=BITS, passes=3):
+def fit(docs: DataFrame, labels: DataFrame, label="toxic", keep=None, rows=SAMPLE_ROWS, bits=BITS, passes=6):
     """Sparse weights (index, value).  keep: which doc_id may be learned from."""
     shared.settle(docs.sparkSession)
 
@@ -98,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, label="toxic", keep=None, rows=SAMPL
                 ["id", "y", "keys"],
             )
 
-    some = docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(sample_of(labels, label, keep, rows)), "__id")
+    some = docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(sample_of(labels, label, keep, rows, True)), "__id")
     got = some.mapInArrow(run, "id long, y int, keys binary").collect()
     got = sorted(((r.id, r.y, bytes(r["keys"])) for r in got))
     order = np.random.default_rng(0).permutation(len(got))
