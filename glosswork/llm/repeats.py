@@ -70,26 +70,32 @@ def joined(high, count, low):
     return (np.repeat(high, count) << np.uint32(16)) | low
 
 
-def returned(rid, pos, n, keys):
-    """Blocks of (row, places) dealt by row."""
-    order = np.argsort(rid, kind="stable")
-    rid, pos = rid[order], pos[order]
-    part = shared.part_of(kernel.mix(rid.view(kernel.U)), n)
+def ranked(rid, count):
+    """Distinct rows of runs, and the number of its row for each entry."""
+    distinct, which = np.unique(rid, return_inverse=True)
+    return distinct, np.repeat(which.astype(kernel.U), count)
+
+
+def returned(distinct, row, pos, n, keys):
+    """Blocks of (row, places) dealt by row; row: numbers among the distinct ones."""
+    both = np.sort((row << kernel.U(32)) | pos)
+    row, pos = (both >> kernel.U(32)).astype(np.int64), both & kernel.U(0xFFFFFFFF)
+    part = shared.part_of(kernel.mix(distinct.view(kernel.U)), n)[row]
     parts, blocks = [], []
-    for p, (r, q) in shared.pack(part, [rid, pos], n):
-        at, count, high, low = split_runs(shared.dense(r), q)
+    for p, (r, q) in shared.pack(part, [row, pos.astype(np.uint32)], n):
+        at, count, high, low = split_runs(r, q)
         parts.append(keys[p])
-        blocks.append(shared.block([r[at], count, high, low]))
+        blocks.append(shared.block([distinct[r[at]], count, high, low]))
     return shared.packed_batch(parts, blocks)
 
 
 def collected(blocks):
     """(row, place) of returned blocks, sorted."""
     got = [shared.unblock(b, (np.int64, np.uint32, np.uint32, np.uint16)) for b in blocks]
-    rid = np.concatenate([np.repeat(r, c) for r, c, _, _ in got])
-    pos = np.concatenate([joined(h, c, q) for _, c, h, q in got])
-    order = np.lexsort((pos, rid))
-    return rid[order], pos[order]
+    distinct, row = ranked(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
+    both = (row << kernel.U(32)) | np.concatenate([joined(h, c, q) for _, c, h, q in got])
+    both.sort()
+    return distinct[(both >> kernel.U(32)).astype(np.int64)], (both & kernel.U(0xFFFFFFFF)).astype(np.uint32)
 
 
 def by_row(blocks_df: DataFrame, n: int, bitmap: bool) -> DataFrame:
@@ -153,7 +159,7 @@ def earlier(docs: DataFrame, unit, width: int, v: int, cover, across_only: bool,
     def company(batches):
         for _, blocks in shared.by_part(batches):
             got = [shared.unblock(b, (np.int64, np.uint32, np.uint32, np.uint32, np.uint16)) for b in blocks]
-            rid = np.concatenate([np.repeat(r, c) for r, c, _, _, _ in got])
+            distinct, rid = ranked(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
             key = np.concatenate([g[3] for g in got])
             pos = np.concatenate([joined(h, c, q) for _, c, h, _, q in got])
             packed = np.sort((key.astype(kernel.U) << kernel.U(32)) | np.arange(len(key), dtype=kernel.U))
@@ -171,8 +177,7 @@ def earlier(docs: DataFrame, unit, width: int, v: int, cover, across_only: bool,
                 alone[:-1] &= ~same
                 kept = order[~alone]
             if len(kept):
-                kept.sort()
-                yield returned(rid[kept], pos[kept], n, keys)
+                yield returned(distinct, rid[kept], pos[kept], n, keys)
 
     def exchanged(df, send, receive):
         return shared.dealt(df.mapInArrow(send, shared.PACKED), n).mapInArrow(receive, shared.PACKED)
@@ -180,7 +185,9 @@ def earlier(docs: DataFrame, unit, width: int, v: int, cover, across_only: bool,
     # no name holds a frame whose shuffles are done, so that release() can drop their files
     flags = shared.written(by_row(exchanged(texts.select("__rid", "text"), anchors, company), n, False))
     shared.release(spark)
-    some = shared.written(texts.join(flags, "__rid").dropDuplicates(["__rid"]))
+    # a merge join at every size: texts and flags both grow with the input
+    some = shared.written(texts.join(flags.hint("merge"), "__rid").dropDuplicates(["__rid"]))
+    shared.discard(flags)
     shared.release(spark)
 
     def windows(bucket):
@@ -217,12 +224,12 @@ def earlier(docs: DataFrame, unit, width: int, v: int, cover, across_only: bool,
     def later(batches):
         for _, blocks in shared.by_part(batches):
             got = [shared.unblock(b, (np.int64, np.int64, np.uint32, np.uint32, kernel.U, np.uint16)) for b in blocks]
-            rid = np.concatenate([np.repeat(g[0], g[2]) for g in got])
+            distinct, rid = ranked(np.concatenate([g[0] for g in got]), np.concatenate([g[2] for g in got]))
             ord_ = np.concatenate([np.repeat(g[1], g[2]) for g in got])
             key = np.concatenate([g[4] for g in got])
             pos = np.concatenate([joined(g[3], g[2], g[5]) for g in got])
             del got
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key, kind=None if across_only else "stable")
             key, rid, ord_ = key[order], rid[order], ord_[order]
             start, count = shared.runs(key)
             out = ord_ > np.repeat(np.minimum.reduceat(ord_, start), count)
@@ -230,15 +237,14 @@ def earlier(docs: DataFrame, unit, width: int, v: int, cover, across_only: bool,
                 out[1:] |= (key[1:] == key[:-1]) & (rid[1:] == rid[:-1])
             out = np.flatnonzero(out)
             if len(out):
-                place = order[out]
-                again = np.argsort(place)
-                yield returned(rid[out][again], pos[place[again]], n, keys)
+                yield returned(distinct, rid[out], pos[order[out]], n, keys)
 
     found = None
     for b in range(buckets):
         part = shared.written(by_row(exchanged(some, windows(b), later), n, True))
         found = part if found is None else found.unionByName(part)
         shared.release(spark)
+    shared.discard(some)
     return found.groupBy("__rid").agg(F.collect_list("__places").alias("__starts"))
 
 

@@ -24,13 +24,13 @@ from . import kernel, repeats, shared
 
 WIDTH = 50
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
-BUCKETS = 4
+BUCKETS = 3
 
 
 def with_starts(docs: DataFrame, starts_of, unit, width, period, cover, across, buckets):
     keyed = repeats.keyed(docs)
     starts = repeats.earlier(keyed, unit, width, period, cover, across, buckets)
-    return keyed.join(starts, "__rid", "left")
+    return keyed.join(starts.hint("merge"), "__rid", "left")
 
 
 def dedup(docs: DataFrame, width=WIDTH, buckets=BUCKETS) -> DataFrame:
