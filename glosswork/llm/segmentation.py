@@ -28,8 +28,8 @@ from . import kernel, shared
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 20
-#: Edges of the lattices that a task keeps for chunks that come again; about 100 MB.
-KEPT_EDGES = 6_000_000
+#: Edges of the lattices that a task keeps for chunks that come again; about 40 MB.
+KEPT_EDGES = 2_500_000
 FILTER_BITS = 19
 
 
@@ -273,7 +273,7 @@ def encode(docs: DataFrame, path=MODEL, seed=0, sharpness=1.0, key="doc_id", che
     def run(batches):
         voc = sent.value
         lattices = Lattices(voc)
-        for batch in kernel.chunks(batches, "text", CHUNK, trim=False):
+        for batch in kernel.chunks(batches, "text", CHUNK):
             text = batch.column("text")
             keys = batch.column("__key").to_numpy(zero_copy_only=False).astype(np.int64).view(kernel.U)
             pieces, offsets = encode_rows(text, keys, lattices, seed)
