@@ -284,6 +284,21 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, total long")
 
 
+def linked(checked: DataFrame) -> DataFrame:
+    return checked.where("common * 100 >= total * 80").select("a", "b")
+
+
+def stars(comp: DataFrame) -> DataFrame:
+    return comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose classes are not in one component yet."""
+    left, right = comp.toDF("a", "p"), comp.toDF("b", "q")
+    both = pairs.join(left, "a", "left").join(right, "b", "left")
+    return both.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
+
+
 def remaining(batches, pivots):
     """Of open cells, sorted by cell: pairs still to be compared, and what stays open.
 
@@ -416,10 +431,17 @@ def join(docs: DataFrame) -> DataFrame:
     once = texts.join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id", "node", "text"])  # no new exchange: it is by doc_id
     shingles = shared.written(once.select("node", "text").mapInArrow(shingled, "node long, shingles binary, sketch binary"))
     shared.release(spark)
-    checked = shared.cut(verified(promising(pairs, shingles), shingles))
+    # one pair of each class first; of the others, those that its links leave in two components
+    likely = shared.cut(promising(pairs, shingles))
+    first = shared.cut(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    checked = shared.cut(verified(first, shingles))
+    shared.release(spark)
+    comp = shared.cut(shared.components(linked(checked)))
+    others = apart(likely.join(first, ["a", "b"], "left_anti"), comp)
+    more = shared.cut(verified(others, shingles))
     shared.release(spark)
-    links = checked.where("common * 100 >= total * 80").select("a", "b")
-    comp = shared.cut(shared.components(links))
+    checked = checked.unionByName(more)
+    comp = shared.cut(shared.components(stars(comp).unionByName(linked(more))))
     pivots = PIVOTS
     while opened.limit(1).count():
         distance = checked.select(F.col("a"), F.col("b"), (1 - F.col("common") / F.col("total")).alias("d"))
@@ -436,10 +458,9 @@ def join(docs: DataFrame) -> DataFrame:
         fresh = shared.cut(verified(fresh, shingles))
         shared.release(spark)
         checked = checked.unionByName(fresh)
-        new = fresh.where("common * 100 >= total * 80").select("a", "b")
+        new = linked(fresh)
         if new.limit(1).count():
-            stars = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            comp = shared.cut(shared.components(stars.unionByName(new)))
+            comp = shared.cut(shared.components(stars(comp).unionByName(new)))
         pivots *= 2
     shared.discard(found, shingles)
     # components of classes, named by their smallest document
