@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are taken as in kernel.Words, A-Z lower-cased.  Seeds are the word n-grams of the test
-items; their document frequency is counted over the whole corpus, and the rarest share of each
-item's seeds is kept.  A fixed-size Bloom filter of seeds lets the scan of the corpus skip
-everything else; hits that lie close together form a passage, which is joined with the items by
-an exact equi-join on seeds and aligned to each of them by Smith-Waterman on words (match 2,
-mismatch -1, gap -1, local).  score = alignment / (2 * words of the item), 1 for a verbatim copy.
+Words are taken as in kernel.Words, A-Z lower-cased.  Seeds are all word n-grams of the test
+items: which of them an edit leaves intact can't be told from their frequencies, so none is cut.
+A fixed-size Bloom filter of seeds lets the scan of the corpus skip everything else; hits that
+lie close together form a passage, which is joined with the items by an exact equi-join on seeds
+and aligned to each of them by Smith-Waterman on words (match 2, mismatch -1, gap -1, local).
+score = alignment / (2 * words of the item), 1 for a verbatim copy.
 
 Defined cases: null or empty texts and items match nothing; an item of fewer than n words is one
 seed, its whole sequence; null ids are dropped, as they can't be reported; repeated documents or
@@ -16,13 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import kernel, shared
 
 N = 3
-#: Share of an item's seeds that is kept, the rarest first, but at least LEAST of them.
-SHARE, LEAST = 0.5, 8
 #: Bits of the Bloom filter; its size, 2 MB, does not depend on the data.
 BLOOM_BITS = 24
 GAP = 48
@@ -121,30 +119,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold=THRESHOLD, n=N
     pad = int(longest // 8)
     seeds = shared.cut(items.select("item_id", F.explode("seeds").alias("h")).distinct())
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    all_bits = spark.sparkContext.broadcast(np.packbits(bloom(seeds, "h")))
-
-    def count(batches):
-        bits = np.unpackbits(all_bits.value)
-        for batch in kernel.chunks(batches, "text", CHUNK):
-            h, _, row = grams(kernel.Words(batch.column("text"), lower=True), n)
-            hit = probe(bits, h)
-            h, row = h[hit], row[hit]
-            order = np.lexsort((row, h))
-            h, row = h[order], row[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            h, docs_with = np.unique(h[new], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs_with.astype(np.int64))], ["h", "df"])
-
-    df = texts.select("text").mapInArrow(count, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
-    by_item = Window.partitionBy("item_id").orderBy("df", "h")
-    ranked = seeds.join(df, "h", "left").fillna(0, ["df"]).withColumn("k", F.row_number().over(by_item))
-    ranked = ranked.withColumn("n", F.count("*").over(Window.partitionBy("item_id")))
-    rare = shared.cut(ranked.where(F.col("k") <= F.greatest(F.lit(LEAST), F.ceil(F.col("n") * SHARE))).select("item_id", "h"))
-    rare_bits = spark.sparkContext.broadcast(np.packbits(bloom(rare, "h")))
+    seed_bits = spark.sparkContext.broadcast(np.packbits(bloom(seeds, "h")))
 
     def passages(batches):
-        bits = np.unpackbits(rare_bits.value)
+        bits = np.unpackbits(seed_bits.value)
         for batch in kernel.chunks(batches, "text", CHUNK):
             words = kernel.Words(batch.column("text"), lower=True)
             h, first, row = grams(words, n)
@@ -173,7 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold=THRESHOLD, n=N
         texts.mapInArrow(passages, "doc_id long, low long, passage binary, hits array<long>").withColumn("at", F.xxhash64("passage"))
     )
     key = ["doc_id", "low", "at"]
-    links = found.select(*key, F.explode("hits").alias("h")).join(rare, "h").groupBy(*key, "item_id").agg(F.count("*").alias("n_seeds"))
+    links = found.select(*key, F.explode("hits").alias("h")).join(seeds, "h").groupBy(*key, "item_id").agg(F.count("*").alias("n_seeds"))
     sizes = items.select("item_id", "words")
     links = links.join(sizes, "item_id").where(F.col("n_seeds") >= F.when(F.length("words") < 8 * 8, 1).otherwise(2))
     pairs = links.join(found.select(*key, "passage").dropDuplicates(key), key)

@@ -142,6 +142,17 @@ def test_decontamination(spark):
     assert decontamination.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_a_copy_whose_surviving_trigrams_are_common(spark):
+    words = text(26).split()
+    copy = list(words)
+    for i in (2, 5, 8, 11, 14):
+        copy[i] = "changed"
+    rows = [(i, " ".join(copy)) for i in range(30)] + [(100, " ".join(words)), (101, text(60))]
+    bench = spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontamination.contaminated(frame(spark, rows), bench).collect()}
+    assert got == {i: (2 * 21 - 5) / 52 for i in range(30)} | {100: 1.0}
+
+
 def brute_align(p, q):
     h = np.zeros((len(q) + 1, len(p) + 1), int)
     for j in range(1, len(q) + 1):
