@@ -5,6 +5,9 @@ items: which of them an edit leaves intact can't be told from their frequencies,
 A fixed-size Bloom filter of seeds lets the scan of the corpus skip everything else; hits that
 lie close together form a passage, which is joined with the items by an exact equi-join on seeds
 and aligned to each of them by Smith-Waterman on words (match 2, mismatch -1, gap -1, local).
+One seed is enough.  A passage reaches as far on both sides of its hits as an alignment that
+reaches the threshold can: m words of an item match at most, so it has 2 * m * (1 - threshold)
+errors and (3 - 2 * threshold) * m words at most.
 score = alignment / (2 * words of the item), 1 for a verbatim copy.
 
 Defined cases: null or empty texts and items match nothing; an item of fewer than n words is one
@@ -116,7 +119,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold=THRESHOLD, n=N
     shared.settle(spark)
     items = shared.cut(items_of(benchmark, n))
     longest = items.agg(F.max(F.length("words"))).first()[0] or 0
-    pad = int(longest // 8)
+    pad = int(np.ceil((longest // 8) * max(1.0, 3 - 2 * threshold)))
     seeds = shared.cut(items.select("item_id", F.explode("seeds").alias("h")).distinct())
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     seed_bits = spark.sparkContext.broadcast(np.packbits(bloom(seeds, "h")))
@@ -151,10 +154,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold=THRESHOLD, n=N
         texts.mapInArrow(passages, "doc_id long, low long, passage binary, hits array<long>").withColumn("at", F.xxhash64("passage"))
     )
     key = ["doc_id", "low", "at"]
-    links = found.select(*key, F.explode("hits").alias("h")).join(seeds, "h").groupBy(*key, "item_id").agg(F.count("*").alias("n_seeds"))
+    links = found.select(*key, F.explode("hits").alias("h")).join(seeds, "h").select(*key, "item_id").distinct()
     sizes = items.select("item_id", "words")
-    links = links.join(sizes, "item_id").where(F.col("n_seeds") >= F.when(F.length("words") < 8 * 8, 1).otherwise(2))
-    pairs = links.join(found.select(*key, "passage").dropDuplicates(key), key)
+    pairs = links.join(sizes, "item_id").join(found.select(*key, "passage").dropDuplicates(key), key)
 
     def score(batches):
         for batch in batches:

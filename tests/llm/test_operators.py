@@ -153,6 +153,16 @@ def test_decontamination_of_a_copy_whose_surviving_trigrams_are_common(spark):
     assert got == {i: (2 * 21 - 5) / 52 for i in range(30)} | {100: 1.0}
 
 
+def test_decontamination_with_one_intact_trigram(spark):
+    short, long = "a b c d e f g h", text(60).split()
+    far = long[:30] + [f"x{i}" for i in range(55)] + long[30:]  # the gap parts the hits: two passages
+    thin = [x for i, w in enumerate(long) for x in ([w, f"y{i}"] if i < 56 and i % 2 else [w])]  # its only trigrams are at the end
+    rows = [(0, "a b c X e f Y h"), (1, text(30) + " a b c X e f Y h " + text(30)), (2, " ".join(far)), (3, " ".join(thin))]
+    bench = spark.createDataFrame([(0, short), (1, " ".join(long))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(0, 0): 10 / 16, (1, 0): 10 / 16, (2, 1): 65 / 120, (3, 1): 92 / 120}
+
+
 def brute_align(p, q):
     h = np.zeros((len(q) + 1, len(p) + 1), int)
     for j in range(1, len(q) + 1):
