@@ -1,8 +1,9 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
 A text becomes hashed counts of its words (A-Z lower-cased) and of their last three bytes, and the
-counts of words that repeat the one before and of words without a letter, weighted log(1+tf)*idf, projected on the leading singular directions of a bounded labelled
-sample, and scaled to unit length.  The sample's vectors and labels are sent to the executors
+counts of words that repeat the one before and of words without a letter, weighted log(1+tf)*idf,
+projected on the leading singular directions of a bounded labelled sample, and scaled to unit
+length.  The document frequencies behind idf are counted over all documents.  The sample's vectors and labels are sent to the executors
 (rows * dims values, both parameters); each block of documents is compared with all of them by
 one matrix product, and the nearest vote with weight cosine**power.
 
@@ -87,6 +88,24 @@ class Model:
         return np.where(total > 1e-12, np.divide(out, total, out=np.zeros_like(out), where=total > 1e-12), base)
 
 
+def frequencies(docs: DataFrame):
+    """The number of rows with a text, and for each bucket the number of those that have it."""
+
+    def run(batches):
+        rows, total = 0, np.zeros(WIDTH, np.int64)
+        for batch in kernel.chunks(batches, "text", CHUNK):
+            rows += batch.num_rows
+            keys = np.sort(counted(batch.column("text")))
+            total += np.bincount(keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]] % WIDTH, minlength=WIDTH)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], ["bucket", "n"])
+
+    texts = docs.select("text").where("text is not null")
+    got = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    n = {r.bucket: r.n for r in got}
+    return n.get(-1, 0), np.array([n.get(i, 0) for i in range(WIDTH)], np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label="quality", keep=None, rows=SAMPLE_ROWS, dims=DIMS) -> Model:
     shared.settle(docs.sparkSession)
 
@@ -108,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, label="quality", keep=None, rows=SAM
         x[i, at] = n
     if not len(got):
         return Model(np.zeros(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), y)
-    idf = (np.log((1 + len(got)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+    n, df = frequencies(docs)
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     idf[[REPEATED, LETTERLESS]] *= GAIN
     weighted = Model.scaled(np.log1p(x) * idf)
     # leading right singular vectors by subspace iteration from a fixed start

@@ -259,6 +259,16 @@ def test_classifiers_on_held_out_rows(spark, module, label, m, r, least):
     assert len({x.score for x in none}) == 1
 
 
+def test_idf_counts_all_documents(spark):
+    rows = [(i, "good plain words") for i in range(10)] + [(i, "rare" + " 7 7" * (i % 2)) for i in range(10, 90)] + [(90, None), (None, "rare"), (91, "")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    model = quality.fit(frame(spark, rows).repartition(3), labels)
+    n = Counter(b for _, t in rows if t is not None for b in {int(k) for k in quality.counted(pa.array([t]))})
+    want = np.log(93 / (1 + np.array([n[b] for b in range(quality.WIDTH)]))) + 1
+    want[[quality.REPEATED, quality.LETTERLESS]] *= quality.GAIN
+    assert n[quality.REPEATED] == 40 and np.allclose(model.idf, want, rtol=1e-5)
+
+
 # --- 5
 
 
