@@ -19,7 +19,8 @@ therefore made in two levels.
    taken, in rounds, until no such pair is left.  Sketches of the sets rule out most pairs first.  So no pair that could link is left out, and a
    group of m near copies costs about m comparisons, not m * m.
 
-Links become components by shared.components.
+Links become components by shared.components.  Pairs within one component are not compared, so
+the components are exact, but the links inside them are neither enumerated nor counted.
 
 Defined cases: null or empty text has an empty set and links with nothing; fewer words than
 SHINGLE give one shingle, the whole sequence; repeated rows and rows with equal ids count as one
