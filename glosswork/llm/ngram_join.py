@@ -4,16 +4,17 @@ A document's set holds the hashes of its distinct runs of SHINGLE words (A-Z low
 documents link when 100 * intersection >= 80 * union, that is, at Jaccard distance 0.2 or less.
 
 The Jaccard distance is a metric, but unrelated documents are all at distance 1 of each other and
-of every pivot, so regions around pivots of the whole corpus would hold everything.  Regions are
-therefore made in two levels.
+of every pivot, so regions around pivots of the whole corpus would hold everything.  The join
+therefore works in two steps.
 
 1. Cells.  All shingles get one global order, rare ones first.  A link needs a common shingle
    among each set's first floor(n/5)+1 (their union would else be too large), so a cell is the
    documents that share such a shingle, and a document is replicated to the cells of its prefix.
    The order comes from a sketch of document frequencies over all documents, of fixed size; any
    order is right, a good one keeps common passages out of the cells.
-2. Regions.  Equal sets are one class.  In a cell a pivot is compared with every member.  Its
-   Voronoi region (members within 0.2) is one component with it; what remains are pairs of members
+2. Pivots.  Equal sets are one class.  In a cell a pivot is compared with every member; members
+   within 0.2 are one component with it.  There are no Voronoi regions: members are not assigned
+   to the nearest of several pivots, and no region is cut out or recursed into.  What remains are pairs of members
    of different components, and by the triangle inequality only those whose distances to the pivot
    differ by 0.2 at most.  Small remainders are compared in full; in large ones further pivots are
    taken, in rounds, until no such pair is left.  Sketches of the sets rule out most pairs first.  So no pair that could link is left out, and a
