@@ -318,7 +318,7 @@ def merged_clusters(spark, sf_dir):
 
 def scalable_clusters(spark, sf_dir):
     q, _, w = _vectors(spark, sf_dir, one_corpus=True)
-    return cluster.scalable(q, w, Settings(theme_count=6), features=1 << 14)
+    return cluster.scalable(q, w, Settings(theme_count=6))
 
 
 def _coded_result(spark, sf_dir):

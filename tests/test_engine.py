@@ -10,7 +10,7 @@ import pytest
 
 from glosswork.cli import main
 from glosswork.operators import cluster, segment, vectors as vec
-from glosswork.plans import analysis
+from glosswork.plans import analysis, catalog
 from glosswork.settings import Settings
 from glosswork.sources import files, reports
 
@@ -155,3 +155,11 @@ def test_files_and_cli(spark, tmp_path, capsys):
     out = tmp_path / "o" / "report.md"
     assert main([str(tmp_path / "b.txt"), str(tmp_path / "a.docx"), "--out", str(out), "--central-theme", "accessibility"]) == 0
     assert "Documents analyzed: 2" in capsys.readouterr().out and "Source: a.docx" in out.read_text()
+
+
+def test_scalable_clusters_keeps_the_default_features(monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog, "_vectors", lambda *a, **b: (None, None, None))
+    monkeypatch.setattr(catalog.cluster, "scalable", lambda *a, **b: seen.append((len(a), b)))
+    catalog.scalable_clusters(None, "")
+    assert seen == [(3, {})]
