@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import kernel
+
 #: Rows of an Arrow batch: whole documents go to Python, so batches are kept small.
 ARROW_ROWS = 200
 
@@ -19,6 +21,18 @@ def settle(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+@contextlib.contextmanager
+def settled(spark: SparkSession):
+    """settle() for the jobs that run inside; the session's own setting comes back after them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    settle(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a local one only where none is set (tests)."""
     have = spark.conf.get("spark.checkpoint.dir", None)
@@ -156,8 +170,6 @@ def dealt(df: DataFrame, n: int) -> DataFrame:
 
 def by_part(batches):
     """The blocks of a task, by part."""
-    from . import kernel
-
     kernel.lean()
     held: dict[int, list] = {}
     for batch in batches:

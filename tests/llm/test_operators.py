@@ -418,9 +418,14 @@ def test_ngram_join_of_a_large_group_of_near_copies(spark, monkeypatch):
     sets, find = brute_groups(rows)
     want = {d: find(d) for d, _ in sets}
     assert len(set(want.values())) > 45
-    for large, pivots in ((8192, 32), (4, 4)):  # the second: every cell goes through rounds of pivots
+    # the second: regions are split by new pivots and cut into blocks; the third: split whatever the
+    # windows hold; the fourth: common shingles travel apart
+    for large, block, growth, least in ((512, 128, 2, 256), (8, 4, 2, 256), (8, 4, 99, 256), (512, 128, 2, 20)):
         monkeypatch.setattr(ngram_join, "LARGE", large)
-        monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
+        monkeypatch.setattr(ngram_join, "BLOCK_LEAST", block)
+        monkeypatch.setattr(ngram_join, "DEAL", block)
+        monkeypatch.setattr(ngram_join, "GROWTH", growth)
+        monkeypatch.setattr(ngram_join, "COMMON_LEAST", least)
         got = {r.doc_id: r.component_id for r in ngram_join.join(frame(spark, rows)).collect()}
         assert got == want
 
