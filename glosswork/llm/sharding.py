@@ -1,21 +1,23 @@
 """Sharding: a Feistel permutation with cycle walking over global row numbers.
 
-Rows are numbered 0..N-1 in order of doc_id; a keyed permutation of 0..N-1 gives every row its
-place p, and p mod shards and p div shards are its shard and slot.  So shard sizes differ by one
-row at most, slots have no gaps, and shard and slot of any row number can be computed alone.
+Rows get numbers 0..N-1; a keyed permutation of 0..N-1 gives every row its place p, and p mod
+shards and p div shards are its shard and slot.  So shard sizes differ by one row at most, slots
+have no gaps, and shard and slot of any row number can be computed alone.
 
 The permutation is an alternating Feistel network on a*b >= N places (a and b near sqrt(N)):
 rounds add a function of one half to the other, modulo a or b; places >= N walk on along their
 cycle.  At most a*b - N < a places lie outside, so a walk is short.
 
-Global row numbers need no single sorted partition: quantiles of doc_id split the rows into
-ranges, every quantile value being a range of its own that is dealt once more over SALTS parts;
-counts of the parts give offsets, and rows are numbered within their part.
+Global row numbers need no single sorted partition.  Rows that agree in doc_id, checksum and size
+are interchangeable and are counted together first, so a row that comes often is one entry.
+Entries are dealt by their hash into buckets of about BUCKET rows, whatever N is; running sums
+over buckets (by runs of RUN, then over runs) and within a bucket number them, and an entry's
+numbers are spelled out again, those of a frequent one by several tasks.  Numbers depend on the
+rows alone, not on partitions, so the shuffle is reproducible.
 
-All of it is DataFrame functions.  Defined cases: null doc_ids come first; rows that agree in
-doc_id are ordered by their part, checksum and size, rows equal in all of these being
-interchangeable; null text counts 0 bytes and checksum 0; an empty table gives no rows; other
-columns are ignored.
+All of it is DataFrame functions.  Defined cases: null doc_ids are rows like others; rows that
+agree in doc_id, checksum and size share their numbers in any order; null text counts 0 bytes and
+checksum 0; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import shared
 
-RANGES = 256
-SALTS = 64
+BUCKET = 20_000
+RUN = 4096
 ROUNDS = 6
 PRIME = 2147483647
 #: Multipliers and offsets of the round function, one pair a round.
@@ -40,36 +42,39 @@ def sides(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs' (doc_id, size, text_crc32) with row_number 0..N-1; the text is read once."""
-    spark = docs.sparkSession
-    base = docs.select(
+def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, size, text_crc32, row_number), and N; the text is read once."""
+    key = ["doc_id", "size", "text_crc32"]
+    rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
-        F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"),
     )
-    base = shared.cut(base)
-    cuts = base.agg(F.expr(f"approx_percentile(doc_id, array({','.join(str(i / RANGES) for i in range(1, RANGES))}), 10000)")).first()[0]
-    cuts = sorted(set(cuts or []))
-    # 0: null; odd: between two quantiles; even: equal to one
-    below = F.aggregate(F.array(*[F.lit(c).cast("long") for c in cuts]), F.lit(0), lambda n, c: n + (c < F.col("doc_id")).cast("int")) if cuts else F.lit(0)
-    same = F.array_contains(F.array(*[F.lit(c).cast("long") for c in cuts]), F.col("doc_id")) if cuts else F.lit(False)
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(1 + 2 * below + same.cast("int"))
-    base = base.withColumn("part", part)
-    base = base.withColumn("salt", F.when(F.col("part") % 2 == 1, 0).otherwise(F.col("salt")))
-    counts = base.groupBy("part", "salt").agg(F.count("*").alias("n"))  # RANGES * 2 * SALTS rows at most
-    got = sorted((r.part, r.salt, r.n) for r in counts.collect())
-    rows, total = [], 0
-    for p, s, n in got:
-        rows.append((p, s, total))
-        total += n
-    offsets = F.broadcast(spark.createDataFrame(rows, "part int, salt int, before long")) if rows else None
-    if offsets is None:
-        return base.select("doc_id", "size", "text_crc32", F.lit(0).cast("long").alias("row_number")), 0
-    within = Window.partitionBy("part", "salt").orderBy("doc_id", "text_crc32", "size")
-    out = base.withColumn("k", F.row_number().over(within)).join(offsets, ["part", "salt"])
-    return out.select("doc_id", "size", "text_crc32", (F.col("before") + F.col("k") - 1).alias("row_number")), total
+    entries = shared.cut(rows.groupBy(*key).agg(F.count("*").alias("n")))
+    total = entries.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return entries.select(*key, F.lit(0).cast("long").alias("row_number")), 0
+    buckets = -(-total // BUCKET)
+    entries = entries.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+
+    def before(*by):
+        return Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+
+    def so_far(column, window):
+        return F.coalesce(F.sum(column).over(window), F.lit(0))
+
+    sizes = entries.groupBy("bucket").agg(F.sum("n").alias("b")).withColumn("run", F.floor(F.col("bucket") / RUN))
+    runs = sizes.groupBy("run").agg(F.sum("b").alias("r")).withColumn("runs_before", so_far("r", before().orderBy("run"))).drop("r")
+    sizes = sizes.withColumn("buckets_before", so_far("b", before("run").orderBy("bucket"))).join(runs, "run")
+    offsets = sizes.select("bucket", (F.col("runs_before") + F.col("buckets_before")).alias("start"))
+    own = entries.withColumn("own", so_far("n", before("bucket").orderBy(*key))).join(offsets, "bucket")
+    own = own.select(*key, "n", (F.col("start") + F.col("own")).alias("start"))
+    last = F.col("start") + F.col("n") - 1
+    few = own.where(F.col("n") <= BUCKET).select(*key, F.explode(F.sequence("start", last)).alias("row_number"))
+    parts = own.where(F.col("n") > BUCKET).select(*key, F.explode(F.sequence("start", last, F.lit(BUCKET).cast("long"))).alias("low"), last.alias("last"))
+    parts = parts.repartition("low")  # the parts of a frequent entry, over several tasks
+    many = parts.select(*key, F.explode(F.sequence("low", F.least(F.col("low") + (BUCKET - 1), "last"))).alias("row_number"))
+    return few.unionByName(many), total
 
 
 def step(x: Column, a: int, b: int, seed: int) -> Column:
