@@ -1,12 +1,15 @@
 """Embedding near-dedup: random-hyperplane sign hashing, exact cosine, components.
 
 Vectors are compared within their label.  Equal vectors are one class first, so copies cost one
-row.  In each of TABLES tables a class is hashed to the signs of BITS random projections; classes
+row.  In each of several tables a class is hashed to the signs of random projections; classes
 that share a bucket are compared exactly, in double precision, by blocked matrix products, and a
-pair that meets in several tables counts in the first only.  Buckets of more than BLOCK classes
-are cut into blocks, and pairs of blocks are compared in different tasks, so no task holds more
-than two blocks.  Of a pair of blocks come one count per linked class and a spanning forest of
-its links, not all pairs; distributed connected components then join the forests.
+pair that meets in several tables counts in the first only.  The number of signs follows the
+number of classes, so that a bucket of unrelated vectors holds about FILL of them at any size; the
+number of tables follows from it, so that a pair at the threshold, whose signs agree with
+probability 1 - angle / pi each, is missed by all tables with probability MISS at most.  Buckets
+are cut into blocks of about 4 * sqrt(n) classes, and pairs of blocks are compared in different
+tasks.  Of a pair of blocks come one count per linked class and a spanning forest of its links, not
+all pairs; distributed connected components then join the forests.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows with
 null label, link with nothing; vectors of different length do not link; a null vec_id is kept,
@@ -23,19 +26,26 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import shared
 
 THRESHOLD = 0.98
-BITS, TABLES = 14, 14
-BLOCK = 2000
+FILL, MISS = 32, 5e-4
+BLOCK_LEAST, BLOCK_MOST = 128, 2048
 SEED = 20240
 
 
-def planes(dim):
-    return np.random.default_rng(SEED + dim).standard_normal((dim, BITS * TABLES))
+def shape(classes: int, threshold=THRESHOLD) -> tuple[int, int]:
+    """(signs, tables) for so many classes of a label."""
+    bits = int(np.clip(np.ceil(np.log2(max(classes, 1) / FILL)), 6, 40))
+    meet = (1 - np.arccos(threshold) / np.pi) ** bits
+    return bits, int(np.ceil(np.log(MISS) / np.log1p(-meet)))
 
 
-def signatures(x):
-    """(rows, TABLES) bucket numbers of unit vectors."""
-    bits = (x @ planes(x.shape[1]) >= 0).reshape(len(x), TABLES, BITS)
-    return bits.astype(np.int64) @ (1 << np.arange(BITS, dtype=np.int64))
+def planes(dim, bits, tables):
+    return np.random.default_rng(SEED + dim).standard_normal((dim, bits * tables))
+
+
+def signatures(x, bits, tables):
+    """(rows, tables) bucket numbers of unit vectors."""
+    on = (x @ planes(x.shape[1], bits, tables) >= 0).reshape(len(x), tables, bits)
+    return on.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def unit(x):
@@ -69,8 +79,12 @@ def forest(a, b, ids):
 
 def link(vectors: DataFrame, threshold=THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label)."""
+    with shared.settled(vectors.sparkSession), shared.scratch() as tables:
+        return _linked(vectors, threshold, tables)
+
+
+def _linked(vectors, threshold, scratch):
     spark = vectors.sparkSession
-    shared.settle(spark)
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x"), "label")
     bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     some = F.exists("x", lambda c: c != 0.0)
@@ -80,6 +94,8 @@ def link(vectors: DataFrame, threshold=THRESHOLD) -> DataFrame:
     classes = shared.cut(
         member.where("h is not null").groupBy("label", "h").agg(F.min("vec_id").alias("cls"), F.count("*").alias("size"), F.first("x").alias("x"), F.size(F.first("x")).alias("dim"))
     )
+    most = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    bits, tables = shape(most, threshold)
 
     def keys(batches):
         for batch in batches:
@@ -87,12 +103,12 @@ def link(vectors: DataFrame, threshold=THRESHOLD) -> DataFrame:
             for d in np.unique(dims):
                 own = batch.filter(pa.array(dims == d))
                 x = matrix(own.column("x"))
-                sig = signatures(unit(x))
+                sig = signatures(unit(x), bits, tables)
                 n = len(x)
-                pick = pa.array(np.tile(np.arange(n), TABLES))
+                pick = pa.array(np.tile(np.arange(n), tables))
                 yield pa.RecordBatch.from_arrays(
                     [own.column(c).take(pick) for c in ("label", "cls", "size", "dim")]
-                    + [pa.array(np.repeat(np.arange(TABLES), n).astype(np.int32)), pa.array(sig.T.ravel()), kernel_binary(x).take(pick)],
+                    + [pa.array(np.repeat(np.arange(tables), n).astype(np.int32)), pa.array(sig.T.ravel()), kernel_binary(x).take(pick)],
                     ["label", "cls", "size", "dim", "t", "sig", "x"],
                 )
 
@@ -104,8 +120,11 @@ def link(vectors: DataFrame, threshold=THRESHOLD) -> DataFrame:
         keys, f"label {label}, cls long, size long, dim int, t int, sig long, x binary"
     )
     hashed = shared.written(hashed)
+    scratch.append(hashed)
     bucket = ["label", "dim", "t", "sig"]
-    full = hashed.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    full = hashed.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
+    block = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), 4 * F.sqrt("n")))
+    full = full.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     rows = hashed.join(full, bucket)
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -150,7 +169,7 @@ def link(vectors: DataFrame, threshold=THRESHOLD) -> DataFrame:
             if p == q:
                 i, j = i[ids[i] < ids[j]], j[ids[i] < ids[j]]
             if t and len(i):  # a pair counts in the first table where it meets
-                sig = signatures(unit(x))[:, :t] if sig is None else sig
+                sig = signatures(unit(x), bits, tables)[:, :t] if sig is None else sig
                 new = ~(sig[i] == sig[j]).any(axis=1)
                 i, j = i[new], j[new]
             links += np.bincount(i, size[j], len(ids)).astype(np.int64) + np.bincount(j, size[i], len(ids)).astype(np.int64)
@@ -170,7 +189,7 @@ def link(vectors: DataFrame, threshold=THRESHOLD) -> DataFrame:
     found = rows.select(*order, "own", "cls", "size", "x").repartition(shared.partitions(spark), "task").sortWithinPartitions(*order)
     found = shared.cut(found.mapInArrow(compare, "a long, b long, n long"))
     n = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
-    comp = shared.components(found.where("b is not null").select("a", "b"))
+    comp = shared.cut(shared.components(found.where("b is not null").select("a", "b")))
     known = classes.join(n, "cls", "left").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
     known = known.select("label", "h", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
     out = member.select("vec_id", "label", "h").join(known, ["label", "h"], "left")
