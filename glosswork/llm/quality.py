@@ -62,6 +62,14 @@ def tables(array):
         yield np.bincount(own, minlength=(to - at) * WIDTH).reshape(to - at, WIDTH)
 
 
+def nearest(near, k):
+    """(rows, k) columns of the k largest values of each row; of equal ones the first."""
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, [near.shape[1] - k]]
+    more, same = near > least, near == least
+    more |= same & (np.cumsum(same, axis=1) <= k - more.sum(axis=1, keepdims=True))
+    return np.nonzero(more)[1].reshape(len(near), k)
+
+
 class Model:
     def __init__(self, idf, basis, vectors, labels):
         self.idf, self.basis, self.vectors, self.labels = idf, basis, vectors, labels
@@ -80,8 +88,7 @@ class Model:
             return np.full(len(table), base)
         mine = self.embed(table)
         near = mine @ self.vectors.T
-        k = min(NEAREST, near.shape[1])
-        best = np.argsort(-near, axis=1, kind="stable")[:, :k] if near.shape[1] <= 4 * k else np.argpartition(-near, k - 1, axis=1)[:, :k]
+        best = nearest(near, min(NEAREST, near.shape[1]))
         weight = np.clip(np.take_along_axis(near, best, 1), 0, 1).astype(np.float64) ** POWER
         total = weight.sum(axis=1)
         out = (weight * self.labels[best]).sum(axis=1)
@@ -107,7 +114,6 @@ def frequencies(docs: DataFrame):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label="quality", keep=None, rows=SAMPLE_ROWS, dims=DIMS) -> Model:
-    shared.settle(docs.sparkSession)
 
     def run(batches):
         for batch in kernel.chunks(batches, "text", CHUNK):
@@ -144,15 +150,14 @@ def fit(docs: DataFrame, labels: DataFrame, label="quality", keep=None, rows=SAM
 
 def score(docs: DataFrame, model: Model, column="score") -> DataFrame:
     """docs with a double column in 0..1; every text is read whole."""
-    shared.settle(docs.sparkSession)
     schema = T.StructType([f for f in docs.schema.fields if f.name != column] + [T.StructField(column, T.DoubleType())])
-    names = [f.name for f in schema.fields[:-1]]
+    names, own = [f.name for f in schema.fields[:-1]], shared.column_of(docs)
     sent = docs.sparkSession.sparkContext.broadcast((model.idf, model.basis, model.vectors, model.labels))
 
     def run(batches):
-        own = Model(*sent.value)
+        model = Model(*sent.value)
         for batch in kernel.chunks(batches, "text", CHUNK):
-            out = np.concatenate([own.vote(t) for t in tables(batch.column("text"))])
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(out)], names + [column])
+            out = np.concatenate([model.vote(t) for t in tables(batch.column("text"))])
+            yield pa.RecordBatch.from_arrays([own(batch, n) for n in names] + [pa.array(out)], names + [column])
 
-    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)
+    return shared.packed(docs).mapInArrow(run, schema)
