@@ -116,13 +116,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold=THRESHOLD, n=N
     """(doc_id, item_id, score, first_word, last_word): the best alignment of each pair of ids
     whose score reaches the threshold; word numbers count from 0 in the document."""
     spark = docs.sparkSession
-    shared.settle(spark)
-    items = shared.cut(items_of(benchmark, n))
-    longest = items.agg(F.max(F.length("words"))).first()[0] or 0
-    pad = int(np.ceil((longest // 8) * max(1.0, 3 - 2 * threshold)))
-    seeds = shared.cut(items.select("item_id", F.explode("seeds").alias("h")).distinct())
+    with shared.settled(spark):
+        items = shared.cut(items_of(benchmark, n))
+        longest = items.agg(F.max(F.length("words"))).first()[0] or 0
+        pad = int(np.ceil((longest // 8) * max(1.0, 3 - 2 * threshold)))
+        seeds = shared.cut(items.select("item_id", F.explode("seeds").alias("h")).distinct())
+        seed_bits = spark.sparkContext.broadcast(np.packbits(bloom(seeds, "h")))
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    seed_bits = spark.sparkContext.broadcast(np.packbits(bloom(seeds, "h")))
 
     def passages(batches):
         bits = np.unpackbits(seed_bits.value)
@@ -150,9 +150,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold=THRESHOLD, n=N
                 ["doc_id", "low", "passage", "hits"],
             )
 
-    found = shared.cut(
-        texts.mapInArrow(passages, "doc_id long, low long, passage binary, hits array<long>").withColumn("at", F.xxhash64("passage"))
-    )
+    with shared.settled(spark):
+        hit = texts.mapInArrow(passages, "doc_id long, low long, passage binary, hits array<long>")
+        found = shared.cut(hit.withColumn("at", F.xxhash64("passage")))
     key = ["doc_id", "low", "at"]
     links = found.select(*key, F.explode("hits").alias("h")).join(seeds, "h").select(*key, "item_id").distinct()
     sizes = items.select("item_id", "words")

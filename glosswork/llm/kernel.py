@@ -24,24 +24,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-_lean = False
-
-
-def lean():
-    """Lets the C library give large arrays' memory back to the system as soon as they go."""
-    global _lean
-    if not _lean:
-        import ctypes
-
-        try:
-            libc = ctypes.CDLL(None)
-            libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD: larger blocks go back when freed
-            libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD: so does what is free beyond this
-        except (OSError, AttributeError):
-            pass
-        _lean = True
-
-
 def mix(x):
     """Finaliser: spreads every bit of a uint64 array over all bits."""
     x = (x ^ (x >> U(30))) * U(MUL_B)
@@ -99,7 +81,6 @@ def text_buffer(array):
 def chunks(batches, column, most):
     """The batches' rows in pieces of about `most` text bytes: small batches together, large ones
     cut; a row of more bytes is a piece of its own."""
-    lean()
     held, size = [], 0
     for batch in batches:
         _, offsets = text_buffer(batch.column(column))

@@ -466,20 +466,19 @@ def links(sets_: DataFrame, parts: int) -> DataFrame:
 def rows_with_components(docs: DataFrame) -> DataFrame:
     """(doc_id, content, node, n, component_id) of every row; content is xxhash64 of its text."""
     spark = docs.sparkSession
-    with shared.settled(spark):
+    with shared.settled(spark), shared.scratch() as tables:
         own = shared.cut(members(docs))
         texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
         total = own.agg(F.sum("n")).first()[0] or 0
         parts = max(shared.partitions(spark), -(-total // ENTRIES))
         sets_ = shared.written(shared_sets(texts, common_shingles(own), parts))
-        shared.release(spark)
+        tables.append(sets_)
         comp = links(sets_, parts)
         # components of classes, named by their smallest document
         full = own.where("node is not null and doc_id is not null").select("doc_id", "content", "node", "n")
         classes = full.groupBy("node").agg(F.min("doc_id").alias("least")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
         of_node = shared.cut(classes.join(least, "component").select("node", "component_id"))
-        shared.discard(sets_)
     rest = own.where("node is null or doc_id is null").select("doc_id", "content", F.lit(None).cast("long").alias("node"), "n", F.col("doc_id").alias("component_id"))
     return full.join(of_node, "node").select("doc_id", "content", "node", "n", "component_id").unionByName(rest)
 

@@ -12,11 +12,16 @@ that also start earlier.
    (64 bits) and grouped, one bucket of the hash range at a time, so that a bucket's entries are
    all that is on disk; in each group the earliest start stays, the others are reported.
 
-Entries travel as packed blocks (see shared).  A group's entries are fixed-size and are sorted
-in one vector operation; nothing is emitted per pair.  A group is never larger than the number of
-its occurrences, and occurrences of different contents spread over all parts.
-
-Rows are identified by a hash of (order key, text): equal rows have equal results and count once.
+Entries travel as packed blocks (see shared); nothing is emitted per pair.  A chunk decides what it
+can by itself before anything is sent: of an anchor that has company within the chunk one entry
+goes to the anchor's task, and of a window only the chunk's earliest; the others are known, and go
+straight to their row's task.  So a passage that a third of all rows hold sends one entry a chunk,
+not one a row, to the task of its hash.  The number of tasks follows the size of the texts.
+
+Windows are compared by 64 bits of a polynomial hash and rows are identified by a 64-bit hash of
+(order key, text): equal rows have equal results and count once.  Among m different candidate
+windows about m * m / 4e19 pairs are taken for equal by chance: none expected below some 1e9 of
+them, about 3 among 1e10.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import kernel, shared
 
 CHUNK = 1 << 20
+#: Bytes of text for each task.
+TASK_BYTES = 16 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -128,13 +135,49 @@ def earlier(docs: DataFrame, unit, width: int, v: int, cover, across_only: bool,
     the same row.
     """
     spark = docs.sparkSession
-    shared.settle(spark)
-    n = shared.partitions(spark)
+    with shared.settled(spark), shared.scratch() as tables:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(shared.partitions(spark), -(-size // TASK_BYTES))
+        return _earlier(docs, unit, width, v, cover, across_only, buckets, n, tables)
+
+
+def _earlier(docs, unit, width, v, cover, across_only, buckets, n, tables):
     keys = shared.part_keys(n)
     short = width - v + 1
     in_cover = np.zeros(v, bool)
     in_cover[list(cover)] = True
     texts = docs.select("__rid", "__ord", "text").where("text is not null")
+    own = (np.int64, np.uint32, np.uint32, np.uint16)
+
+    def sent(part, row, place, rid, more, ask, tell, order=None):
+        """Blocks of entries: those of the mask ask for the tasks of their hashes, with the columns
+        of more, and the places of the mask tell for the tasks of their rows."""
+        out = {}
+        for p, (r, q, *c) in shared.pack(part[ask], [row[ask], place[ask], *[x[ask] for x in more]], n):
+            start, count, high, low = split_runs(r, q)
+            out[p] = [rid[r[start]], count, high, low, *([] if order is None else [order[r[start]]]), *c]
+        empty = [np.zeros(0, x) for x in own] + [np.zeros(0, np.int64)] * (order is not None) + [np.zeros(0, x.dtype) for x in more]
+        passed = {}
+        for p, (r, q) in shared.pack(shared.part_of(kernel.mix(rid.view(kernel.U)), n)[row[tell]], [row[tell], place[tell]], n):
+            start, count, high, low = split_runs(r, q)
+            passed[p] = [rid[r[start]], count, high, low]
+        none = [np.zeros(0, x) for x in own]
+        parts = sorted(out.keys() | passed.keys())
+        return shared.packed_batch([keys[p] for p in parts], [shared.block([*out.get(p, empty), *passed.get(p, none)]) for p in parts])
+
+    def entries(got):
+        """(distinct rids, rid of each entry, place of each entry) of arrays as in own."""
+        rid, count, high, low = (np.concatenate([g[i] for g in got]) for i in range(4))
+        distinct, row = ranked(rid, count)
+        return distinct, row, joined(high, count, low)
+
+    def answered(distinct, row, place, passed):
+        """Blocks of found entries and of those that chunks passed on."""
+        more, row2, place2 = passed
+        both = np.concatenate([distinct, more])
+        row, place = np.concatenate([row, row2 + kernel.U(len(distinct))]), np.concatenate([place, place2])
+        if len(row):
+            yield returned(both, row, place, n, keys)
 
     def anchors(batches):
         for batch in kernel.chunks(batches, "text", CHUNK):
@@ -149,19 +192,22 @@ def earlier(docs: DataFrame, unit, width: int, v: int, cover, across_only: bool,
             h = kernel.ranges(kernel.prefix(seq, unit.base), at, at + short, unit.base)
             row = np.searchsorted(rows, at, "right") - 1
             rid = batch.column("__rid").to_numpy()
-            parts, blocks = [], []
-            for p, (k, r, q) in shared.pack(shared.part_of(h, n), [(h & kernel.U(0xFFFFFFFF)).astype(np.uint32), row.astype(np.int32), place[at].astype(np.uint32)], n):
-                start, count, high, low = split_runs(r, q)
-                parts.append(keys[p])
-                blocks.append(shared.block([rid[r[start]], count, high, k, low]))
-            yield shared.packed_batch(parts, blocks)
+            order = np.argsort(h, kind="stable")
+            start, count = shared.runs(h[order])
+            mine = rid[row[order]]
+            met = np.minimum.reduceat(mine, start) != np.maximum.reduceat(mine, start) if across_only else count > 1
+            ask, tell = np.empty(len(h), bool), np.empty(len(h), bool)
+            tell[order] = np.repeat(met, count)
+            ask[order] = ~tell[order]
+            ask[order[start]] = True  # one entry asks for all that have met
+            low = (h & kernel.U(0xFFFFFFFF)).astype(np.uint32)
+            yield sent(shared.part_of(h, n), row.astype(np.int32), place[at].astype(np.uint32), rid, [low], ask, tell)
 
     def company(batches):
         for _, blocks in shared.by_part(batches):
-            got = [shared.unblock(b, (np.int64, np.uint32, np.uint32, np.uint32, np.uint16)) for b in blocks]
-            distinct, rid = ranked(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
-            key = np.concatenate([g[3] for g in got])
-            pos = np.concatenate([joined(h, c, q) for _, c, h, _, q in got])
+            got = [shared.unblock(b, (*own, np.uint32, *own)) for b in blocks]
+            distinct, rid, pos = entries([g[:4] for g in got])
+            key, passed = np.concatenate([g[4] for g in got]), entries([g[5:] for g in got])
             packed = np.sort((key.astype(kernel.U) << kernel.U(32)) | np.arange(len(key), dtype=kernel.U))
             order, key = (packed & kernel.U(0xFFFFFFFF)).astype(np.int64), packed >> kernel.U(32)
             del packed, got
@@ -176,19 +222,16 @@ def earlier(docs: DataFrame, unit, width: int, v: int, cover, across_only: bool,
                 alone[1:] &= ~same
                 alone[:-1] &= ~same
                 kept = order[~alone]
-            if len(kept):
-                yield returned(distinct, rid[kept], pos[kept], n, keys)
+            yield from answered(distinct, rid[kept], pos[kept], passed)
 
     def exchanged(df, send, receive):
         return shared.dealt(df.mapInArrow(send, shared.PACKED), n).mapInArrow(receive, shared.PACKED)
 
-    # no name holds a frame whose shuffles are done, so that release() can drop their files
     flags = shared.written(by_row(exchanged(texts.select("__rid", "text"), anchors, company), n, False))
-    shared.release(spark)
+    tables.append(flags)
     # a merge join at every size: texts and flags both grow with the input
     some = shared.written(texts.join(flags.hint("merge"), "__rid").dropDuplicates(["__rid"]))
-    shared.discard(flags)
-    shared.release(spark)
+    tables.append(some)
 
     def windows(bucket):
         def run(batches):
@@ -211,40 +254,42 @@ def earlier(docs: DataFrame, unit, width: int, v: int, cover, across_only: bool,
                     mine = (h & kernel.U(0xFF)) * kernel.U(buckets) >> kernel.U(8) == kernel.U(bucket)
                     h, at = h[mine], at[mine]
                 row = np.searchsorted(rows, at, "right") - 1
-                rid, order = batch.column("__rid").to_numpy(), batch.column("__ord").to_numpy()
-                parts, blocks = [], []
-                for p, (k, r, q) in shared.pack(shared.part_of(h, n), [h, row.astype(np.int32), place[at].astype(np.uint32)], n):
-                    start, count, high, low = split_runs(r, q)
-                    parts.append(keys[p])
-                    blocks.append(shared.block([rid[r[start]], order[r[start]], count, high, k, low]))
-                yield shared.packed_batch(parts, blocks)
+                rid, ord_ = batch.column("__rid").to_numpy(), batch.column("__ord").to_numpy()
+                order = np.argsort(h, kind="stable")
+                start, count = shared.runs(h[order])
+                when = ord_[row[order]]
+                late = when > np.repeat(np.minimum.reduceat(when, start), count)
+                if not across_only:  # a row's entries are together and in order
+                    late[1:] |= (h[order[1:]] == h[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+                tell = np.empty(len(h), bool)
+                tell[order] = late
+                yield sent(shared.part_of(h, n), row.astype(np.int32), place[at].astype(np.uint32), rid, [h], ~tell, tell, ord_)
 
         return run
 
     def later(batches):
         for _, blocks in shared.by_part(batches):
-            got = [shared.unblock(b, (np.int64, np.int64, np.uint32, np.uint32, kernel.U, np.uint16)) for b in blocks]
-            distinct, rid = ranked(np.concatenate([g[0] for g in got]), np.concatenate([g[2] for g in got]))
-            ord_ = np.concatenate([np.repeat(g[1], g[2]) for g in got])
-            key = np.concatenate([g[4] for g in got])
-            pos = np.concatenate([joined(g[3], g[2], g[5]) for g in got])
+            got = [shared.unblock(b, (*own, np.int64, kernel.U, *own)) for b in blocks]
+            distinct, rid, pos = entries([g[:4] for g in got])
+            ord_ = np.concatenate([np.repeat(g[4], g[1]) for g in got])
+            key, passed = np.concatenate([g[5] for g in got]), entries([g[6:] for g in got])
             del got
-            order = np.argsort(key, kind=None if across_only else "stable")
-            key, rid, ord_ = key[order], rid[order], ord_[order]
+            order = np.argsort(key)
+            key, rid, pos, ord_ = key[order], rid[order], pos[order], ord_[order]
             start, count = shared.runs(key)
-            out = ord_ > np.repeat(np.minimum.reduceat(ord_, start), count)
-            if not across_only:  # a row's entries are together and in order
-                out[1:] |= (key[1:] == key[:-1]) & (rid[1:] == rid[:-1])
-            out = np.flatnonzero(out)
-            if len(out):
-                yield returned(distinct, rid[out], pos[order[out]], n, keys)
-
-    found = None
-    for b in range(buckets):
-        part = shared.written(by_row(exchanged(some, windows(b), later), n, True))
-        found = part if found is None else found.unionByName(part)
-        shared.release(spark)
-    shared.discard(some)
+            out = ord_ > np.repeat(np.minimum.reduceat(ord_, start), count) if len(key) else np.zeros(0, bool)
+            yield from answered(distinct, rid[out], pos[out], passed)
+
+    parts = []
+    try:
+        for b in range(buckets):
+            parts.append(shared.written(by_row(exchanged(some, windows(b), later), n, True)))
+    except BaseException:
+        shared.discard(*parts)
+        raise
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
     return found.groupBy("__rid").agg(F.collect_list("__places").alias("__starts"))
 
 

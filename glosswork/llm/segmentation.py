@@ -260,14 +260,14 @@ def decode_rows(pieces, offsets, voc):
 
 def encode(docs: DataFrame, path=MODEL, seed=0, sharpness=1.0, key="doc_id", check=False) -> DataFrame:
     """docs with pieces (array of ids) and n_pieces; check adds lossless, the outcome of decoding."""
-    shared.settle(docs.sparkSession)
     added = [T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType())]
     added += [T.StructField("lossless", T.BooleanType())] * check
     own = {f.name for f in added}
     kept = [f.name for f in docs.schema.fields if f.name not in own]
     schema = T.StructType([docs.schema[n] for n in kept] + added)
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(path, sharpness))
-    keyed = docs.select(*[F.col(f"`{n}`") for n in kept], F.coalesce(F.xxhash64(F.col(key)), F.xxhash64("text")).alias("__key"))
+    place = shared.own_name(docs, "__key")
+    keyed = docs.select(*[F.col(f"`{n}`") for n in kept], F.coalesce(F.xxhash64(F.col(key)), F.xxhash64("text")).alias(place))
     names = [f.name for f in schema.fields]
 
     def run(batches):
@@ -275,7 +275,7 @@ def encode(docs: DataFrame, path=MODEL, seed=0, sharpness=1.0, key="doc_id", che
         lattices = Lattices(voc)
         for batch in kernel.chunks(batches, "text", CHUNK):
             text = batch.column("text")
-            keys = batch.column("__key").to_numpy(zero_copy_only=False).astype(np.int64).view(kernel.U)
+            keys = batch.column(place).to_numpy(zero_copy_only=False).astype(np.int64).view(kernel.U)
             pieces, offsets = encode_rows(text, keys, lattices, seed)
             null = text.is_null()
             mask = null.to_numpy(zero_copy_only=False)
@@ -298,7 +298,6 @@ def encode(docs: DataFrame, path=MODEL, seed=0, sharpness=1.0, key="doc_id", che
 
 def decode(encoded: DataFrame, path=MODEL, column="decoded") -> DataFrame:
     """encoded with the text of its pieces; null pieces give null."""
-    shared.settle(encoded.sparkSession)
     kept = [f.name for f in encoded.schema.fields if f.name != column]
     schema = T.StructType([encoded.schema[n] for n in kept] + [T.StructField(column, T.StringType())])
     sent = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path))

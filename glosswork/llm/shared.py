@@ -10,35 +10,48 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import kernel
-
 #: Rows of an Arrow batch: whole documents go to Python, so batches are kept small.
 ARROW_ROWS = 200
 
 
-def settle(spark: SparkSession) -> None:
-    """Bounds Arrow batches, as rows hold whole texts or packed blocks."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 @contextlib.contextmanager
 def settled(spark: SparkSession):
-    """settle() for the jobs that run inside; the session's own setting comes back after them."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    settle(spark)
+    """For the jobs that run inside: small Arrow batches, as rows hold whole texts or packed
+    blocks, and shuffle files that go when their job ends.  The session's own settings come back
+    afterwards, also after an error."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@contextlib.contextmanager
+def scratch():
+    """A list of tables of written() that are deleted at the end, also after an error."""
+    tables: list[DataFrame] = []
+    try:
+        yield tables
+    finally:
+        discard(*tables)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a local run (as in tests) gets a temporary folder; on a cluster that is
+    an error, as each executor would write to its own disk."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have and (found := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         have = found.get()
     if not have:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         have = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(have)
     return have
@@ -68,15 +81,26 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished jobs."""
-    import gc
-    import time
+def own_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as (doc_id, text, rest): its other columns are the struct rest's c0, c1, ..., so that none
+    clashes with an operator's own names."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)] or [F.lit(0).alias("none")]
+    return docs.select("doc_id", "text", F.struct(*rest).alias("rest"))
+
 
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def column_of(docs: DataFrame):
+    """A function (batch, name) that gives a column of docs from an Arrow batch of packed(docs)."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return lambda batch, name: batch.column("rest").field(others.index(name)) if name in others else batch.column(name)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -170,7 +194,6 @@ def dealt(df: DataFrame, n: int) -> DataFrame:
 
 def by_part(batches):
     """The blocks of a task, by part."""
-    kernel.lean()
     held: dict[int, list] = {}
     for batch in batches:
         for p, b in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -6,7 +6,8 @@ windows, which are grouped by their content; the earliest start stays.
 
 Defined cases: null text has no words; texts of fewer than 20 words lose nothing; documents with
 equal ids and different texts don't remove from each other, equal rows have equal results; a null
-doc_id comes after all others; an empty table gives no rows; other columns are passed through.
+doc_id comes after all others; an empty table gives no rows; other columns are passed through, but
+dedup() replaces those named like a column it adds, and strip() adapts n_chars.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
-from . import kernel, repeats
+from . import kernel, repeats, shared
 from .suffix_dedup import with_starts
 
 WIDTH = 20
@@ -26,7 +27,7 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 
 def dedup(docs: DataFrame, width=WIDTH) -> DataFrame:
     """docs with kept (string), n_words, n_removed and kept_sha256."""
-    marked = with_starts(docs, None, repeats.WordUnits, width, PERIOD, COVER, False, 1)
+    marked = with_starts(docs, repeats.WordUnits, width, PERIOD, COVER, False, 1)
     added = [
         T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("kept_sha256", T.StringType()),
@@ -49,19 +50,36 @@ def dedup(docs: DataFrame, width=WIDTH) -> DataFrame:
                 kept.append(b" ".join(words))
                 sha.append(hashlib.sha256(kept[-1]).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in names]
+                [column(batch, n) for n in names]
                 + [pa.array([k.decode() for k in kept], pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)],
                 names + [f.name for f in added],
             )
 
-    used = [F.col(f"`{n}`") for n in names]
-    return marked.select(*used, "__starts").mapInArrow(run, schema)
+    column = shared.column_of(docs)
+    return marked.select("doc_id", "text", "rest", "__starts").mapInArrow(run, schema)
 
 
 def strip(docs: DataFrame, width=WIDTH) -> DataFrame:
     """docs without the repeated words; texts that lose none are unchanged."""
-    out = dedup(docs.withColumnRenamed("kept", "__kept") if "kept" in docs.columns else docs, width)
-    changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    return out.withColumns(changed).select(*[F.col(f"`{'__kept' if n == 'kept' else n}`").alias(n) for n in docs.columns])
+    marked = with_starts(docs, repeats.WordUnits, width, PERIOD, COVER, False, 1)
+    column, names, schema = shared.column_of(docs), docs.columns, docs.schema
+
+    def run(batches):
+        for batch in kernel.chunks(batches, "text", repeats.CHUNK):
+            text = batch.column("text").to_pylist()
+            changed = [i for i, starts in enumerate(batch.column("__starts")) if starts.is_valid]
+            sizes = batch.column("rest").field(others.index("n_chars")).to_pylist() if "n_chars" in others else None
+            for i in changed:
+                words = text[i].encode().split()
+                mask = repeats.covered(batch.column("__starts")[i].as_py(), len(words), width).tolist()
+                if any(mask):
+                    text[i] = b" ".join([w for w, out in zip(words, mask) if not out]).decode()
+                    if sizes:
+                        sizes[i] = len(text[i])
+            own = {"text": pa.array(text, batch.column("text").type)}
+            if sizes:
+                own["n_chars"] = pa.array(sizes, column(batch, "n_chars").type)
+            yield pa.RecordBatch.from_arrays([own[n] if n in own else column(batch, n) for n in names], names)
+
+    others = [c for c in names if c not in ("doc_id", "text")]
+    return marked.select("doc_id", "text", "rest", "__starts").mapInArrow(run, schema)

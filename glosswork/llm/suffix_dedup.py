@@ -9,7 +9,8 @@ of that length matter here.
 
 Defined cases: null text counts as empty; texts are judged as UTF-8 bytes and matches never cross
 documents; documents with equal ids don't remove from each other; a null doc_id comes after all
-others; an empty table gives no rows; other columns are passed through.
+others; an empty table gives no rows; other columns are passed through, but for those named like
+an added one, which it replaces.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from . import kernel, repeats, shared
 
@@ -27,15 +28,16 @@ PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 BUCKETS = 3
 
 
-def with_starts(docs: DataFrame, starts_of, unit, width, period, cover, across, buckets):
-    keyed = repeats.keyed(docs)
+def with_starts(docs: DataFrame, unit, width, period, cover, across, buckets):
+    """shared.packed(docs) with __starts."""
+    keyed = repeats.keyed(shared.packed(docs))
     starts = repeats.earlier(keyed, unit, width, period, cover, across, buckets)
     return keyed.join(starts.hint("merge"), "__rid", "left")
 
 
 def dedup(docs: DataFrame, width=WIDTH, buckets=BUCKETS) -> DataFrame:
     """docs with kept (binary), n_bytes, n_removed, n_spans and kept_sha256."""
-    marked = with_starts(docs, None, repeats.Bytes, width, PERIOD, COVER, True, buckets)
+    marked = with_starts(docs, repeats.Bytes, width, PERIOD, COVER, True, buckets)
     added = [
         T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()),
@@ -61,9 +63,9 @@ def dedup(docs: DataFrame, width=WIDTH, buckets=BUCKETS) -> DataFrame:
                 kept.append(text.tobytes())
                 sha.append(hashlib.sha256(kept[-1]).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in names] + [kernel.binary(kept), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha)],
+                [column(batch, n) for n in names] + [kernel.binary(kept), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha)],
                 names + [f.name for f in added],
             )
 
-    used = [F.col(f"`{n}`") for n in names]
-    return marked.select(*used, "__starts").mapInArrow(run, schema)
+    column = shared.column_of(docs)
+    return marked.select("doc_id", "text", "rest", "__starts").mapInArrow(run, schema)

@@ -69,7 +69,9 @@ def test_words_and_hashes():
     found = [w.data[a:b].tobytes() for a, b in zip(w.start, w.end)]
     assert found == [x for s in t for x in (s or "").encode().split()]
     assert w.hash[0] == w.hash[4] and len(set(w.hash.tolist())) == len(set(found))
-    assert kernel.windows(w.hash, 2)[0] == kernel.windows(w.hash[4:], 2)[0] or w.hash[1] != w.hash[5]
+    v = kernel.Words(pa.array(["a b a b"]))
+    pairs = kernel.windows(v.hash, 2)
+    assert pairs[0] == pairs[2] != pairs[1]
 
 
 def test_part_keys_reach_every_partition(spark):
@@ -259,6 +261,71 @@ def test_classifiers_on_held_out_rows(spark, module, label, m, r, least):
     assert len({x.score for x in none}) == 1
 
 
+def test_ftrl_against_brute_force():
+    """The update rules, one coordinate after the other."""
+    rng = random.Random(4)
+    rows = [(sorted(rng.sample(range(30), 6)) + [32], int(rng.random() < 0.4)) for _ in range(200)]
+    model = toxicity.Ftrl(5, alpha=0.2, beta=0.5, l1=0.3, l2=0.1)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= 0.3:
+            return 0.0
+        return -(z[i] - (0.3 if z[i] > 0 else -0.3)) / ((0.5 + n[i] ** 0.5) / 0.2 + 0.1)
+
+    for at, y in rows:
+        model.learn(np.array(at), y)
+        w = {i: weight(i) for i in at}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - y
+        for i in at:
+            sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.2
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+    at, values = model.sparse()
+    want = {i: weight(i) for i in range(33) if weight(i)}
+    assert set(at.tolist()) == set(want) and 5 < len(want) < 33
+    assert np.allclose([want[i] for i in at.tolist()], values, rtol=1e-5)
+
+
+def test_toxicity_features_and_scores(spark, docs, rows):
+    texts = [t for _, t in rows]
+    row, key = toxicity.features(pa.array(texts), 50)
+    got = Counter(r for r, _ in set(zip(row.tolist(), key.tolist())))
+    for i, t in enumerate(texts):
+        low = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+        w = (t or "").encode().translate(low).split()
+        stems = {(k, x[:k].ljust(k, b"\0")) for x in w for k in toxicity.STEMS}
+        assert got[i] == len({*w}) + len(stems) + len(set(zip(w, w[1:]))) + len(set(zip(w, w[2:])))
+    rng = np.random.default_rng(1)
+    at = rng.choice(1 << 10, 300, replace=False).astype(np.int32)
+    weights = (np.append(at, 1 << 10).astype(np.int32), rng.standard_normal(301).astype(np.float32))
+    table = dict(zip(weights[0].tolist(), weights[1].tolist()))
+    row, key = toxicity.features(pa.array(texts), 10)
+    total = Counter()
+    for r, k in set(zip(row.tolist(), key.tolist())):
+        total[r] += table.get(k, 0.0)
+    want = sorted(1 / (1 + np.exp(-np.clip(total[i] + table[1 << 10], -35, 35))) for i in range(len(texts)))
+    assert np.allclose(sorted(r.score for r in toxicity.score(docs, weights, bits=10).collect()), want, rtol=1e-4)
+
+
+def test_votes_against_brute_force():
+    rng = np.random.default_rng(9)
+    x = rng.integers(-2, 3, (150, 5)).astype(np.float32)  # few values: many ties
+    x[:3] = 0
+    vectors, labels = quality.Model.scaled(x), rng.integers(0, 2, 150).astype(np.float64)
+    model = quality.Model(np.ones(5, np.float32), np.eye(5, dtype=np.float32), vectors, labels)
+    table = rng.integers(0, 4, (60, 5))
+    table[0] = 0
+    mine = model.embed(table)
+    near = mine @ vectors.T
+    for row, got in zip(near, model.vote(table)):
+        best = sorted(range(150), key=lambda j: (-row[j], j))[: quality.NEAREST]
+        weight = [max(0.0, min(1.0, float(row[j]))) ** quality.POWER for j in best]
+        want = sum(w * labels[j] for w, j in zip(weight, best)) / sum(weight) if sum(weight) > 1e-12 else labels.mean()
+        assert abs(got - want) < 1e-9
+    assert quality.nearest(np.array([[1.0, 2, 2, 2, 0]]), 2).tolist() == [[1, 2]]
+
+
 def test_idf_counts_all_documents(spark):
     rows = [(i, "good plain words") for i in range(10)] + [(i, "rare" + " 7 7" * (i % 2)) for i in range(10, 90)] + [(90, None), (None, "rare"), (91, "")]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int")
@@ -300,6 +367,25 @@ def test_embedding_links(spark):
     assert embedding_dedup.link(df.limit(0)).count() == 0
 
 
+def test_embedding_recall_at_the_threshold(spark, monkeypatch):
+    """Pairs planted at a cosine just above 0.98 among unrelated vectors, with more signs than so few need."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((1500, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.standard_normal((1500, 24))
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    near = 0.9801 * base + np.sqrt(1 - 0.9801**2) * other
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, near]))] + [(9000, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("n", F.lit("clash")).withColumn("cls", F.lit(0))
+    x = np.concatenate([base, near])
+    want = int((np.triu(x @ x.T, 1) >= 0.98).sum())
+    for fill in (32, 0.05):
+        monkeypatch.setattr(embedding_dedup, "FILL", fill)
+        found = sum(r.n_links for r in embedding_dedup.link(df).collect()) // 2
+        assert want >= 1500 and 0.995 * want <= found <= want
+
+
 # --- 7
 
 
@@ -309,7 +395,7 @@ def test_feistel_is_a_permutation(spark, n):
     assert sorted(got) == list(range(n))
 
 
-def test_shards(spark, docs, rows):
+def test_shards(spark, docs, rows, monkeypatch):
     got = sharding.shard(docs, 8).collect()
     size = Counter(r["shard"] for r in got)
     assert max(size.values()) - min(size.values()) <= 1 and len(got) == len(rows)
@@ -317,11 +403,15 @@ def test_shards(spark, docs, rows):
         assert sorted(r.slot for r in got if r["shard"] == s) == list(range(size[s]))
     want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows)
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
-    ids = [r.doc_id for r in sorted(got, key=lambda r: r.row_number)]
-    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
+    key = lambda r: (r.doc_id, r.size, r.text_crc32, r["shard"], r.slot)
+    again = sharding.shard(docs.withColumn("shard", F.lit("x")).repartition(7), 8).collect()
+    assert Counter(map(key, again)) == Counter(map(key, got))
     assert sharding.shard(docs.limit(0)).count() == 0
-    same = sharding.shard(frame(spark, [(7, "a")] * 300)).collect()
-    assert sorted(r.row_number for r in same) == list(range(300))
+    monkeypatch.setattr(sharding, "BUCKET", 7)  # many buckets and runs, and a frequent row in parts
+    monkeypatch.setattr(sharding, "RUN", 3)
+    same = sharding.shard(frame(spark, [(7, "a")] * 300 + [(None, None)] * 9 + [(i, "b") for i in range(200)])).collect()
+    assert sorted(r.row_number for r in same) == list(range(509))
+    assert max(Counter(r["shard"] for r in same).values()) == 64
 
 
 # --- 8 and 9
