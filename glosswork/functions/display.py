@@ -14,7 +14,7 @@ def theme_color(number: Column) -> Column:
 
 def percent(value: Column) -> Column:
     """0..1 as a whole percentage, halves to even; what is no number is 0."""
-    number = F.coalesce(F.expr("try_cast(NULL as double)"), value.try_cast("double"), F.lit(0.0))
+    number = F.coalesce(value.try_cast("double"), F.lit(0.0))
     number = F.when(F.isnan(number), F.lit(0.0)).otherwise(number)
     return F.concat(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)) * 100, 0).cast("int").cast("string"), F.lit("%"))
 

@@ -20,22 +20,33 @@ STOPWORDS_KO = tuple(
 )
 STOPWORDS = STOPWORDS_EN + STOPWORDS_KO
 
-# Label: words that suggest it.
+# The label that a word suggests.
 THEME_HINTS = {
-    word: label
-    for label, words in {
-        "Peer Collaboration": "peer peers classmate classmates group groups",
-        "Belonging and Course Community": "community",
-        "Instructor Support": "teacher teachers instructor instructors feedback support supported",
-        "Confidence and Self-Efficacy": "confidence confident",
-        "Isolation and Disconnection": "isolated isolation",
-        "Course Structure and Clarity": "deadline deadlines",
-        "Technology and Access Barriers": "platform",
-        "Online Learning Experience": "online",
-        "Learner Autonomy": "autonomy independent",
-        "Motivation and Persistence": "motivation",
-    }.items()
-    for word in words.split()
+    "peer": "Peer Collaboration",
+    "peers": "Peer Collaboration",
+    "classmate": "Peer Collaboration",
+    "classmates": "Peer Collaboration",
+    "community": "Belonging and Course Community",
+    "group": "Peer Collaboration",
+    "groups": "Peer Collaboration",
+    "teacher": "Instructor Support",
+    "teachers": "Instructor Support",
+    "instructor": "Instructor Support",
+    "instructors": "Instructor Support",
+    "feedback": "Instructor Support",
+    "support": "Instructor Support",
+    "supported": "Instructor Support",
+    "confidence": "Confidence and Self-Efficacy",
+    "confident": "Confidence and Self-Efficacy",
+    "isolated": "Isolation and Disconnection",
+    "isolation": "Isolation and Disconnection",
+    "deadline": "Course Structure and Clarity",
+    "deadlines": "Course Structure and Clarity",
+    "platform": "Technology and Access Barriers",
+    "online": "Online Learning Experience",
+    "autonomy": "Learner Autonomy",
+    "independent": "Learner Autonomy",
+    "motivation": "Motivation and Persistence",
 }
 
 # The context that the built-in codebook is meant for.

@@ -11,6 +11,7 @@ from pyspark.sql import Column, functions as F
 
 from .lexicon import STOPWORDS
 
+# Patterns that decide the results.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 EDGES = rf"^{SPACE}+|{SPACE}+$"
 #: Line ends of all kinds.
@@ -42,10 +43,14 @@ def sentences(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """All tokens, lower case, without outer apostrophes and participant numbers (p12)."""
-    found = F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
-    found = F.transform(found, lambda t: F.regexp_replace(F.lower(t), F.lit("^'+|'+$"), F.lit("")))
-    return F.filter(found, lambda t: (t != "") & ~t.rlike("^p[0-9]+$"))
+    """All tokens, lower case, without outer apostrophes and participant numbers (p12).
+
+    Tokens hold no space and begin with a letter, so they are cleaned joined, not one by one.
+    """
+    found = F.lower(F.array_join(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), " "))
+    found = F.regexp_replace(found, F.lit("'+(?= |$)"), F.lit(""))
+    found = F.ltrim(F.regexp_replace(found, F.lit("(?:^| )p[0-9]+(?= |$)"), F.lit("")))
+    return F.filter(F.split(found, " "), lambda t: t != "")
 
 
 def content_words(c: Column) -> Column:
@@ -66,7 +71,7 @@ def bound(value: Column, f) -> Column:
 def grams(tokens: Column, n: int, by: str) -> Column:
     """Array of the runs of n tokens, joined."""
     starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), by))
+    return F.transform(starts, lambda i: F.concat_ws(by, *[F.element_at(tokens, i + k) for k in range(n)]))
 
 
 def vector_terms(c: Column) -> Column:

@@ -1,8 +1,7 @@
 """From documents to quote units.
 
 documents: corpus_id, doc_pos, source_name, text.  Everything up to the quotes of a document is
-computed within its row, without a shuffle; only the running numbers of a corpus need one, of
-one count per document.
+computed within its row, without a shuffle; only the running numbers of a corpus need one.
 """
 
 from __future__ import annotations
@@ -73,21 +72,61 @@ def sentence_units(segs: DataFrame) -> DataFrame:
     return out.withColumn("word_count", F.size(tx.words(F.col("text"))))
 
 
+def quote_array(text, min_quote_words: int = 4):
+    """Quotes of a text: array of (seg_pos, speaker, text, source_line, word_count)."""
+
+    def of_segment(s, k):
+        def quote(x):
+            words = F.size(tx.words(x)).alias("word_count")
+            return F.struct((k + 1).alias("seg_pos"), s["speaker"].alias("speaker"), x.alias("text"), s["source_line"].alias("source_line"), words)
+
+        return F.transform(tx.sentences(s["text"]), quote)
+
+    return F.filter(F.flatten(F.transform(segment_array(text), of_segment)), lambda q: q["word_count"] >= min_quote_words)
+
+
+def unnumbered_quotes(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
+    """Sentences of enough words, without running numbers: one scan, no shuffle."""
+    rows = not_blank(documents).select("corpus_id", "doc_pos", "source_name", F.explode(quote_array(F.col("text"), min_quote_words)).alias("q"))
+    return rows.select("corpus_id", "doc_pos", "source_name", "q.*")
+
+
+#: Documents whose numbers are summed in one task: those with equal doc_pos div RUN; runs are
+#: summed by RUN in turn.
+RUN = 4096
+
+
 def quote_units(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
     """Sentences of enough words, numbered through each corpus.
 
-    The number is the count of quotes in earlier documents of the corpus plus the place in the
-    document, so no corpus is sorted in one task; the running count needs one row a document.
+    A document's quotes are an array, made in its row.  Documents are dealt by runs of positions;
+    a quote's number is the count in earlier runs, plus that in earlier documents of the run, plus
+    its place in the array, so no task sums a whole corpus.  Both sides read the same exchange,
+    so texts are parsed once.  Documents of equal position are taken by name, then by content; a
+    null corpus or position is one like any other, nulls first.
     """
-    units = sentence_units(segments(documents)).where(F.col("word_count") >= min_quote_words)
-    in_doc = Window.partitionBy("corpus_id", "doc_pos").orderBy("seg_pos", "sent_pos")
-    units = units.withColumn("in_doc", F.row_number().over(in_doc))
-    counts = units.groupBy("corpus_id", "doc_pos").agg(F.count("*").alias("n"))
-    so_far = Window.partitionBy("corpus_id").orderBy("doc_pos").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("corpus_id", "doc_pos", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before"))
-    out = units.join(counts, ["corpus_id", "doc_pos"]).withColumn("quote_idx", (F.col("before") + F.col("in_doc")).cast("int"))
-    return out.select(
-        "corpus_id", "doc_pos", "seg_pos", "quote_idx", quote_id(F.col("quote_idx")).alias("quote_id"), "speaker", "text", "source_line", "word_count", "source_name"
+    run = F.floor(F.col("doc_pos") / RUN)
+    parsed = not_blank(documents).select(
+        "corpus_id", run.alias("run"), F.struct("doc_pos", "source_name", quote_array(F.col("text"), min_quote_words).alias("quotes")).alias("d")
+    )
+    dealt = parsed.repartition("corpus_id", "run")
+    # the whole struct goes in, so that both sides keep the same columns and share the exchange
+    n = F.aggregate(F.array("d"), F.lit(0).cast("long"), lambda a, d: a + F.size(d["quotes"]))
+    before = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    runs = dealt.groupBy("corpus_id", "run").agg(F.sum(n).alias("n")).withColumn("part", F.floor(F.col("run") / RUN))
+    parts = runs.groupBy("corpus_id", "part").agg(F.sum("n").alias("n"))
+    parts = parts.select(F.col("corpus_id").alias("c"), F.col("part").alias("p"), so_far("n", before("corpus_id").orderBy("part")).alias("parts_before"))
+    runs = runs.withColumn("runs_before", so_far("n", before("corpus_id", "part").orderBy("run")))
+    runs = runs.join(parts, F.col("corpus_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p")))
+    runs = runs.select(F.col("corpus_id").alias("c"), F.col("run").alias("r"), (F.col("parts_before") + F.col("runs_before")).alias("before"))
+    order = [F.col("d.doc_pos"), F.col("d.source_name"), F.xxhash64("d")]
+    rows = dealt.withColumn("docs_before", so_far(n, before("corpus_id", "run").orderBy(*order)))
+    rows = rows.join(runs, F.col("corpus_id").eqNullSafe(F.col("c")) & F.col("run").eqNullSafe(F.col("r")))
+    rows = rows.select("corpus_id", "d.doc_pos", "d.source_name", (F.col("before") + F.col("docs_before")).alias("before"), F.posexplode("d.quotes").alias("p", "q"))
+    rows = rows.withColumn("quote_idx", (F.col("before") + F.col("p") + 1).cast("int"))
+    return rows.select(
+        "corpus_id", "doc_pos", "q.seg_pos", "quote_idx", quote_id(F.col("quote_idx")).alias("quote_id"), "q.speaker", "q.text", "q.source_line", "q.word_count", "source_name"
     )
 
 

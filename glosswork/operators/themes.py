@@ -17,24 +17,52 @@ def hints():
     return F.create_map(*pairs)
 
 
+#: Members whose words are joined in one task: those with equal member_pos div RUN.
+RUN = 4096
+
+
+def _ahead(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """rows with n1 and n2: the first two words behind a row, from the rows' own first two (w1, w2)."""
+    line = Window.partitionBy(*key).orderBy(order)
+    after = F.coalesce(F.lead("w2", 1).over(line), F.lead("w1", 2).over(line))
+    return rows.withColumns({"n1": F.lead("w1", 1).over(line), "n2": after})
+
+
+def cluster_words(quotes: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(corpus_id, cluster_pos, t, n1, n2): content words of each member that has any, and the
+    next two words of the cluster.  Members are taken by runs, so a cluster needs no single task."""
+    own = assignments.select(*KEY, "member_pos", "quote_idx")
+    words = quotes.select("corpus_id", "quote_idx", tx.content_words(F.col("text")).alias("t")).where(F.size("t") > 0)
+    words = words.join(own, ["corpus_id", "quote_idx"]).withColumn("run", F.floor(F.col("member_pos") / RUN))
+    words = _ahead(words.withColumns({"w1": F.get("t", F.lit(0)), "w2": F.get("t", F.lit(1))}), [*KEY, "run"], "member_pos")
+    # of a run: its first word, and the second, which may be the next member's
+    first = F.min(F.struct("member_pos", "w1", F.coalesce("w2", "n1").alias("w2"))).alias("f")
+    runs = words.groupBy(*KEY, "run").agg(first).select(*KEY, "run", "f.w1", "f.w2")
+    runs = _ahead(runs, KEY, "run").select(*KEY, "run", F.col("n1").alias("r1"), F.col("n2").alias("r2"))
+    rows = words.join(runs, [*KEY, "run"])
+    n1 = F.coalesce("n1", "r1").alias("n1")
+    n2 = F.when(F.col("n1").isNull(), F.col("r2")).otherwise(F.coalesce("n2", "r1")).alias("n2")
+    return rows.select(*KEY, "t", n1, n2)
+
+
 def keywords(quotes: DataFrame, assignments: DataFrame, idf: DataFrame, limit: int = KEYWORDS) -> DataFrame:
     """(corpus_id, cluster_pos, keyword, score, k): the best terms and phrases of each cluster.
 
     Phrases run over the members' texts in member order, from one quote into the next, so a
     member's words are followed by the next two words of the cluster.
     """
-    own = assignments.select(*KEY, "member_pos", "quote_idx")
-    toks = quotes.select("corpus_id", "quote_idx", F.posexplode(tx.content_words(F.col("text"))).alias("p", "t")).join(own, ["corpus_id", "quote_idx"])
-    line = Window.partitionBy(*KEY).orderBy("member_pos", "p")
-    toks = toks.select(*KEY, "t", F.lead("t", 1).over(line).alias("t2"), F.lead("t", 2).over(line).alias("t3"))
-    grams = F.array(
-        F.struct(F.col("t").alias("keyword"), F.col("t").alias("term"), F.lit(1.0).alias("w")),
-        *[
-            F.struct(F.concat_ws(" ", *ts).alias("keyword"), F.concat_ws("_", *ts).alias("term"), F.when(F.col(ts[-1]).isNotNull(), PHRASE_WEIGHT).alias("w"))
-            for ts in (["t", "t2"], ["t", "t2", "t3"])
-        ],
-    )
-    counts = toks.select(*KEY, F.explode(grams).alias("g")).select(*KEY, "g.*").where("w is not null")
+
+    def grams(line, n):
+        def at(i):
+            words = [F.get(line, i + k) for k in range(n)]
+            weight = F.when(words[-1].isNotNull(), F.lit(PHRASE_WEIGHT if n > 1 else 1.0))
+            return F.struct(F.concat_ws(" ", *words).alias("keyword"), F.concat_ws("_", *words).alias("term"), weight.alias("w"))
+
+        return F.transform(F.sequence(F.lit(0), F.size(line) - 3), at)
+
+    line = F.concat("t", F.array("n1", "n2"))
+    every = tx.bound(line, lambda x: F.concat(*[grams(x, n) for n in (1, 2, 3)]))
+    counts = cluster_words(quotes, assignments).select(*KEY, F.explode(every).alias("g")).select(*KEY, "g.*").where("w is not null")
     counts = counts.groupBy(*KEY, "keyword", "term", "w").agg(F.count("*").alias("n"))
     scored = counts.join(idf.select("corpus_id", "term", "idf"), ["corpus_id", "term"], "left")
     bonus = F.when((F.col("w") == 1.0) & F.coalesce(F.map_contains_key(hints(), F.col("term")), F.lit(False)), HINT_WEIGHT * F.col("n")).otherwise(0.0)

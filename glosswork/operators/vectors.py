@@ -16,7 +16,8 @@ def terms(quotes: DataFrame, focus: str = "") -> DataFrame:
 def idf(tf: DataFrame, quotes: DataFrame) -> DataFrame:
     """(corpus_id, term, df, idf): ln((1+N)/(1+df))+1, N quotes."""
     total = quotes.groupBy("corpus_id").agg(F.count("*").alias("total"))
-    df = tf.groupBy("corpus_id", "term").agg(F.count("*").alias("df"))
+    # counted by tf, so that the column stays and the exchange behind tf is shared with other uses
+    df = tf.groupBy("corpus_id", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     return df.join(total, "corpus_id").select("corpus_id", "term", "df", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 

@@ -36,7 +36,7 @@ def conversations(spark, sf_dir, one_corpus=False) -> DataFrame:
     said = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
     name = F.concat(F.lit("conv_"), F.col("conv_id").cast("string"))
     if one_corpus:
-        return t.select(F.lit("all").alias("corpus_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_pos"), name.alias("source_name"), said.alias("text"))
+        return t.select(F.lit("all").alias("corpus_id"), (F.col("conv_id") * 65536 + F.col("turn")).alias("doc_pos"), name.alias("source_name"), said.alias("text"))
     return t.select(F.col("conv_id").cast("string").alias("corpus_id"), F.col("turn").alias("doc_pos"), name.alias("source_name"), said.alias("text"))
 
 
@@ -91,12 +91,12 @@ def token_stream(spark, sf_dir):
 
 
 def token_freq(spark, sf_dir):
-    q = segment.quote_units(documents(spark, sf_dir)).select(F.explode(tx.words(F.col("text"))).alias("token"))
+    q = segment.unnumbered_quotes(documents(spark, sf_dir)).select(F.explode(tx.words(F.col("text"))).alias("token"))
     return q.groupBy("token").agg(F.count("*").alias("n"))
 
 
 def stopword_filtered(spark, sf_dir):
-    q = segment.quote_units(documents(spark, sf_dir)).select("corpus_id", F.explode(tx.content_words(F.col("text"))).alias("token"))
+    q = segment.unnumbered_quotes(documents(spark, sf_dir)).select("corpus_id", F.explode(tx.content_words(F.col("text"))).alias("token"))
     return q.groupBy("corpus_id", "token").agg(F.count("*").alias("n"))
 
 
@@ -231,7 +231,7 @@ def _codebook(spark):
 
 
 def codebook_gate(spark, sf_dir):
-    return cb.in_context(segment.quote_units(documents(spark, sf_dir)))
+    return cb.in_context(segment.unnumbered_quotes(documents(spark, sf_dir)))
 
 
 def codebook_matches(spark, sf_dir):
@@ -322,7 +322,7 @@ def scalable_clusters(spark, sf_dir):
 
 
 def _coded_result(spark, sf_dir):
-    return analysis.analyze(conversations(spark, sf_dir), Settings(theme_count=2, quotes_per_theme=2), _codebook(spark), always_code=True)
+    return analysis.analyze(conversations(spark, sf_dir), Settings(theme_count=2, quotes_per_theme=2), _codebook(spark), always_code=True, cluster_rest=False)
 
 
 def theme_analysis(spark, sf_dir):
@@ -343,15 +343,9 @@ def document_themes(spark, sf_dir):
 
 
 def quotes_csv_rows(spark, sf_dir):
-    key = ["corpus_id", "cluster_pos"]
-    rows = th.shown(_ranked(spark, sf_dir), SETTINGS)
-    return counts(
-        rows.select(
-            *key, "quote_rank", F.format_string("T%02d", "cluster_pos").alias("theme_id"), display.theme_color(F.col("cluster_pos")).alias("theme_color"), "quote_id", "speaker",
-            F.col("source_name").alias("source_file"), "source_line", F.format_string("%.3f", "relevance").alias("relevance"), F.col("text").alias("quote"), F.lit(lexicon.REVIEW_STATUS).alias("validation_review_status"),
-        ),
-        "cluster_pos", "quote_rank", "source_line",
-    )
+    rows = reports.csv_rows(_coded_result(spark, sf_dir))
+    rows = rows.select("corpus_id", (F.col("p") + 1).alias("theme_pos"), (F.col("k") + 1).alias("quote_rank"), *reports.CSV_COLUMNS)
+    return counts(rows, "theme_pos", "quote_rank", "source_line")
 
 
 def result_csv(spark, sf_dir):
@@ -363,11 +357,11 @@ def result_json(spark, sf_dir):
 
 
 def markdown_lines(spark, sf_dir):
-    return reports.markdown_lines(_coded_result(spark, sf_dir))
+    return counts(reports.markdown_lines(_coded_result(spark, sf_dir)), "line_no")
 
 
 def theme_list(spark, sf_dir):
-    return analysis.theme_list(_coded_result(spark, sf_dir))
+    return counts(analysis.theme_list(_coded_result(spark, sf_dir)), "theme_pos")
 
 
 def theme_detail(spark, sf_dir):

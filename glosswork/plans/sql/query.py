@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from ...functions import lexicon, text as tx
+from . import report
 
 TOKEN = tx.TOKEN.replace("'", "''")
 SPEAKER = r"^([A-Za-z가-힣][A-Za-z0-9가-힣 _.-]{0,60})\s*:\s+(.+)$"
 
 CONV = """SELECT CAST(conv_id AS VARCHAR) AS corpus_id, turn AS doc_pos, 'conv_' || conv_id AS source_name,
     coalesce(role, '') || ': ' || coalesce(text, '') AS text FROM conversations"""
-CONV_ONE = """SELECT 'all' AS corpus_id, conv_id * 1000 + turn AS doc_pos, 'conv_' || conv_id AS source_name,
+CONV_ONE = """SELECT 'all' AS corpus_id, conv_id * 65536 + turn AS doc_pos, 'conv_' || conv_id AS source_name,
     coalesce(role, '') || ': ' || coalesce(text, '') AS text FROM conversations"""
 DOCS = "SELECT source AS corpus_id, doc_id AS doc_pos, 'doc_' || doc_id AS source_name, text FROM documents"
 
@@ -132,12 +133,32 @@ def coded(codebook):
         for t in map(tx.match_form, terms):
             compound = " " in t or "-" in t
             points.append(f"CASE WHEN {f'contains(nt, {quoted(t)})' if compound else f'list_contains(ct, {quoted(t)})'} THEN {1.5 if compound else 1.0} ELSE 0.0 END")
-        each.append(f"SELECT corpus_id, quote_id, speaker, source_name, source_line, CAST({pos} AS BIGINT) AS frame_pos, {quoted(name)} AS name, CAST({' + '.join(points)} AS DOUBLE) AS score FROM coding")
+        each.append(f"SELECT corpus_id, quote_id, speaker, text, source_name, source_line, CAST({pos} AS BIGINT) AS frame_pos, {quoted(name)} AS name, CAST({' + '.join(points)} AS DOUBLE) AS score FROM coding")
     return f""",
     coding AS (SELECT *, {norm('text')} AS nt, {content('text')} AS ct FROM quotes),
     matches AS (SELECT *, round(least(1.0, score / 6.0), 3) AS relevance FROM ({' UNION ALL '.join(each)}) WHERE score > 0)"""
 
 
+def seeds(base: str, count: int) -> str:
+    """The farthest-first seeds, one chain of expressions for each step."""
+    parts = ["""pool AS (SELECT q.corpus_id, q.quote_idx, coalesce(l1, 0.0) AS l1 FROM quotes q LEFT JOIN
+        (SELECT corpus_id, quote_idx, sum(abs(weight)) AS l1 FROM weights GROUP BY 1, 2) USING (corpus_id, quote_idx))"""]
+    first = "row_number() OVER (PARTITION BY corpus_id ORDER BY {} DESC, quote_idx) AS k"
+    parts.append(f"s1 AS (SELECT corpus_id, quote_idx FROM (SELECT *, {first.format('round(l1, 10)')} FROM pool) WHERE k = 1)")
+    near = "-1.0"
+    for n in range(2, count + 1):
+        parts.append(f"""c{n} AS (SELECT w.corpus_id, w.quote_idx, sum(w.weight * v.weight) AS cos FROM weights w
+            JOIN s{n - 1} s ON s.corpus_id = w.corpus_id JOIN weights v ON v.corpus_id = s.corpus_id AND v.quote_idx = s.quote_idx AND v.term = w.term GROUP BY 1, 2)""")
+        parts.append(f"""p{n} AS (SELECT p.corpus_id, p.quote_idx, l1, greatest({near}, coalesce(cos, 0.0)) AS near
+            FROM {f'p{n - 1}' if n > 2 else 'pool'} p LEFT JOIN c{n} USING (corpus_id, quote_idx))""")
+        taken = " AND ".join(f"NOT EXISTS (SELECT 1 FROM s{m} WHERE s{m}.corpus_id = p{n}.corpus_id AND s{m}.quote_idx = p{n}.quote_idx)" for m in range(1, n))
+        gain = "round(1 - near + least(0.25, l1 / 20), 10)"
+        parts.append(f"s{n} AS (SELECT corpus_id, quote_idx FROM (SELECT *, {first.format(gain)} FROM p{n} WHERE {taken}) WHERE k = 1)")
+        near = "near"
+    found = " UNION ALL ".join(f"SELECT corpus_id, CAST({n} AS BIGINT) AS step, quote_idx FROM s{n}" for n in range(1, count + 1))
+    return f"{base}, {', '.join(parts)} {found}"
+
+
 def all(focus, codebook, settings) -> dict[str, str]:
     conv, docs = chain(CONV), chain(DOCS)
     rank = chain(CONV, focus, ranked(focus, settings.quotes_per_theme))
@@ -151,7 +172,7 @@ def all(focus, codebook, settings) -> dict[str, str]:
         printf('T%02d', cluster_pos) AS id, row_number() OVER (PARTITION BY s.corpus_id ORDER BY quote_count DESC, score DESC, coalesce(label, 'Emerging Theme'), cluster_pos) AS theme_pos
         FROM sizes s LEFT JOIN labels USING (corpus_id, cluster_pos) JOIN shown USING (corpus_id, cluster_pos))""")
     v = "evidence_count"
-    report = f"'evidence=' || {v} || ', sources=' || source_count || ', speakers=' || speaker_count || ', central alignment=' || central_theme_alignment || ', status=' || review_status"
+    written = f"'evidence=' || {v} || ', sources=' || source_count || ', speakers=' || speaker_count || ', central alignment=' || central_theme_alignment || ', status=' || review_status"
     screen = f"'Evidence ' || {v} || ' | Sources ' || source_count || ' | Speakers ' || speaker_count || ' | Focus ' || {percent('central_theme_alignment')} || ' | ' || review_status"
     terms = tx.python_words(focus)
     cols = "corpus_id, cluster_pos, quote_rank, quote_id, speaker, source_name, source_line, relevance"
@@ -162,7 +183,8 @@ def all(focus, codebook, settings) -> dict[str, str]:
         SELECT corpus_id, row_number() OVER (PARTITION BY corpus_id ORDER BY quote_count DESC, score DESC, name, frame_pos) AS theme_pos, printf('C%02d', frame_pos) AS id, name, quote_count, score, shown
         FROM t JOIN s USING (corpus_id, frame_pos) WHERE t.k <= 2"""
     notes = "|".join(lexicon.NOTES)
-    return {
+    return report.all(code, codebook) | {
+        "farthest_seeds": seeds(conv, 3),
         "flagship": f"{themes} SELECT corpus_id, theme_pos, id, name, keywords, quote_count, score, best_quotes FROM themes",
         "doc_lines": f"{docs} SELECT corpus_id, doc_pos, CAST(n AS BIGINT) AS line_no, line FROM ln",
         "turn_segments": f"{conv} SELECT * FROM segments",
@@ -200,18 +222,15 @@ def all(focus, codebook, settings) -> dict[str, str]:
         "focus_alignment": f"{conv} SELECT corpus_id, quote_id, CAST(round({aligned('text', focus)}, 4) AS DOUBLE) AS alignment FROM quotes",
         "focus_augmented": f"{conv} SELECT corpus_id, quote_id, CASE WHEN {aligned('text', focus)} > 0 THEN text || ' {focus} {focus}' ELSE text END AS text FROM quotes",
         "normalized_text": f"WITH docs AS ({DOCS}) SELECT source_name, {norm('text')} AS normal FROM docs",
-        "validation_text": f"{rank} SELECT corpus_id, cluster_pos, {report} AS report, {screen} AS screen FROM valid",
+        "validation_text": f"{rank} SELECT corpus_id, cluster_pos, {written} AS report, {screen} AS screen FROM valid",
         "theme_row_label": f"{rank} SELECT corpus_id, cluster_pos, 'Theme  |  ' || evidence_count || ' quotes  |  ' || {percent('central_theme_alignment')} || ' focus' AS label FROM valid",
         "status_text": f"{conv} SELECT corpus_id, count(DISTINCT doc_pos) || ' documents | ' || count(*) || ' quote units | ' || count(DISTINCT speaker) || ' themes' AS status FROM quotes GROUP BY 1",
         "percent_text": f"SELECT DISTINCT round(v, 6) AS v, {percent('v')} AS percent FROM (SELECT CAST(l_discount AS DOUBLE) * CAST(12.5 AS DOUBLE) - CAST(0.1 AS DOUBLE) AS v FROM lineitem)",
         "file_selection": "SELECT conv_id, CASE WHEN count(*) = 1 THEN 'turn_' || min(turn) || '.txt' ELSE count(*) || ' transcripts selected' END AS selection FROM conversations GROUP BY 1",
-        "quotes_csv_rows": f"""{rank} SELECT corpus_id, cluster_pos, quote_rank, printf('T%02d', cluster_pos) AS theme_id, {color('cluster_pos')} AS theme_color, quote_id, speaker, source_name AS source_file, source_line,
-            printf('%.3f', relevance) AS relevance, text AS quote, {quoted(lexicon.REVIEW_STATUS)} AS validation_review_status FROM ranked WHERE quote_rank <= {settings.quotes_per_theme}""",
         "corpus_summary": f"""{code}, d AS (SELECT corpus_id, count(*) AS document_count FROM docs WHERE {strip('text')} <> '' GROUP BY 1), q AS (SELECT corpus_id, count(*) AS n FROM quotes GROUP BY 1),
             m AS (SELECT DISTINCT corpus_id FROM matches)
             SELECT d.corpus_id, document_count, coalesce(n, 0) AS quote_count, {quoted(notes)} || CASE WHEN n IS NULL THEN {quoted('|' + lexicon.NO_QUOTES_NOTE)}
-                WHEN m.corpus_id IS NOT NULL THEN {quoted('|' + '|'.join(lexicon.CODEBOOK_NOTES))}
-                WHEN n > 120 THEN '|Large transcript bounded clustering used for ' || n || ' quote units with 2 target themes.' ELSE '' END AS notes,
+                WHEN m.corpus_id IS NOT NULL THEN {quoted('|' + '|'.join(lexicon.CODEBOOK_NOTES))} ELSE '' END AS notes,
                 {quoted('|'.join(lexicon.VALIDATION_SUMMARY))} AS validation_summary
             FROM d LEFT JOIN q ON d.corpus_id = q.corpus_id LEFT JOIN m ON d.corpus_id = m.corpus_id""",
     }

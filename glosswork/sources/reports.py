@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import display, lexicon
 
@@ -93,9 +93,30 @@ def markdown(result: DataFrame) -> DataFrame:
 RECORD = ["version", "document_count", "quote_count", "themes", "notes", "validation_summary"]
 
 
+def _indented(value: Column, kind: T.DataType, depth: int = 0) -> Column:
+    """JSON of a value, two spaces a level, a space after colons, other scripts as they are."""
+    line = F.lit("\n" + "  " * (depth + 1))
+    end = F.lit("\n" + "  " * depth)
+    if isinstance(kind, T.StructType):
+        parts = []
+        for f in kind.fields:
+            comma = [F.lit(",")] if parts else []
+            parts += [*comma, line, F.lit(f'"{f.name}": '), _indented(value[f.name], f.dataType, depth + 1)]
+        out = F.concat(F.lit("{"), *parts, end, F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        items = F.transform(value, lambda x: F.concat(line, _indented(x, kind.elementType, depth + 1)))
+        out = F.when(F.size(value) == 0, "[]").otherwise(F.concat(F.lit("["), F.array_join(items, ","), end, F.lit("]")))
+    elif isinstance(kind, T.StringType):
+        out = F.regexp_replace(F.to_json(F.array(value)), r"(?s)^\[|\]$", "")
+    else:
+        out = value.cast("string")
+    return F.when(value.isNull(), "null").otherwise(out)
+
+
 def json_text(result: DataFrame) -> DataFrame:
     """(corpus_id, report): the whole result, indented, other scripts as they are."""
-    return result.select("corpus_id", F.concat(F.to_json(F.struct(*RECORD), {"pretty": "true"}), F.lit("\n")).alias("report"))
+    record = result.select("corpus_id", F.struct(*RECORD).alias("r"))
+    return record.select("corpus_id", F.concat(_indented(F.col("r"), record.schema["r"].dataType), F.lit("\n")).alias("report"))
 
 
 def csv_rows(result: DataFrame) -> DataFrame:
@@ -113,7 +134,12 @@ CSV_COLUMNS = ["theme_id", "theme_name", "theme_keywords", "theme_color", "quote
 
 def csv_text(result: DataFrame) -> DataFrame:
     """(corpus_id, report): header and rows, quoted where needed, quotes doubled."""
-    cell = lambda c: F.when(F.col(c).cast("string").rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c).cast("string"))
+
+    def cell(c):
+        text = F.coalesce(F.col(c).cast("string"), F.lit(""))  # a null is an empty cell
+        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(text.rlike('[",\r\n]'), quoted).otherwise(text)
+
     rows = csv_rows(result).select("corpus_id", F.struct("p", "k", F.concat_ws(",", *[cell(c) for c in CSV_COLUMNS]).alias("line")).alias("r"))
     rows = rows.groupBy("corpus_id").agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["line"]).alias("lines"))
     all_ = result.select("corpus_id").join(rows, "corpus_id", "left")
@@ -131,9 +157,16 @@ SUFFIXES = {".csv": "csv", ".json": "json"}
 
 
 def save(result: DataFrame, path: str, fmt: str | None = None) -> None:
-    """One corpus's report as a local file; without a format its suffix decides."""
-    fmt = fmt or SUFFIXES.get(os.path.splitext(path)[1].lower(), "markdown")
-    row = FORMATS[fmt](result).first()
+    """Reports as local files; without a format the suffix decides.
+
+    A single corpus is written to path; of several, each to a file of its own, with its number
+    (in order of corpus_id) before the suffix.  Reports come to the driver one at a time.
+    """
+    stem, suffix = os.path.splitext(path)
+    fmt = fmt or SUFFIXES.get(suffix.lower(), "markdown")
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8", newline="\n") as f:
-        f.write(row.report)
+    rows = FORMATS[fmt](result)
+    several = len(rows.take(2)) > 1
+    for k, row in enumerate(rows.orderBy("corpus_id").toLocalIterator(), 1):
+        with open(f"{stem}-{k}{suffix}" if several else path, "w", encoding="utf-8", newline="\n") as f:
+            f.write(row.report)

@@ -14,18 +14,18 @@ from glosswork.plans import analysis, catalog
 from glosswork.settings import Settings
 from glosswork.sources import files, reports
 
-CLASS = """
-Learner 1: I felt isolated when the online course began. It was hard to ask questions without classmates.
-Learner 1: Small group meetings helped because peers explained the tasks in simple words.
-Learner 2: The teacher's weekly feedback made me feel supported and more confident in writing.
-Learner 2: I still needed clearer deadlines because the learning platform was confusing.
-Learner 3: Working with classmates in breakout rooms made me part of the community.
-Learner 3: I wanted more examples from the instructor before the big projects.
+GARDEN = """
+Gardener A: The north beds stayed wet until May. Nobody could plant seedlings before the drain was dug.
+Gardener A: Shared compost bins saved money, since neighbours brought kitchen peelings twice a week.
+Gardener B: Slugs ate my lettuce during the rainy fortnight and copper tape stopped them.
+Gardener B: A rota for watering would spare old members the long walk with heavy cans.
+Gardener C: Selling surplus beans at the gate paid for new compost and a wheelbarrow.
+Gardener C: Next spring somebody must repair the drain cover behind the shed.
 """.strip()
-CLUB = """
-Parent 1: My son is on the autism spectrum and the noise and crowds made 4-H participation stressful for him.
-Leader: We had to train leaders to use visual schedules and a calm break space.
-Youth: I liked the rabbit project because it was hands-on work with animals.
+CAMP = """
+Aunt: Our nephew was diagnosed with autism last winter, yet 4-H camp became his favourite week.
+Organiser: Training for the volunteers covered short directions and printed rules for each table.
+Teen: Cooking pancakes for the county show was the hands-on job nobody wanted to miss.
 """.strip()
 
 
@@ -52,11 +52,11 @@ def test_quotes_are_numbered_through_documents(spark):
 
 
 def test_idf_and_unit_vectors(spark):
-    q = segment.quote_units(docs(spark, CLASS))
+    q = segment.quote_units(docs(spark, GARDEN))
     tf = vec.terms(q)
     idf = {r.term: (r.df, round(r.idf, 6)) for r in vec.idf(tf, q).collect()}
-    assert idf["classmates"] == (2, 1.980829)
-    assert idf["isolated"] == (1, 2.386294)
+    assert idf["compost"] == (2, 1.980829)
+    assert idf["slugs"] == (1, 2.386294)
     w = vec.weights(tf, vec.idf(tf, q)).toPandas()
     assert np.allclose((w.weight**2).groupby(w.quote_idx).sum(), 1)
 
@@ -73,11 +73,11 @@ def test_clustering_ways():
     assert sorted(sorted(c) for c in found) == [[0, 1], [2, 3], [4]] and big
     found, _ = cluster.cluster(v, Settings(theme_count=3, min_theme_size=2))
     assert found == [[0, 1, 4], [2, 3]]
-    assert cluster.cluster(v, Settings(theme_count=0))[0] == [[0, 1, 2, 3, 4]] or len(cluster.cluster(v, Settings(theme_count=0))[0]) == 1
+    assert [sorted(c) for c in cluster.cluster(v, Settings(theme_count=0))[0]] == [[0, 1, 2, 3, 4]]
 
 
 def test_seeds_agree_with_dataframe_steps(spark):
-    q = segment.quote_units(docs(spark, CLASS))
+    q = segment.quote_units(docs(spark, GARDEN))
     tf = vec.terms(q)
     w = vec.weights(tf, vec.idf(tf, q))
     got = [r.quote_idx for r in cluster.farthest_seeds(w, q, 3).orderBy("step").collect()]
@@ -88,7 +88,7 @@ def test_seeds_agree_with_dataframe_steps(spark):
 
 @pytest.fixture(scope="module")
 def clustered(spark):
-    return analysis.analyze_texts(spark, [("class.txt", CLASS)], Settings(theme_count=3, quotes_per_theme=1, central_theme="feedback support")).persist()
+    return analysis.analyze_texts(spark, [("plots.txt", GARDEN)], Settings(theme_count=3, quotes_per_theme=1, central_theme="compost drain")).persist()
 
 
 def test_clustered_analysis(clustered):
@@ -97,7 +97,7 @@ def test_clustered_analysis(clustered):
     assert sum(t.quote_count for t in r.themes) == 7
     assert all(t.id[0] == "T" and 0 <= t.score <= 1 and t.validation.displayed_quote_count == 1 <= t.validation.evidence_count for t in r.themes)
     assert r.themes[0].validation.central_theme_alignment > 0
-    assert r.notes[-1] == "Central theme priority used: feedback support."
+    assert r.notes[-1] == "Central theme priority used: compost drain."
     assert len(r.validation_summary) == 4
 
 
@@ -109,7 +109,7 @@ def test_reports(clustered, tmp_path):
     data = json.loads(reports.json_text(clustered).first().report)
     assert list(data)[:3] == ["version", "document_count", "quote_count"] and data["quote_count"] == 7
     rows = list(csv.DictReader(io.StringIO(reports.csv_text(clustered).first().report)))
-    assert len(rows) == 3 and rows[0]["source_file"] == "class.txt" and len(rows[0]["relevance"]) == 5
+    assert len(rows) == 3 and rows[0]["source_file"] == "plots.txt" and len(rows[0]["relevance"]) == 5
     reports.save(clustered, str(tmp_path / "sub" / "r.json"))
     assert json.loads((tmp_path / "sub" / "r.json").read_text())["themes"]
     assert analysis.theme_list(clustered).count() == 3
@@ -117,11 +117,11 @@ def test_reports(clustered, tmp_path):
 
 
 def test_codebook_analysis(spark):
-    r = analysis.analyze_texts(spark, [("club.txt", CLUB)]).first()
+    r = analysis.analyze_texts(spark, [("camp.txt", CAMP)]).first()
     assert all(t.id[0] == "C" for t in r.themes)
     assert {"ASD shapes 4-H participation", "Leader training and accommodations", "Useful hands-on 4-H activities"} <= {t.name for t in r.themes}
     assert r.themes[0].quotes[0].relevance <= 1
-    plain = analysis.analyze_texts(spark, [("x", CLUB.replace("4-H", "club"))]).first()
+    plain = analysis.analyze_texts(spark, [("x", CAMP.replace("4-H", "club"))]).first()
     assert all(t.id[0] == "T" for t in plain.themes)
 
 
@@ -147,13 +147,13 @@ def test_decoders():
 
 
 def test_files_and_cli(spark, tmp_path, capsys):
-    (tmp_path / "b.txt").write_text("Ann: the parent burden of online access is heavy here.")
-    (tmp_path / "a.docx").write_bytes(docx("Bob: accessibility support for parents would help a lot."))
+    (tmp_path / "b.txt").write_text("Ann: frost killed the early tomatoes in every open bed.")
+    (tmp_path / "a.docx").write_bytes(docx("Bob: a heated frame would save tomatoes from late frost."))
     (tmp_path / "bad.docx").write_bytes(b"no zip")
     got = files.read_files(spark, [str(tmp_path / n) for n in ("b.txt", "a.docx", "bad.docx")]).orderBy("doc_pos").collect()
     assert [r.source_name for r in got] == ["b.txt", "a.docx", "bad.docx"] and got[2].text is None and "BadZipFile" in got[2].error
     out = tmp_path / "o" / "report.md"
-    assert main([str(tmp_path / "b.txt"), str(tmp_path / "a.docx"), "--out", str(out), "--central-theme", "accessibility"]) == 0
+    assert main([str(tmp_path / "b.txt"), str(tmp_path / "a.docx"), "--out", str(out), "--central-theme", "frost"]) == 0
     assert "Documents analyzed: 2" in capsys.readouterr().out and "Source: a.docx" in out.read_text()
 
 
