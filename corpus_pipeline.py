@@ -40,8 +40,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = shared.cut(ngram_join.rows_with_components(docs).where("node is not null and doc_id is not null"))
     kept = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "content")).alias("k")).select("k.doc_id", "k.content")
     ids, content, first = shared.own_name(docs, "__id"), shared.own_name(docs, "__content"), shared.own_name(docs, "__first")
-    known = rows.select("doc_id", "content").distinct().join(kept.withColumn("stays", F.lit(True)), ["doc_id", "content"], "left")
-    known = known.select(F.col("doc_id").alias(ids), F.col("content").alias(content), F.coalesce("stays", F.lit(False)).alias(first))
+    known = rows.select("doc_id", "content").distinct().join(
+        kept.withColumn("stays", F.lit(True)), ["doc_id", "content"], "left"
+    )
+    known = known.select(
+        F.col("doc_id").alias(ids), F.col("content").alias(content), F.coalesce("stays", F.lit(False)).alias(first)
+    )
     # rows without an id match nothing and are spread
     text_hash = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))
     marked = docs.withColumns({ids: F.col("doc_id").cast("long"), content: text_hash})

@@ -32,7 +32,9 @@ def main(argv: list[str] | None = None) -> int:
     result = analyze(documents, settings).persist()
     reports.save(result, args.out, args.format)
     n = result.select("document_count", F.size("themes").alias("themes"), "quote_count").first()
-    print(f"Wrote {args.out}\nDocuments analyzed: {n.document_count}\nSuggested themes: {n.themes}\nQuote units analyzed: {n.quote_count}")
+    print(
+        f"Wrote {args.out}\nDocuments analyzed: {n.document_count}\nSuggested themes: {n.themes}\nQuote units analyzed: {n.quote_count}"
+    )
     return 0
 
 

@@ -34,7 +34,9 @@ def segment_array(text):
         at = lambda i: F.element_at(all_lines, i)
         start = F.filter(
             F.sequence(F.lit(1), F.size(all_lines)),
-            lambda i: (at(i) != "") & ((F.regexp_extract(at(i), tx.SPEAKER, 2) != "") | (i == 1) | (at(F.greatest(i - 1, F.lit(1))) == "")),
+            lambda i: (at(i) != "") & (
+                (F.regexp_extract(at(i), tx.SPEAKER, 2) != "") | (i == 1) | (at(F.greatest(i - 1, F.lit(1))) == "")
+            ),
         )
 
         return tx.bound(start, lambda starts: turns(all_lines, starts))
@@ -61,8 +63,12 @@ def segment_array(text):
 
 def segments(documents: DataFrame) -> DataFrame:
     """(corpus_id, doc_pos, source_name, seg_pos, speaker, text, source_line)"""
-    out = not_blank(documents).select("corpus_id", "doc_pos", "source_name", F.posexplode(segment_array(F.col("text"))).alias("p", "s"))
-    return out.select("corpus_id", "doc_pos", "source_name", (F.col("p") + 1).alias("seg_pos"), "s.speaker", "s.text", "s.source_line")
+    out = not_blank(documents).select(
+        "corpus_id", "doc_pos", "source_name", F.posexplode(segment_array(F.col("text"))).alias("p", "s")
+    )
+    return out.select(
+        "corpus_id", "doc_pos", "source_name", (F.col("p") + 1).alias("seg_pos"), "s.speaker", "s.text", "s.source_line"
+    )
 
 
 def sentence_units(segs: DataFrame) -> DataFrame:
@@ -78,7 +84,10 @@ def quote_array(text, min_quote_words: int = 4):
     def of_segment(s, k):
         def quote(x):
             words = F.size(tx.words(x)).alias("word_count")
-            return F.struct((k + 1).alias("seg_pos"), s["speaker"].alias("speaker"), x.alias("text"), s["source_line"].alias("source_line"), words)
+            return F.struct(
+                (k + 1).alias("seg_pos"), s["speaker"].alias("speaker"), x.alias("text"), s["source_line"].alias("source_line"),
+                words
+            )
 
         return F.transform(tx.sentences(s["text"]), quote)
 
@@ -87,7 +96,9 @@ def quote_array(text, min_quote_words: int = 4):
 
 def unnumbered_quotes(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
     """Sentences of enough words, without running numbers: one scan, no shuffle."""
-    rows = not_blank(documents).select("corpus_id", "doc_pos", "source_name", F.explode(quote_array(F.col("text"), min_quote_words)).alias("q"))
+    rows = not_blank(documents).select(
+        "corpus_id", "doc_pos", "source_name", F.explode(quote_array(F.col("text"), min_quote_words)).alias("q")
+    )
     return rows.select("corpus_id", "doc_pos", "source_name", "q.*")
 
 
@@ -107,7 +118,9 @@ def quote_units(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
     """
     run = F.floor(F.col("doc_pos") / RUN)
     parsed = not_blank(documents).select(
-        "corpus_id", run.alias("run"), F.struct("doc_pos", "source_name", quote_array(F.col("text"), min_quote_words).alias("quotes")).alias("d")
+        "corpus_id", run.alias("run"), F.struct(
+            "doc_pos", "source_name", quote_array(F.col("text"), min_quote_words).alias("quotes")
+        ).alias("d")
     )
     dealt = parsed.repartition("corpus_id", "run")
     # the whole struct goes in, so that both sides keep the same columns and share the exchange
@@ -116,17 +129,27 @@ def quote_units(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
     so_far = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
     runs = dealt.groupBy("corpus_id", "run").agg(F.sum(n).alias("n")).withColumn("part", F.floor(F.col("run") / RUN))
     parts = runs.groupBy("corpus_id", "part").agg(F.sum("n").alias("n"))
-    parts = parts.select(F.col("corpus_id").alias("c"), F.col("part").alias("p"), so_far("n", before("corpus_id").orderBy("part")).alias("parts_before"))
+    parts = parts.select(
+        F.col("corpus_id").alias("c"), F.col("part").alias("p"),
+        so_far("n", before("corpus_id").orderBy("part")).alias("parts_before")
+    )
     runs = runs.withColumn("runs_before", so_far("n", before("corpus_id", "part").orderBy("run")))
     runs = runs.join(parts, F.col("corpus_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p")))
-    runs = runs.select(F.col("corpus_id").alias("c"), F.col("run").alias("r"), (F.col("parts_before") + F.col("runs_before")).alias("before"))
+    runs = runs.select(
+        F.col("corpus_id").alias("c"), F.col("run").alias("r"), (F.col("parts_before") + F.col("runs_before")).alias("before")
+    )
     order = [F.col("d.doc_pos"), F.col("d.source_name"), F.xxhash64("d")]
     rows = dealt.withColumn("docs_before", so_far(n, before("corpus_id", "run").orderBy(*order)))
     rows = rows.join(runs, F.col("corpus_id").eqNullSafe(F.col("c")) & F.col("run").eqNullSafe(F.col("r")))
-    rows = rows.select("corpus_id", "d.doc_pos", "d.source_name", (F.col("before") + F.col("docs_before")).alias("before"), F.posexplode("d.quotes").alias("p", "q"))
+    rows = rows.select(
+        "corpus_id", "d.doc_pos", "d.source_name", (F.col("before") + F.col("docs_before")).alias("before"),
+        F.posexplode("d.quotes").alias("p", "q")
+    )
     rows = rows.withColumn("quote_idx", (F.col("before") + F.col("p") + 1).cast("int"))
     return rows.select(
-        "corpus_id", "doc_pos", "q.seg_pos", "quote_idx", quote_id(F.col("quote_idx")).alias("quote_id"), "q.speaker", "q.text", "q.source_line", "q.word_count", "source_name"
+        "corpus_id", "doc_pos", "q.seg_pos", "quote_idx", quote_id(
+            F.col("quote_idx")
+        ).alias("quote_id"), "q.speaker", "q.text", "q.source_line", "q.word_count", "source_name"
     )
 
 

@@ -56,17 +56,25 @@ def keywords(quotes: DataFrame, assignments: DataFrame, idf: DataFrame, limit: i
         def at(i):
             words = [F.get(line, i + k) for k in range(n)]
             weight = F.when(words[-1].isNotNull(), F.lit(PHRASE_WEIGHT if n > 1 else 1.0))
-            return F.struct(F.concat_ws(" ", *words).alias("keyword"), F.concat_ws("_", *words).alias("term"), weight.alias("w"))
+            return F.struct(
+                F.concat_ws(" ", *words).alias("keyword"), F.concat_ws("_", *words).alias("term"), weight.alias("w")
+            )
 
         return F.transform(F.sequence(F.lit(0), F.size(line) - 3), at)
 
     line = F.concat("t", F.array("n1", "n2"))
     every = tx.bound(line, lambda x: F.concat(*[grams(x, n) for n in (1, 2, 3)]))
-    counts = cluster_words(quotes, assignments).select(*KEY, F.explode(every).alias("g")).select(*KEY, "g.*").where("w is not null")
+    counts = cluster_words(quotes, assignments).select(
+        *KEY, F.explode(every).alias("g")
+    ).select(*KEY, "g.*").where("w is not null")
     counts = counts.groupBy(*KEY, "keyword", "term", "w").agg(F.count("*").alias("n"))
     scored = counts.join(idf.select("corpus_id", "term", "idf"), ["corpus_id", "term"], "left")
-    bonus = F.when((F.col("w") == 1.0) & F.coalesce(F.map_contains_key(hints(), F.col("term")), F.lit(False)), HINT_WEIGHT * F.col("n")).otherwise(0.0)
-    scored = scored.withColumn("score", F.col("n") * F.col("w") * F.coalesce("idf", F.lit(1.0)) + bonus).where(F.length("keyword") >= 3)
+    bonus = F.when(
+        (F.col("w") == 1.0) & F.coalesce(F.map_contains_key(hints(), F.col("term")), F.lit(False)), HINT_WEIGHT * F.col("n")
+    ).otherwise(0.0)
+    scored = scored.withColumn(
+        "score", F.col("n") * F.col("w") * F.coalesce("idf", F.lit(1.0)) + bonus
+    ).where(F.length("keyword") >= 3)
     order = Window.partitionBy(*KEY).orderBy(F.desc(F.round("score", 9)), "keyword")
     return scored.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit).select(*KEY, "keyword", "score", "k")
 
@@ -130,22 +138,33 @@ def evidence(rows: DataFrame, key: list[str], settings: Settings) -> DataFrame:
 
 def validation(evidence_count):
     return F.struct(
-        evidence_count.cast("int").alias("evidence_count"), "displayed_quote_count", "source_count", "speaker_count", "central_theme_alignment",
+        evidence_count.cast("int").alias(
+            "evidence_count"
+        ), "displayed_quote_count", "source_count", "speaker_count", "central_theme_alignment",
         F.lit(lexicon.REVIEW_STATUS).alias("review_status"),
     )
 
 
-def clustered_themes(quotes: DataFrame, assignments: DataFrame, idf: DataFrame, relevance: DataFrame, settings: Settings) -> DataFrame:
+def clustered_themes(
+    quotes: DataFrame, assignments: DataFrame, idf: DataFrame, relevance: DataFrame, settings: Settings
+) -> DataFrame:
     """Themes of clusters: corpus_id, number, id, name, color, keywords, quote_count, score, quotes, validation."""
     rows = relevance.join(quotes, ["corpus_id", "quote_idx"]).withColumn("relevance", F.round("cos", 3))
     aligned = F.max(tx.alignment(F.col("text"), settings.central_theme)).alias("aligned")
-    totals = rows.groupBy(*KEY).agg(F.count("*").cast("int").alias("quote_count"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("cos"))), 3).alias("score"), aligned)
-    themes = totals.join(evidence(ranked(rows, KEY, settings), KEY, settings), KEY).join(keyword_lists(keywords(quotes, assignments, idf)), KEY, "left")
+    totals = rows.groupBy(*KEY).agg(
+        F.count("*").cast("int").alias("quote_count"),
+        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("cos"))), 3).alias("score"), aligned
+    )
+    themes = totals.join(evidence(ranked(rows, KEY, settings), KEY, settings), KEY).join(
+        keyword_lists(keywords(quotes, assignments, idf)), KEY, "left"
+    )
     words = F.coalesce("keywords", F.array().cast("array<string>"))
     themes = themes.withColumn("keywords", prioritized(words, settings.central_theme, F.col("aligned")))
     number = F.col("cluster_pos")
     return themes.select(
-        "corpus_id", number.alias("number"), F.format_string("T%02d", number).alias("id"), label(F.col("keywords")).alias("name"), display.theme_color(number).alias("color"),
+        "corpus_id", number.alias("number"), F.format_string("T%02d", number).alias("id"), label(
+            F.col("keywords")
+        ).alias("name"), display.theme_color(number).alias("color"),
         "keywords", "quote_count", "score", "quotes", validation(F.col("quote_count")).alias("validation"),
     )
 
@@ -155,14 +174,18 @@ def codebook_themes(matched: DataFrame, settings: Settings) -> DataFrame:
     key = ["corpus_id", "frame_pos"]
     mean = F.avg(F.col("relevance").cast("decimal(10,3)")).cast("double")
     totals = matched.groupBy(*key).agg(
-        F.count("*").cast("int").alias("quote_count"), F.round(mean, 3).alias("score"), F.first("frame_name").alias("name"), F.first("frame_keywords").alias("keywords")
+        F.count("*").cast("int").alias("quote_count"), F.round(mean, 3).alias("score"), F.first("frame_name").alias("name"), F.first(
+            "frame_keywords"
+        ).alias("keywords")
     )
     first = F.row_number().over(Window.partitionBy("corpus_id").orderBy("frame_pos"))
     totals = totals.withColumn("__k", first).where(F.col("__k") <= max(1, settings.theme_count))
     themes = totals.join(evidence(ranked(matched, key, settings), key, settings), key)
     number = F.col("frame_pos")
     return themes.select(
-        "corpus_id", number.alias("number"), F.format_string("C%02d", number).alias("id"), "name", display.theme_color(number).alias("color"), "keywords", "quote_count", "score",
+        "corpus_id", number.alias("number"), F.format_string(
+            "C%02d", number
+        ).alias("id"), "name", display.theme_color(number).alias("color"), "keywords", "quote_count", "score",
         "quotes", validation(F.col("quote_count")).alias("validation"),
     )
 
@@ -171,7 +194,9 @@ def ordered(themes: DataFrame, settings: Settings) -> DataFrame:
     """themes with theme_pos: by focus, size, score, name, number."""
     focus = F.lit(0.0)
     if settings.central_theme.strip():
-        whole = F.concat_ws(" ", "name", F.array_join("keywords", " "), F.array_join(F.transform("quotes", lambda q: q["text"]), " "))
+        whole = F.concat_ws(
+            " ", "name", F.array_join("keywords", " "), F.array_join(F.transform("quotes", lambda q: q["text"]), " ")
+        )
         focus = F.round(tx.alignment(whole, settings.central_theme), 9)
     order = Window.partitionBy("corpus_id").orderBy(F.desc(focus), F.desc("quote_count"), F.desc("score"), "name", "number")
     return themes.withColumn("theme_pos", F.row_number().over(order))

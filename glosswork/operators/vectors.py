@@ -9,7 +9,9 @@ from ..functions import text as tx
 
 def terms(quotes: DataFrame, focus: str = "") -> DataFrame:
     """(corpus_id, quote_idx, term, tf)"""
-    out = quotes.select("corpus_id", "quote_idx", F.explode(tx.vector_terms(tx.focus_augmented(F.col("text"), focus))).alias("term"))
+    out = quotes.select(
+        "corpus_id", "quote_idx", F.explode(tx.vector_terms(tx.focus_augmented(F.col("text"), focus))).alias("term")
+    )
     return out.groupBy("corpus_id", "quote_idx", "term").agg(F.count("*").alias("tf"))
 
 
@@ -18,19 +20,25 @@ def idf(tf: DataFrame, quotes: DataFrame) -> DataFrame:
     total = quotes.groupBy("corpus_id").agg(F.count("*").alias("total"))
     # counted by tf, so that the column stays and the exchange behind tf is shared with other uses
     df = tf.groupBy("corpus_id", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    return df.join(total, "corpus_id").select("corpus_id", "term", "df", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return df.join(total, "corpus_id").select(
+        "corpus_id", "term", "df", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf")
+    )
 
 
 def unit(rows: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:
     """Weights scaled to length 1 for each key; vectors of length 0 go."""
     norm = F.sqrt(F.sum(F.col(weight) * F.col(weight)).over(Window.partitionBy(*keys)))
-    return rows.withColumn("__norm", norm).where("__norm > 0").withColumn(weight, F.col(weight) / F.col("__norm")).drop("__norm")
+    return rows.withColumn("__norm", norm).where("__norm > 0").withColumn(
+        weight, F.col(weight) / F.col("__norm")
+    ).drop("__norm")
 
 
 def weights(tf: DataFrame, idfs: DataFrame) -> DataFrame:
     """(corpus_id, quote_idx, term, tf, weight); a quote's length cancels out in the scaling."""
     raw = tf.join(idfs.select("corpus_id", "term", "idf"), ["corpus_id", "term"])
-    return unit(raw.withColumn("weight", F.col("tf") * F.col("idf")), ["corpus_id", "quote_idx"]).select("corpus_id", "quote_idx", "term", "tf", "weight")
+    return unit(
+        raw.withColumn("weight", F.col("tf") * F.col("idf")), ["corpus_id", "quote_idx"]
+    ).select("corpus_id", "quote_idx", "term", "tf", "weight")
 
 
 def l1(vectors: DataFrame) -> DataFrame:
@@ -40,7 +48,9 @@ def l1(vectors: DataFrame) -> DataFrame:
 def centroids(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
     """(corpus_id, cluster_pos, term, weight): unit mean vectors of clusters."""
     own = assignments.select("corpus_id", "cluster_pos", "quote_idx")
-    total = vectors.join(own, ["corpus_id", "quote_idx"]).groupBy("corpus_id", "cluster_pos", "term").agg(F.sum("weight").alias("weight"))
+    total = vectors.join(own, ["corpus_id", "quote_idx"]).groupBy(
+        "corpus_id", "cluster_pos", "term"
+    ).agg(F.sum("weight").alias("weight"))
     return unit(total, ["corpus_id", "cluster_pos"])
 
 

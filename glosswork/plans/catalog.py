@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import display, lexicon, text as tx
 from ..operators import cluster, codebook as cb, segment, themes as th, vectors as vec
 from ..settings import Settings
-from ..sources import reports
+from ..sources import files, reports
 from . import analysis
 from .sql import query as sql
 
@@ -36,13 +36,22 @@ def conversations(spark, sf_dir, one_corpus=False) -> DataFrame:
     said = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
     name = F.concat(F.lit("conv_"), F.col("conv_id").cast("string"))
     if one_corpus:
-        return t.select(F.lit("all").alias("corpus_id"), (F.col("conv_id") * 65536 + F.col("turn")).alias("doc_pos"), name.alias("source_name"), said.alias("text"))
-    return t.select(F.col("conv_id").cast("string").alias("corpus_id"), F.col("turn").alias("doc_pos"), name.alias("source_name"), said.alias("text"))
+        return t.select(
+            F.lit("all").alias("corpus_id"), (F.col("conv_id") * 65536 + F.col("turn")).alias("doc_pos"),
+            name.alias("source_name"), said.alias("text")
+        )
+    return t.select(
+        F.col("conv_id").cast("string").alias("corpus_id"), F.col("turn").alias("doc_pos"), name.alias("source_name"),
+        said.alias("text")
+    )
 
 
 def documents(spark, sf_dir) -> DataFrame:
     t = table(spark, sf_dir, "documents")
-    return t.select(F.col("source").alias("corpus_id"), F.col("doc_id").alias("doc_pos"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_name"), "text")
+    return t.select(
+        F.col("source").alias("corpus_id"), F.col("doc_id").alias("doc_pos"),
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_name"), "text"
+    )
 
 
 def conv_quotes(spark, sf_dir, one_corpus=False) -> DataFrame:
@@ -58,7 +67,9 @@ def counts(df: DataFrame, *cols: str) -> DataFrame:
 
 def doc_lines(spark, sf_dir):
     rows = documents(spark, sf_dir)
-    rows = segment.not_blank(rows).select("corpus_id", "doc_pos", F.posexplode(segment._lines(F.col("text"))).alias("p", "line"))
+    rows = segment.not_blank(rows).select(
+        "corpus_id", "doc_pos", F.posexplode(segment._lines(F.col("text"))).alias("p", "line")
+    )
     return rows.select("corpus_id", "doc_pos", (F.col("p") + 1).cast("bigint").alias("line_no"), "line")
 
 
@@ -71,7 +82,10 @@ def document_segments(spark, sf_dir):
 
 
 def sentence_units(spark, sf_dir):
-    return counts(segment.sentence_units(segment.segments(conversations(spark, sf_dir))), "seg_pos", "source_line", "sent_pos", "word_count")
+    return counts(
+        segment.sentence_units(segment.segments(conversations(spark, sf_dir))), "seg_pos", "source_line", "sent_pos",
+        "word_count"
+    )
 
 
 def quote_units(spark, sf_dir):
@@ -82,12 +96,30 @@ def document_quotes(spark, sf_dir):
     return counts(segment.quote_units(documents(spark, sf_dir)), "seg_pos", "quote_idx", "source_line", "word_count")
 
 
+def file_texts(spark, sf_dir):
+    """Turns as files of three kinds, decoded: UTF-8 with mark and CRLF, Windows-1252, RTF."""
+    text, kind = F.coalesce("text", F.lit("")), F.col("turn") % 3
+    marked = F.concat(F.unhex(F.lit("EFBBBF")), F.encode(F.replace(text, F.lit("\n"), F.lit("\r\n")), "UTF-8"))
+    western = F.encode(F.concat(F.regexp_replace(text, "[^ -~\u00a0-\u00ff]", ""), F.lit("\u00e9")), "ISO-8859-1")
+    plain = F.regexp_replace(text, "[^A-Za-z0-9 .,]", "")
+    rtf = F.encode(F.concat(F.lit("{\\rtf1\\ansi{\\fonttbl{\\f0 Arial;}} "), plain, F.lit("\\par}")), "UTF-8")
+    suffix = F.when(kind == 0, ".txt").when(kind == 1, ".csv").otherwise(".rtf")
+    rows = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("_", F.lit("conv"), "conv_id", F.concat(F.col("turn").cast("string"), suffix)).alias("path"),
+        F.when(kind == 0, marked).when(kind == 1, western).otherwise(rtf).alias("content"),
+    )
+    return files.decoded(rows).select("path", "text", "error")
+
+
 # --- tokens, terms, vectors
 
 
 def token_stream(spark, sf_dir):
     q = conv_quotes(spark, sf_dir).select("corpus_id", "quote_idx", F.posexplode(tx.words(F.col("text"))).alias("p", "token"))
-    return q.select("corpus_id", F.col("quote_idx").cast("bigint").alias("quote_idx"), (F.col("p") + 1).cast("bigint").alias("token_pos"), "token")
+    return q.select(
+        "corpus_id", F.col("quote_idx").cast("bigint").alias("quote_idx"), (F.col("p") + 1).cast("bigint").alias("token_pos"),
+        "token"
+    )
 
 
 def token_freq(spark, sf_dir):
@@ -96,7 +128,9 @@ def token_freq(spark, sf_dir):
 
 
 def stopword_filtered(spark, sf_dir):
-    q = segment.unnumbered_quotes(documents(spark, sf_dir)).select("corpus_id", F.explode(tx.content_words(F.col("text"))).alias("token"))
+    q = segment.unnumbered_quotes(documents(spark, sf_dir)).select(
+        "corpus_id", F.explode(tx.content_words(F.col("text"))).alias("token")
+    )
     return q.groupBy("corpus_id", "token").agg(F.count("*").alias("n"))
 
 
@@ -163,7 +197,9 @@ def quote_relevance(spark, sf_dir):
 
 def theme_cohesion(spark, sf_dir):
     _, _, w, a = _themed(spark, sf_dir)
-    out = vec.relevance(w, a).groupBy("corpus_id", "cluster_pos").agg(F.count("*").alias("quote_count"), F.round(F.avg("cos"), 4).alias("cohesion"))
+    out = vec.relevance(w, a).groupBy("corpus_id", "cluster_pos").agg(
+        F.count("*").alias("quote_count"), F.round(F.avg("cos"), 4).alias("cohesion")
+    )
     return counts(out, "cluster_pos")
 
 
@@ -175,14 +211,25 @@ def group_keywords(spark, sf_dir):
 def focused_keywords(spark, sf_dir):
     q, idf, _, a = _themed(spark, sf_dir)
     words = th.keyword_lists(th.keywords(q, a, idf))
-    aligned = q.join(a, ["corpus_id", "quote_idx"]).groupBy("corpus_id", "cluster_pos").agg(F.max(tx.alignment(F.col("text"), FOCUS)).alias("aligned"))
+    aligned = q.join(a, ["corpus_id", "quote_idx"]).groupBy("corpus_id", "cluster_pos").agg(
+        F.max(tx.alignment(F.col("text"), FOCUS)).alias("aligned")
+    )
     out = words.join(aligned, ["corpus_id", "cluster_pos"])
-    return counts(out.select("corpus_id", "cluster_pos", F.array_join(th.prioritized(F.col("keywords"), FOCUS, F.col("aligned")), "; ").alias("keywords")), "cluster_pos")
+    return counts(
+        out.select(
+            "corpus_id", "cluster_pos",
+            F.array_join(th.prioritized(F.col("keywords"), FOCUS, F.col("aligned")), "; ").alias("keywords")
+        ),
+        "cluster_pos"
+    )
 
 
 def hint_labels(spark, sf_dir):
     q, idf, _, a = _themed(spark, sf_dir)
-    return counts(th.keyword_lists(th.keywords(q, a, idf)).select("corpus_id", "cluster_pos", th.label(F.col("keywords")).alias("label")), "cluster_pos")
+    return counts(
+        th.keyword_lists(th.keywords(q, a, idf)).select("corpus_id", "cluster_pos", th.label(F.col("keywords")).alias("label")),
+        "cluster_pos"
+    )
 
 
 def _ranked(spark, sf_dir, settings=SETTINGS):
@@ -205,8 +252,13 @@ def top_n_quotes(spark, sf_dir):
 def theme_validation(spark, sf_dir):
     rows = _ranked(spark, sf_dir)
     key = ["corpus_id", "cluster_pos"]
-    out = rows.groupBy(*key).agg(F.count("*").alias("evidence_count")).join(th.evidence(rows, key, SETTINGS).drop("quotes"), key)
-    return counts(out.withColumn("review_status", F.lit(lexicon.REVIEW_STATUS)), "cluster_pos", "displayed_quote_count", "source_count", "speaker_count")
+    out = rows.groupBy(*key).agg(F.count("*").alias("evidence_count")).join(
+        th.evidence(rows, key, SETTINGS).drop("quotes"), key
+    )
+    return counts(
+        out.withColumn("review_status", F.lit(lexicon.REVIEW_STATUS)), "cluster_pos", "displayed_quote_count", "source_count",
+        "speaker_count"
+    )
 
 
 def _speaker_themes(spark, sf_dir):
@@ -215,12 +267,19 @@ def _speaker_themes(spark, sf_dir):
 
 
 def theme_order(spark, sf_dir):
-    return counts(_speaker_themes(spark, sf_dir).select("corpus_id", "theme_pos", "id", "name", "quote_count", F.round("score", 3).alias("score")), "theme_pos", "quote_count")
+    return counts(
+        _speaker_themes(spark, sf_dir).select(
+            "corpus_id", "theme_pos", "id", "name", "quote_count", F.round("score", 3).alias("score")
+        ),
+        "theme_pos", "quote_count"
+    )
 
 
 def theme_ids_colors(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("bigint").alias("number")).distinct()
-    return rows.select("number", F.format_string("T%02d", "number").alias("theme_id"), display.theme_color(F.col("number")).alias("color"))
+    return rows.select(
+        "number", F.format_string("T%02d", "number").alias("theme_id"), display.theme_color(F.col("number")).alias("color")
+    )
 
 
 # --- the codebook
@@ -268,16 +327,23 @@ def _validated(spark, sf_dir):
 
 def validation_text(spark, sf_dir):
     v = _validated(spark, sf_dir)
-    return v.select("corpus_id", "cluster_pos", display.validation_text(v).alias("report"), display.validation_line(v).alias("screen"))
+    return v.select(
+        "corpus_id", "cluster_pos", display.validation_text(v).alias("report"), display.validation_line(v).alias("screen")
+    )
 
 
 def theme_row_label(spark, sf_dir):
     v = _validated(spark, sf_dir)
-    return v.select("corpus_id", "cluster_pos", display.theme_row(F.lit("Theme"), F.col("evidence_count"), F.col("central_theme_alignment")).alias("label"))
+    return v.select(
+        "corpus_id", "cluster_pos",
+        display.theme_row(F.lit("Theme"), F.col("evidence_count"), F.col("central_theme_alignment")).alias("label")
+    )
 
 
 def status_text(spark, sf_dir):
-    q = conv_quotes(spark, sf_dir).groupBy("corpus_id").agg(F.count("*").alias("q"), F.count_distinct("speaker").alias("s"), F.count_distinct("doc_pos").alias("d"))
+    q = conv_quotes(spark, sf_dir).groupBy("corpus_id").agg(
+        F.count("*").alias("q"), F.count_distinct("speaker").alias("s"), F.count_distinct("doc_pos").alias("d")
+    )
     return q.select("corpus_id", display.status(F.col("d"), F.col("q"), F.col("s")).alias("status"))
 
 
@@ -287,7 +353,9 @@ def percent_text(spark, sf_dir):
 
 
 def file_selection(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.concat(F.lit("/data/turn_"), F.col("turn").cast("string"), F.lit(".txt"))).alias("paths"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.collect_list(F.concat(F.lit("/data/turn_"), F.col("turn").cast("string"), F.lit(".txt"))).alias("paths")
+    )
     return rows.select("conv_id", display.file_selection(F.col("paths")).alias("selection"))
 
 
@@ -322,15 +390,22 @@ def scalable_clusters(spark, sf_dir):
 
 
 def _coded_result(spark, sf_dir):
-    return analysis.analyze(conversations(spark, sf_dir), Settings(theme_count=2, quotes_per_theme=2), _codebook(spark), always_code=True, cluster_rest=False)
+    return analysis.analyze(
+        conversations(spark, sf_dir), Settings(theme_count=2, quotes_per_theme=2), _codebook(spark), always_code=True,
+        cluster_rest=False
+    )
 
 
 def theme_analysis(spark, sf_dir):
     """The whole analysis of every conversation: themes, one row each."""
     r = analysis.analyze(conversations(spark, sf_dir), Settings(theme_count=4, quotes_per_theme=3))
-    t = r.select("corpus_id", "document_count", F.col("quote_count").alias("corpus_quotes"), F.posexplode("themes").alias("p", "t"))
+    t = r.select(
+        "corpus_id", "document_count", F.col("quote_count").alias("corpus_quotes"), F.posexplode("themes").alias("p", "t")
+    )
     return t.select(
-        "corpus_id", "document_count", "corpus_quotes", (F.col("p") + 1).alias("theme_pos"), "t.id", "t.name", "t.color", F.array_join("t.keywords", "; ").alias("keywords"),
+        "corpus_id", "document_count", "corpus_quotes", (F.col("p") + 1).alias("theme_pos"), "t.id", "t.name", "t.color", F.array_join(
+            "t.keywords", "; "
+        ).alias("keywords"),
         "t.quote_count", "t.score", F.array_join(F.transform("t.quotes", lambda q: q["quote_id"]), ",").alias("shown"),
     )
 
@@ -339,12 +414,17 @@ def document_themes(spark, sf_dir):
     """Themes of every source's documents, with a focus."""
     r = analysis.analyze(documents(spark, sf_dir), Settings(theme_count=5, quotes_per_theme=2, central_theme=FOCUS))
     t = r.select("corpus_id", F.posexplode("themes").alias("p", "t"))
-    return t.select("corpus_id", (F.col("p") + 1).alias("theme_pos"), "t.id", "t.name", F.array_join("t.keywords", "; ").alias("keywords"), "t.quote_count", "t.score")
+    return t.select(
+        "corpus_id", (F.col("p") + 1).alias("theme_pos"), "t.id", "t.name", F.array_join("t.keywords", "; ").alias("keywords"),
+        "t.quote_count", "t.score"
+    )
 
 
 def quotes_csv_rows(spark, sf_dir):
     rows = reports.csv_rows(_coded_result(spark, sf_dir))
-    rows = rows.select("corpus_id", (F.col("p") + 1).alias("theme_pos"), (F.col("k") + 1).alias("quote_rank"), *reports.CSV_COLUMNS)
+    rows = rows.select(
+        "corpus_id", (F.col("p") + 1).alias("theme_pos"), (F.col("k") + 1).alias("quote_rank"), *reports.CSV_COLUMNS
+    )
     return counts(rows, "theme_pos", "quote_rank", "source_line")
 
 
@@ -370,20 +450,32 @@ def theme_detail(spark, sf_dir):
 
 def corpus_summary(spark, sf_dir):
     r = _coded_result(spark, sf_dir)
-    return counts(r.select("corpus_id", "document_count", "quote_count", F.array_join("notes", "|").alias("notes"), F.array_join("validation_summary", "|").alias("validation_summary")), "document_count", "quote_count")
+    return counts(
+        r.select(
+            "corpus_id", "document_count", "quote_count", F.array_join("notes", "|").alias("notes"),
+            F.array_join("validation_summary", "|").alias("validation_summary")
+        ),
+        "document_count", "quote_count"
+    )
 
 
 def flagship(spark, sf_dir):
     """Themes by speaker of every conversation, without Python: label, keywords, best quotes."""
     t = _speaker_themes(spark, sf_dir)
     best = F.array_join(F.transform("quotes", lambda q: q["quote_id"]), ",").alias("best_quotes")
-    return counts(t.select("corpus_id", "theme_pos", "id", "name", F.array_join("keywords", "; ").alias("keywords"), "quote_count", F.round("score", 3).alias("score"), best), "theme_pos", "quote_count")
+    return counts(
+        t.select(
+            "corpus_id", "theme_pos", "id", "name", F.array_join("keywords", "; ").alias("keywords"), "quote_count",
+            F.round("score", 3).alias("score"), best
+        ),
+        "theme_pos", "quote_count"
+    )
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        flagship, doc_lines, turn_segments, document_segments, sentence_units, quote_units, document_quotes, token_stream, token_freq, stopword_filtered, ngram_terms, idf_terms,
+        flagship, file_texts, doc_lines, turn_segments, document_segments, sentence_units, quote_units, document_quotes, token_stream, token_freq, stopword_filtered, ngram_terms, idf_terms,
         tfidf_weights, vector_l1, pair_cosine, best_pair, group_centroid, quote_relevance, theme_cohesion, group_keywords, focused_keywords, hint_labels, ranked_quotes, top_n_quotes,
         theme_validation, theme_order, theme_ids_colors, codebook_gate, codebook_matches, codebook_themes, focus_alignment, focus_augmented, normalized_text, validation_text,
         theme_row_label, status_text, percent_text, file_selection, farthest_seeds, bounded_clusters, agglomerative_clusters, merged_clusters, scalable_clusters, theme_analysis,

@@ -28,17 +28,23 @@ def themes(code: str, codebook) -> str:
     return f"""{code},
     f AS (SELECT corpus_id, frame_pos, name, count(*) AS quote_count, round(avg(CAST(relevance AS DECIMAL(10, 3))), 3) AS score,
         row_number() OVER (PARTITION BY corpus_id ORDER BY frame_pos) AS k FROM matches GROUP BY 1, 2, 3),
-    r AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, frame_pos ORDER BY relevance DESC, source_name, source_line, quote_id) AS quote_rank
+    r AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, frame_pos ORDER BY relevance DESC, source_name, source_line,
+        quote_id) AS quote_rank
         FROM matches),
-    v AS (SELECT corpus_id, frame_pos, count(*) AS displayed, count(DISTINCT source_name) AS sources, count(DISTINCT speaker) AS speakers
+    v AS (SELECT corpus_id, frame_pos, count(*) AS displayed, count(DISTINCT source_name) AS sources,
+        count(DISTINCT speaker) AS speakers
         FROM r WHERE quote_rank <= {QUOTES} GROUP BY 1, 2),
-    t AS (SELECT f.*, printf('C%02d', frame_pos) AS id, {color} AS color, {cases(codebook, ', ')} AS words, {cases(codebook, '; ')} AS listed,
-        displayed, sources, speakers, row_number() OVER (PARTITION BY corpus_id ORDER BY quote_count DESC, score DESC, name, frame_pos) AS theme_pos
+    t AS (SELECT f.*, printf('C%02d', frame_pos) AS id, {color} AS color, {cases(codebook, ', ')} AS words,
+        {cases(codebook, '; ')} AS listed,
+        displayed, sources, speakers, row_number() OVER (PARTITION BY corpus_id ORDER BY quote_count DESC, score DESC, name,
+            frame_pos) AS theme_pos
         FROM f JOIN v USING (corpus_id, frame_pos) WHERE k <= {FRAMES}),
-    s AS (SELECT t.corpus_id, theme_pos, quote_rank, t.id, t.color, t.name, t.listed, quote_id, speaker, source_name, source_line, relevance, text
+    s AS (SELECT t.corpus_id, theme_pos, quote_rank, t.id, t.color, t.name, t.listed, quote_id, speaker, source_name,
+        source_line, relevance, text
         FROM t JOIN r USING (corpus_id, frame_pos) WHERE quote_rank <= {QUOTES}),
     head AS (SELECT d.corpus_id, count(*) FILTER (WHERE {blank}) AS documents,
-        (SELECT count(*) FROM quotes q WHERE q.corpus_id = d.corpus_id) AS quotes, (SELECT count(*) FROM t WHERE t.corpus_id = d.corpus_id) AS themes
+        (SELECT count(*) FROM quotes q WHERE q.corpus_id = d.corpus_id) AS quotes, (SELECT count(*) FROM t
+            WHERE t.corpus_id = d.corpus_id) AS themes
         FROM docs d GROUP BY 1),
     notes AS (SELECT corpus_id, {listed(lexicon.NOTES)} || CASE WHEN quotes = 0 THEN {listed([lexicon.NO_QUOTES_NOTE])}
         WHEN themes > 0 THEN {listed(lexicon.CODEBOOK_NOTES)} ELSE [] END AS notes FROM head)"""
@@ -48,19 +54,27 @@ def markdown(base: str) -> str:
     mark = "'[' || id || ' ' || color || '] '"
     check = f"""'- Validation: evidence=' || quote_count || ', sources=' || sources || ', speakers=' || speakers ||
         ', central alignment=0.0, status={lexicon.REVIEW_STATUS}'"""
-    top = ["# Qualitative Thematic Coding Report", "", f"Generated with Glosswork v{__version__}.", "", "## Researcher review required", "", lexicon.REPORT_WARNING, "", "## Summary", ""]
+    top = [
+        "# Qualitative Thematic Coding Report", "", f"Generated with Glosswork v{__version__}.", "",
+        "## Researcher review required", "", lexicon.REPORT_WARNING, "", "## Summary", ""
+    ]
     checks = ["", "## Validation Framework", "", *[f"- {x}" for x in lexicon.VALIDATION_SUMMARY], ""]
     said = """'Source: ' || source_name || ' | Line: ' || source_line"""
     return f"""{base},
     parts AS (
-        SELECT corpus_id, 1 AS a, 0 AS b, 0 AS c, {listed(top)} || ['- Documents analyzed: ' || documents, '- Quote units analyzed: ' || quotes,
+        SELECT corpus_id, 1 AS a, 0 AS b, 0 AS c, {listed(top)} || ['- Documents analyzed: ' || documents,
+            '- Quote units analyzed: ' || quotes,
             '- Suggested themes: ' || themes] || {listed(checks)} AS ls FROM head
-        UNION ALL SELECT corpus_id, 2, theme_pos, 0, ['## Theme ' || theme_pos || ': ' || name, '', '- Theme ID: ' || id, '- Theme color: ' || color,
-            '- Quote units in theme: ' || quote_count, printf('- Cohesion score: %.3f', score), '- Keywords: ' || words, {check}, '', '### Quote Evidence', ''] FROM t
-        UNION ALL SELECT corpus_id, 2, theme_pos, quote_rank, ['> ' || text, '', '- ' || {mark} || 'Speaker: ' || speaker || ' | Quote ID: ' || quote_id || ' | ' ||
+        UNION ALL SELECT corpus_id, 2, theme_pos, 0, ['## Theme ' || theme_pos || ': ' || name, '', '- Theme ID: ' || id,
+            '- Theme color: ' || color,
+            '- Quote units in theme: ' || quote_count, printf('- Cohesion score: %.3f', score), '- Keywords: ' || words,
+                {check}, '', '### Quote Evidence', ''] FROM t
+        UNION ALL SELECT corpus_id, 2, theme_pos, quote_rank, ['> ' || text, '', '- ' || {mark} || 'Speaker: ' || speaker
+            || ' | Quote ID: ' || quote_id || ' | ' ||
             {said} || printf(' | Relevance: %.3f', relevance), ''] FROM s
         UNION ALL SELECT corpus_id, 3, 0, 0, ['## Color-Coded Transcript Evidence', ''] FROM head WHERE themes > 0
-        UNION ALL SELECT corpus_id, 3, theme_pos, quote_rank, ['- ' || {mark} || {said} || ' | Speaker: ' || speaker || ' | Quote ID: ' || quote_id, '  > ' || text] FROM s
+        UNION ALL SELECT corpus_id, 3, theme_pos, quote_rank, ['- ' || {mark} || {said} || ' | Speaker: ' || speaker
+            || ' | Quote ID: ' || quote_id, '  > ' || text] FROM s
         UNION ALL SELECT corpus_id, 4, 0, 0, [''] FROM head WHERE themes > 0
         UNION ALL SELECT corpus_id, 5, 0, 0, ['## Notes', ''] || list_transform(notes, lambda x: '- ' || x) || [''] FROM notes),
     all_lines AS (SELECT corpus_id, a, b, c, unnest(ls) AS line, generate_subscripts(ls, 1) AS d FROM parts)
@@ -95,12 +109,16 @@ def json(base: str, codebook) -> str:
     keywords = "CASE frame_pos " + " ".join(f"WHEN {f[0]} THEN {words(f)}" for f in codebook) + " END"
     strings = lambda c, pad: f"'[' || array_to_string(list_transform({c}, lambda x: chr(10) || '{' ' * pad}' || {text('x')}), ',') || chr(10) || '{' ' * (pad - 2)}]'"
     quote = indented(10, [
-        field("quote_id", text("quote_id")), field("speaker", text("speaker")), field("text", text("text")), field("relevance", "CAST(relevance AS VARCHAR)"),
+        field("quote_id", text("quote_id")), field("speaker", text("speaker")), field("text", text("text")), field(
+            "relevance", "CAST(relevance AS VARCHAR)"
+        ),
         field("source_line", "source_line"), field("source_name", text("source_name")),
     ])
     valid = indented(8, [
         field("evidence_count", "quote_count"), field("displayed_quote_count", "displayed"), field("source_count", "sources"),
-        field("speaker_count", "speakers"), field("central_theme_alignment", "'0.0'"), field("review_status", text(quoted(lexicon.REVIEW_STATUS))),
+        field("speaker_count", "speakers"), field("central_theme_alignment", "'0.0'"), field(
+            "review_status", text(quoted(lexicon.REVIEW_STATUS))
+        ),
     ])
     theme = indented(6, [
         field("id", text("id")), field("name", text("name")), field("color", text("color")), field("keywords", keywords),
@@ -113,8 +131,10 @@ def json(base: str, codebook) -> str:
         field("validation_summary", strings(listed(lexicon.VALIDATION_SUMMARY), 4)),
     ])
     out = f"""{base},
-    q_ AS (SELECT corpus_id, theme_pos, '[' || string_agg(chr(10) || '        {{' || {quote} || '}}', ',' ORDER BY quote_rank) || chr(10) || '      ]' AS qs FROM s GROUP BY 1, 2),
-    t_ AS (SELECT corpus_id, '[' || string_agg(chr(10) || '    {{' || {theme} || '}}', ',' ORDER BY theme_pos) || chr(10) || '  ]' AS ts
+    q_ AS (SELECT corpus_id, theme_pos, '[' || string_agg(chr(10) || '        {{' || {quote} || '}}', ',' ORDER BY quote_rank)
+        || chr(10) || '      ]' AS qs FROM s GROUP BY 1, 2),
+    t_ AS (SELECT corpus_id, '[' || string_agg(chr(10) || '    {{' || {theme} || '}}', ',' ORDER BY theme_pos) || chr(10)
+        || '  ]' AS ts
         FROM t JOIN q_ USING (corpus_id, theme_pos) GROUP BY 1)
     SELECT head.corpus_id, '{{' || {whole} || '}}' || chr(10) AS report FROM head JOIN notes ON head.corpus_id = notes.corpus_id LEFT JOIN t_ ON head.corpus_id = t_.corpus_id"""
     return out

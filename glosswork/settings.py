@@ -19,5 +19,7 @@ class Settings:
     def clamped(self) -> Settings:
         """As an interactive caller gives them: at least one theme, no negative count."""
         return Settings(
-            max(1, self.theme_count), max(0, self.quotes_per_theme), self.min_theme_size, self.min_quote_words, self.agglomerative_limit, self.central_theme.strip()
+            max(1, self.theme_count), max(
+                0, self.quotes_per_theme
+            ), self.min_theme_size, self.min_quote_words, self.agglomerative_limit, self.central_theme.strip()
         )

@@ -36,7 +36,10 @@ def markdown_array() -> Column:
     def quote(t):
         return lambda q: _lines(
             _text("> ", q["text"]), "",
-            _text("- ", mark(t), "Speaker: ", q["speaker"], " | Quote ID: ", q["quote_id"], " | Source: ", q["source_name"], " | Line: ", q["source_line"].cast("string"), " | Relevance: ", _f3(q["relevance"])),
+            _text(
+                "- ", mark(t), "Speaker: ", q["speaker"], " | Quote ID: ", q["quote_id"], " | Source: ", q["source_name"],
+                " | Line: ", q["source_line"].cast("string"), " | Relevance: ", _f3(q["relevance"])
+            ),
             "",
         )
 
@@ -58,18 +61,28 @@ def markdown_array() -> Column:
         return _each(
             t["quotes"],
             lambda q: _lines(
-                _text("- ", mark(t), "Source: ", q["source_name"], " | Line: ", q["source_line"].cast("string"), " | Speaker: ", q["speaker"], " | Quote ID: ", q["quote_id"]),
+                _text(
+                    "- ", mark(t), "Source: ", q["source_name"], " | Line: ", q["source_line"].cast("string"), " | Speaker: ",
+                    q["speaker"], " | Quote ID: ", q["quote_id"]
+                ),
                 _text("  > ", q["text"]),
             ),
         )
 
     bullets = lambda c: F.transform(c, lambda x: F.concat(F.lit("- "), x))
-    checks = F.when(F.size("validation_summary") > 0, bullets("validation_summary")).otherwise(_lines("- Researcher review required before using suggested themes as findings."))
+    checks = F.when(F.size("validation_summary") > 0, bullets("validation_summary")).otherwise(
+        _lines("- Researcher review required before using suggested themes as findings.")
+    )
     evidence = F.concat(_lines("## Color-Coded Transcript Evidence", ""), _each(themes, coded), _lines(""))
     return F.concat(
-        _lines("# Qualitative Thematic Coding Report", "", _text("Generated with Glosswork v", F.col("version"), "."), "", "## Researcher review required", "", lexicon.REPORT_WARNING, ""),
         _lines(
-            "## Summary", "", _text("- Documents analyzed: ", F.col("document_count").cast("string")), _text("- Quote units analyzed: ", F.col("quote_count").cast("string")),
+            "# Qualitative Thematic Coding Report", "", _text("Generated with Glosswork v", F.col("version"), "."), "",
+            "## Researcher review required", "", lexicon.REPORT_WARNING, ""
+        ),
+        _lines(
+            "## Summary", "", _text(
+                "- Documents analyzed: ", F.col("document_count").cast("string")
+            ), _text("- Quote units analyzed: ", F.col("quote_count").cast("string")),
             _text("- Suggested themes: ", F.size(themes).cast("string")), "", "## Validation Framework", "",
         ),
         checks, _lines(""),
@@ -87,7 +100,10 @@ def markdown_lines(result: DataFrame) -> DataFrame:
 
 def markdown(result: DataFrame) -> DataFrame:
     """(corpus_id, report)"""
-    return result.select("corpus_id", F.concat(F.rtrim(F.regexp_replace(F.array_join(markdown_array(), "\n"), r"\s+$", "")), F.lit("\n")).alias("report"))
+    return result.select(
+        "corpus_id",
+        F.concat(F.rtrim(F.regexp_replace(F.array_join(markdown_array(), "\n"), r"\s+$", "")), F.lit("\n")).alias("report")
+    )
 
 
 RECORD = ["version", "document_count", "quote_count", "themes", "notes", "validation_summary"]
@@ -123,13 +139,20 @@ def csv_rows(result: DataFrame) -> DataFrame:
     """One row for each shown quote of each theme, in report order; corpus_id and row_no come first."""
     t = result.select("corpus_id", F.posexplode("themes").alias("p", "t")).select("*", F.posexplode("t.quotes").alias("k", "q"))
     return t.select(
-        "corpus_id", "p", "k", F.col("t.id").alias("theme_id"), F.col("t.name").alias("theme_name"), F.array_join("t.keywords", "; ").alias("theme_keywords"), F.col("t.color").alias("theme_color"),
-        "q.quote_id", "q.speaker", F.col("q.source_name").alias("source_file"), "q.source_line", _f3(F.col("q.relevance")).alias("relevance"), F.col("q.text").alias("quote"),
+        "corpus_id", "p", "k", F.col("t.id").alias("theme_id"), F.col("t.name").alias("theme_name"), F.array_join(
+            "t.keywords", "; "
+        ).alias("theme_keywords"), F.col("t.color").alias("theme_color"),
+        "q.quote_id", "q.speaker", F.col("q.source_name").alias("source_file"), "q.source_line", _f3(
+            F.col("q.relevance")
+        ).alias("relevance"), F.col("q.text").alias("quote"),
         F.col("t.validation.review_status").alias("validation_review_status"),
     )
 
 
-CSV_COLUMNS = ["theme_id", "theme_name", "theme_keywords", "theme_color", "quote_id", "speaker", "source_file", "source_line", "relevance", "quote", "validation_review_status"]
+CSV_COLUMNS = [
+    "theme_id", "theme_name", "theme_keywords", "theme_color", "quote_id", "speaker", "source_file", "source_line", "relevance",
+    "quote", "validation_review_status"
+]
 
 
 def csv_text(result: DataFrame) -> DataFrame:
@@ -140,7 +163,9 @@ def csv_text(result: DataFrame) -> DataFrame:
         quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
         return F.when(text.rlike('[",\r\n]'), quoted).otherwise(text)
 
-    rows = csv_rows(result).select("corpus_id", F.struct("p", "k", F.concat_ws(",", *[cell(c) for c in CSV_COLUMNS]).alias("line")).alias("r"))
+    rows = csv_rows(result).select(
+        "corpus_id", F.struct("p", "k", F.concat_ws(",", *[cell(c) for c in CSV_COLUMNS]).alias("line")).alias("r")
+    )
     rows = rows.groupBy("corpus_id").agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["line"]).alias("lines"))
     all_ = result.select("corpus_id").join(rows, "corpus_id", "left")
     lines = F.concat(F.array(F.lit(",".join(CSV_COLUMNS))), F.coalesce("lines", F.array().cast("array<string>")))

@@ -29,7 +29,9 @@ def spoken_by_window(documents: DataFrame, time: str, width: str, delay: str) ->
 
     rows = turns.select("corpus_id", time, "s.speaker", F.explode(tx.sentences(F.col("s.text"))).alias("sentence"))
     rows = rows.withColumn("n", F.size(tx.words(F.col("sentence"))))
-    return rows.groupBy(F.window(time, width), "corpus_id", "speaker").agg(F.count("*").alias("sentences"), F.sum("n").alias("words"))
+    return rows.groupBy(F.window(time, width), "corpus_id", "speaker").agg(
+        F.count("*").alias("sentences"), F.sum("n").alias("words")
+    )
 
 
 def analyze_batches(documents: DataFrame, sink: Callable[[DataFrame, int], None], settings: Settings = Settings()):

@@ -7,6 +7,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glosswork.cli import main
 from glosswork.operators import cluster, segment, vectors as vec
@@ -30,7 +31,9 @@ Teen: Cooking pancakes for the county show was the hands-on job nobody wanted to
 
 
 def docs(spark, *texts):
-    return spark.createDataFrame([("c", i, f"s{i}", t) for i, t in enumerate(texts)], "corpus_id string, doc_pos int, source_name string, text string")
+    return spark.createDataFrame(
+        [("c", i, f"s{i}", t) for i, t in enumerate(texts)], "corpus_id string, doc_pos int, source_name string, text string"
+    )
 
 
 def test_segments(spark):
@@ -46,7 +49,9 @@ def test_segments(spark):
 
 
 def test_quotes_are_numbered_through_documents(spark):
-    rows = segment.quote_units(docs(spark, "A: one two three four. too short now", "B: five six seven eight nine")).orderBy("quote_idx").collect()
+    rows = segment.quote_units(
+        docs(spark, "A: one two three four. too short now", "B: five six seven eight nine")
+    ).orderBy("quote_idx").collect()
     assert [(r.quote_id, r.source_name, r.word_count) for r in rows] == [("Q0001", "s0", 4), ("Q0002", "s1", 5)]
     assert segment.quote_units(docs(spark, "")).count() == 0
 
@@ -62,7 +67,9 @@ def test_idf_and_unit_vectors(spark):
 
 
 def vectors_of(rows):
-    return cluster.Vectors([list(r) for r in rows], [np.array(list(r.values())) / np.sqrt(sum(v * v for v in r.values())) for r in rows])
+    return cluster.Vectors(
+        [list(r) for r in rows], [np.array(list(r.values())) / np.sqrt(sum(v * v for v in r.values())) for r in rows]
+    )
 
 
 def test_clustering_ways():
@@ -82,20 +89,28 @@ def test_seeds_agree_with_dataframe_steps(spark):
     w = vec.weights(tf, vec.idf(tf, q))
     got = [r.quote_idx for r in cluster.farthest_seeds(w, q, 3).orderBy("step").collect()]
     rows = w.toPandas().sort_values(["quote_idx", "term"])
-    v = cluster.Vectors([list(g.term) for _, g in rows.groupby("quote_idx")], [list(g.weight) for _, g in rows.groupby("quote_idx")])
+    v = cluster.Vectors(
+        [list(g.term) for _, g in rows.groupby("quote_idx")], [list(g.weight) for _, g in rows.groupby("quote_idx")]
+    )
     assert got == [s + 1 for s in cluster.seeds(v, 3)]
 
 
 @pytest.fixture(scope="module")
 def clustered(spark):
-    return analysis.analyze_texts(spark, [("plots.txt", GARDEN)], Settings(theme_count=3, quotes_per_theme=1, central_theme="compost drain")).persist()
+    return analysis.analyze_texts(
+        spark, [("plots.txt", GARDEN)], Settings(theme_count=3, quotes_per_theme=1, central_theme="compost drain")
+    ).persist()
 
 
 def test_clustered_analysis(clustered):
     r = clustered.first()
     assert (r.document_count, r.quote_count) == (1, 7)
     assert sum(t.quote_count for t in r.themes) == 7
-    assert all(t.id[0] == "T" and 0 <= t.score <= 1 and t.validation.displayed_quote_count == 1 <= t.validation.evidence_count for t in r.themes)
+    assert all(
+        t.id[
+            0
+        ] == "T" and 0 <= t.score <= 1 and t.validation.displayed_quote_count == 1 <= t.validation.evidence_count for t in r.themes
+    )
     assert r.themes[0].validation.central_theme_alignment > 0
     assert r.notes[-1] == "Central theme priority used: compost drain."
     assert len(r.validation_summary) == 4
@@ -103,7 +118,10 @@ def test_clustered_analysis(clustered):
 
 def test_reports(clustered, tmp_path):
     md = reports.markdown(clustered).first().report
-    for part in ("# Qualitative Thematic Coding Report", "## Summary", "## Validation Framework", "### Quote Evidence", "## Color-Coded Transcript Evidence", "## Notes"):
+    for part in (
+        "# Qualitative Thematic Coding Report", "## Summary", "## Validation Framework", "### Quote Evidence",
+        "## Color-Coded Transcript Evidence", "## Notes"
+    ):
         assert part in md
     assert md.endswith(".\n") and not md.endswith("\n\n")
     data = json.loads(reports.json_text(clustered).first().report)
@@ -119,7 +137,9 @@ def test_reports(clustered, tmp_path):
 def test_codebook_analysis(spark):
     r = analysis.analyze_texts(spark, [("camp.txt", CAMP)]).first()
     assert all(t.id[0] == "C" for t in r.themes)
-    assert {"ASD shapes 4-H participation", "Leader training and accommodations", "Useful hands-on 4-H activities"} <= {t.name for t in r.themes}
+    assert {
+        "ASD shapes 4-H participation", "Leader training and accommodations", "Useful hands-on 4-H activities"
+    } <= {t.name for t in r.themes}
     assert r.themes[0].quotes[0].relevance <= 1
     plain = analysis.analyze_texts(spark, [("x", CAMP.replace("4-H", "club"))]).first()
     assert all(t.id[0] == "T" for t in plain.themes)
@@ -130,11 +150,34 @@ def test_no_quotes(spark):
     assert (r.document_count, r.quote_count, r.themes) == (1, 0, []) and r.notes[-1] == "No quote-length text units were found."
 
 
+def test_entered_settings(spark):
+    r = analysis.analyze_entered(docs(spark, GARDEN), "0", -3, "  compost ").first()
+    assert len(r.themes) == 1 and len(r.themes[0].quotes) == 7
+    assert r.notes[-1] == "Central theme priority used: compost."
+
+
+def test_reports_of_several_corpora(spark, tmp_path):
+    rows = [(c, 0, c, t) for c, t in (("a", GARDEN), ("b", GARDEN[:200]))]
+    result = analysis.analyze(
+        spark.createDataFrame(rows, "corpus_id string, doc_pos int, source_name string, text string"), Settings(theme_count=2)
+    ).persist()
+    reports.save(result, str(tmp_path / "r.json"))
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["r-1.json", "r-2.json"]
+    text = (tmp_path / "r-1.json").read_text()
+    assert text == json.dumps(json.loads(text), indent=2, ensure_ascii=False) + "\n"
+    none = result.withColumn("themes", F.transform("themes", lambda t: t.withField("color", F.lit(None).cast("string"))))
+    rows = list(csv.reader(io.StringIO(reports.csv_text(none).where("corpus_id = 'a'").first().report)))
+    assert {len(r) for r in rows} == {11} and {r[3] for r in rows[1:]} == {""}
+
+
 def docx(*paragraphs):
     body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+        z.writestr(
+            "word/document.xml",
+            f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>'
+        )
     return out.getvalue()
 
 
@@ -151,7 +194,9 @@ def test_files_and_cli(spark, tmp_path, capsys):
     (tmp_path / "a.docx").write_bytes(docx("Bob: a heated frame would save tomatoes from late frost."))
     (tmp_path / "bad.docx").write_bytes(b"no zip")
     got = files.read_files(spark, [str(tmp_path / n) for n in ("b.txt", "a.docx", "bad.docx")]).orderBy("doc_pos").collect()
-    assert [r.source_name for r in got] == ["b.txt", "a.docx", "bad.docx"] and got[2].text is None and "BadZipFile" in got[2].error
+    assert [r.source_name for r in got] == [
+        "b.txt", "a.docx", "bad.docx"
+    ] and got[2].text is None and "BadZipFile" in got[2].error
     out = tmp_path / "o" / "report.md"
     assert main([str(tmp_path / "b.txt"), str(tmp_path / "a.docx"), "--out", str(out), "--central-theme", "frost"]) == 0
     assert "Documents analyzed: 2" in capsys.readouterr().out and "Source: a.docx" in out.read_text()

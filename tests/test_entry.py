@@ -45,8 +45,15 @@ def test_entry(spark):
 def test_streaming_counts(spark, tmp_path):
     from glosswork.streaming import live
 
-    spark.createDataFrame([("c", 0, "s", "Ann: one two three four. five six seven eight")], "corpus_id string, doc_pos int, source_name string, text string").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("corpus_id string, doc_pos int, source_name string, text string").parquet(str(tmp_path / "in"))
-    q = live.live_sentences(stream).writeStream.format("memory").queryName("live_rows").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    spark.createDataFrame(
+        [("c", 0, "s", "Ann: one two three four. five six seven eight")],
+        "corpus_id string, doc_pos int, source_name string, text string"
+    ).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(
+        "corpus_id string, doc_pos int, source_name string, text string"
+    ).parquet(str(tmp_path / "in"))
+    q = live.live_sentences(stream).writeStream.format("memory").queryName("live_rows").trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).start()
     q.awaitTermination(60)
     assert spark.table("live_rows").count() == 2

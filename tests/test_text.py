@@ -61,11 +61,20 @@ def test_match_form_and_alignment(spark):
 
 def test_display(spark):
     paths = lambda p: one(spark, p, display.file_selection, "array<string>")
-    assert [paths([]), paths(["/a/teacher.txt"]), paths(["a", "b", "c"])] == ["No transcripts selected", "teacher.txt", "3 transcripts selected"]
+    assert [paths([]), paths(["/a/teacher.txt"]), paths(["a", "b", "c"])] == [
+        "No transcripts selected", "teacher.txt", "3 transcripts selected"
+    ]
     assert one(spark, 3, lambda c: display.status(c, F.lit(42), F.lit(6)), "int") == "3 documents | 42 quote units | 6 themes"
-    assert one(spark, 0.72, lambda c: display.theme_row(F.lit("Accessibility Support"), F.lit(12), c), "double") == "Accessibility Support  |  12 quotes  |  72% focus"
+    assert one(
+        spark, 0.72, lambda c: display.theme_row(F.lit("Accessibility Support"), F.lit(12), c), "double"
+    ) == "Accessibility Support  |  12 quotes  |  72% focus"
     assert one(spark, "no", display.percent) == "0%"
     assert one(spark, 0.725, display.percent, "double") == "72%"
-    v = {"evidence_count": F.lit(12), "source_count": F.lit(3), "speaker_count": F.lit(7), "central_theme_alignment": F.col("c"), "review_status": F.lit("Researcher review required")}
-    assert one(spark, 0.72, lambda c: display.validation_line(v), "double") == "Evidence 12 | Sources 3 | Speakers 7 | Focus 72% | Researcher review required"
+    v = {
+        "evidence_count": F.lit(12), "source_count": F.lit(3), "speaker_count": F.lit(7), "central_theme_alignment": F.col("c"),
+        "review_status": F.lit("Researcher review required")
+    }
+    assert one(
+        spark, 0.72, lambda c: display.validation_line(v), "double"
+    ) == "Evidence 12 | Sources 3 | Speakers 7 | Focus 72% | Researcher review required"
     assert one(spark, 11, display.theme_color, "int") == "#2563eb"
