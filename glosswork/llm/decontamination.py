@@ -57,7 +57,9 @@ def items_of(benchmark: DataFrame, n=N) -> DataFrame:
             own = [h[row == i].view(np.int64) for i in range(batch.num_rows)]
             packed = [words.hash[a:b].tobytes() for a, b in zip(words.rows, words.rows[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id"), kernel.binary(packed), pa.array(own, pa.list_(pa.int64()))], ["item_id", "words", "seeds"]
+                [
+                    batch.column("item_id"), kernel.binary(packed), pa.array(own, pa.list_(pa.int64()))
+                ], ["item_id", "words", "seeds"]
             )
 
     rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates()
@@ -67,7 +69,9 @@ def items_of(benchmark: DataFrame, n=N) -> DataFrame:
 def bloom(hashes: DataFrame, column: str) -> np.ndarray:
     """Bits of two probes for each hash; at most 2**BLOOM_BITS / 64 rows come to the driver."""
     mask = (1 << BLOOM_BITS) - 1
-    at = hashes.select(F.explode(F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, 32).bitwiseAND(mask))).alias("p"))
+    at = hashes.select(
+        F.explode(F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, 32).bitwiseAND(mask))).alias("p")
+    )
     words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
     out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
     got = words.toPandas()
@@ -174,7 +178,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold=THRESHOLD, n=N
             need = np.array([2 * len(x) for x in b])
             low = batch.column("low").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("item_id"), pa.array(best / np.maximum(need, 1)), pa.array(low + first), pa.array(low + last)],
+                [
+                    batch.column("doc_id"), batch.column("item_id"), pa.array(best / np.maximum(need, 1)),
+                    pa.array(low + first), pa.array(low + last)
+                ],
                 ["doc_id", "item_id", "score", "first_word", "last_word"],
             )
 

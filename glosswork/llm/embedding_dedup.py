@@ -90,9 +90,14 @@ def _linked(vectors, threshold, scratch):
     some = F.exists("x", lambda c: c != 0.0)
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad & some, F.lit(False))
     v = v.withColumn("x", F.when(good, F.transform("x", lambda c: c + F.lit(0.0))))
-    member = v.select("vec_id", "label", F.when(good, F.struct(F.xxhash64("x").alias("a"), F.xxhash64(F.lit(7), "x").alias("b"))).alias("h"), "x")
+    member = v.select(
+        "vec_id", "label", F.when(good, F.struct(F.xxhash64("x").alias("a"), F.xxhash64(F.lit(7), "x").alias("b"))).alias("h"),
+        "x"
+    )
     classes = shared.cut(
-        member.where("h is not null").groupBy("label", "h").agg(F.min("vec_id").alias("cls"), F.count("*").alias("size"), F.first("x").alias("x"), F.size(F.first("x")).alias("dim"))
+        member.where("h is not null").groupBy("label", "h").agg(
+            F.min("vec_id").alias("cls"), F.count("*").alias("size"), F.first("x").alias("x"), F.size(F.first("x")).alias("dim")
+        )
     )
     most = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     bits, tables = shape(most, threshold)
@@ -108,7 +113,10 @@ def _linked(vectors, threshold, scratch):
                 pick = pa.array(np.tile(np.arange(n), tables))
                 yield pa.RecordBatch.from_arrays(
                     [own.column(c).take(pick) for c in ("label", "cls", "size", "dim")]
-                    + [pa.array(np.repeat(np.arange(tables), n).astype(np.int32)), pa.array(sig.T.ravel()), kernel_binary(x).take(pick)],
+                    + [
+                        pa.array(np.repeat(np.arange(tables), n).astype(np.int32)), pa.array(sig.T.ravel()),
+                        kernel_binary(x).take(pick)
+                    ],
                     ["label", "cls", "size", "dim", "t", "sig", "x"],
                 )
 
@@ -182,17 +190,27 @@ def _linked(vectors, threshold, scratch):
         one = [int(v) for v in ids[some]] + [e[0] for e in tree]
         other = [None] * len(some) + [e[1] for e in tree]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(one, pa.int64()), pa.array(other, pa.int64()), pa.array(links[some].tolist() + [0] * len(tree), pa.int64())], ["a", "b", "n"]
+            [
+                pa.array(one, pa.int64()), pa.array(other, pa.int64()),
+                pa.array(links[some].tolist() + [0] * len(tree), pa.int64())
+            ], ["a", "b", "n"]
         )
 
     order = ["task", "label", "dim", "t", "sig", "p", "q"]
-    found = rows.select(*order, "own", "cls", "size", "x").repartition(shared.partitions(spark), "task").sortWithinPartitions(*order)
+    found = rows.select(
+        *order, "own", "cls", "size", "x"
+    ).repartition(shared.partitions(spark), "task").sortWithinPartitions(*order)
     found = shared.cut(found.mapInArrow(compare, "a long, b long, n long"))
     n = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     comp = shared.cut(shared.components(found.where("b is not null").select("a", "b")))
     known = classes.join(n, "cls", "left").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-    known = known.select("label", "h", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+    known = known.select(
+        "label", "h", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
+        F.coalesce("component", "cls").alias("component_id")
+    )
     out = member.select("vec_id", "label", "h").join(known, ["label", "h"], "left")
     return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(
+            "component_id", "vec_id"
+        ).alias("component_id")
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -117,7 +117,10 @@ def members(docs: DataFrame) -> DataFrame:
             if often.any():
                 common[0] = np.concatenate([key[often].view(np.int64), count[often]]).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("content"), pa.array(fingerprints(values, offsets), mask=n == 0), pa.array(n), pa.array(common, pa.binary())],
+                [
+                    batch.column("doc_id"), batch.column("content"), pa.array(fingerprints(values, offsets), mask=n == 0),
+                    pa.array(n), pa.array(common, pa.binary())
+                ],
                 ["doc_id", "content", "node", "n", "common"],
             )
 
@@ -135,8 +138,12 @@ def common_shingles(own: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], ["key", "count"])
 
     total = own.count()
-    counted = own.where("common is not null").select("common").mapInArrow(run, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
-    often = counted.where(F.col("count") >= max(COMMON_LEAST, total * COMMON)).orderBy(F.desc("count"), "key").limit(COMMON_MOST)
+    counted = own.where("common is not null").select("common").mapInArrow(run, "key long, count long").groupBy("key").agg(
+        F.sum("count").alias("count")
+    )
+    often = counted.where(
+        F.col("count") >= max(COMMON_LEAST, total * COMMON)
+    ).orderBy(F.desc("count"), "key").limit(COMMON_MOST)
     return np.sort(np.array([r.key for r in often.select("key").collect()], np.int64)).view(kernel.U)
 
 
@@ -189,11 +196,15 @@ def shared_sets(texts: DataFrame, common: np.ndarray, n_parts: int) -> DataFrame
             frequent = by_class(shared.part_of(mixed, n_parts), row[hot], node, size, key[hot])
             none = [np.zeros(0, k) for k in kinds]
             parts = sorted(rare.keys() | frequent.keys())
-            yield shared.packed_batch([keys[p] for p in parts], [shared.block([*rare.get(p, none), *frequent.get(p, none)]) for p in parts])
+            yield shared.packed_batch(
+                [keys[p] for p in parts], [shared.block([*rare.get(p, none), *frequent.get(p, none)]) for p in parts]
+            )
 
     def merged(got):
         node, size, count = (np.concatenate([g[i] for g in got]) for i in range(3))
-        return node, size, np.repeat(np.arange(len(node)), count), key_of(np.concatenate([g[3] for g in got]), np.concatenate([g[4] for g in got]))
+        return node, size, np.repeat(np.arange(len(node)), count), key_of(
+            np.concatenate([g[3] for g in got]), np.concatenate([g[4] for g in got])
+        )
 
     def distinct(key, run, node):
         order = np.lexsort((node[run], key))
@@ -228,7 +239,9 @@ def shared_sets(texts: DataFrame, common: np.ndarray, n_parts: int) -> DataFrame
             # runs of one class are one run, whatever blocks they came in
             first = np.searchsorted(np.sort(node), node[run])
             at = np.argsort(node, kind="stable")
-            out = by_class(shared.part_of(kernel.mix(node[run].view(kernel.U)), n_parts), first, node[at], size[at], key, [level])
+            out = by_class(
+                shared.part_of(kernel.mix(node[run].view(kernel.U)), n_parts), first, node[at], size[at], key, [level]
+            )
             if out:
                 yield shared.packed_batch([keys[p] for p in out], [shared.block(x) for x in out.values()])
 
@@ -253,7 +266,10 @@ def shared_sets(texts: DataFrame, common: np.ndarray, n_parts: int) -> DataFrame
                 r = row[start[i : i + 500]]
                 lead = n[r] // 5 + 1 - (n[r] - have[r])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[r]), pa.array(n[r]), pa.array(lead), kernel.binary([shared.block(low_high(key[a : a + c])) for a, c in own])],
+                    [
+                        pa.array(ids[r]), pa.array(n[r]), pa.array(lead),
+                        kernel.binary([shared.block(low_high(key[a : a + c])) for a, c in own])
+                    ],
                     ["node", "n", "lead", "keys"],
                 )
 
@@ -279,10 +295,15 @@ def first_regions(sets_: DataFrame) -> DataFrame:
                 low, high = shared.unblock(packed.as_py(), (np.uint32, np.uint16))
                 got.append(key_of(low[:k], high[:k]).view(np.int64))
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(np.repeat(batch.column("node").to_numpy(), lead))], ["shingle", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(got)), pa.array(np.repeat(batch.column("node").to_numpy(), lead))],
+                    ["shingle", "node"]
+                )
 
     early = sets_.select("node", "lead", "keys").mapInArrow(run, "shingle long, node long")
-    pivots = early.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    pivots = early.groupBy("shingle").agg(
+        F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("p"), F.count("*").alias("c")
+    ).where("c > 1")
     met = early.join(pivots.select("shingle", F.col("p.node").alias("region")), "shingle")
     return met.where("node <> region").select("region", "node").distinct()
 
@@ -318,10 +339,16 @@ def distances(members_: DataFrame, pivots: DataFrame, sets_: DataFrame, parts: i
     m / DEAL tasks, and its few pivots go to each of them.
     """
     salts = F.ceil(F.col("m") / DEAL).cast("int")
-    own = members_.select("region", F.pmod(F.xxhash64("node", F.lit(1)), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "node")
-    every = pivots.select("region", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("pivot").alias("node"))
+    own = members_.select(
+        "region", F.pmod(F.xxhash64("node", F.lit(1)), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "node"
+    )
+    every = pivots.select(
+        "region", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("pivot").alias("node")
+    )
     rows = own.unionByName(every).join(sets_.select("node", "n", "keys").hint("merge"), "node")
-    rows = rows.select("region", "salt", "kind", "node", "n", "keys").repartition(parts, "region", "salt").sortWithinPartitions("region", "salt", "kind", "node")
+    rows = rows.select(
+        "region", "salt", "kind", "node", "n", "keys"
+    ).repartition(parts, "region", "salt").sortWithinPartitions("region", "salt", "kind", "node")
 
     def run(batches):
         pivots_of, now = [], None
@@ -337,11 +364,16 @@ def distances(members_: DataFrame, pivots: DataFrame, sets_: DataFrame, parts: i
                 for p, pn, k in pivots_of:
                     common = np.add.reduceat(is_in(flat, k).astype(np.int64), start)
                     full = [pa.array(np.full(len(node), x, np.int64)) for x in (region, p, pn)]
-                    yield pa.RecordBatch.from_arrays([full[0], pa.array(node, pa.int64()), full[1], pa.array(n), full[2], pa.array(common)], ["region", "node", "pivot", "n", "pn", "common"])
+                    yield pa.RecordBatch.from_arrays(
+                        [full[0], pa.array(node, pa.int64()), full[1], pa.array(n), full[2], pa.array(common)],
+                        ["region", "node", "pivot", "n", "pn", "common"]
+                    )
 
     got = rows.mapInArrow(run, "region long, node long, pivot long, n long, pn long, common long")
     total = F.col("n") + F.col("pn") - F.col("common")
-    return got.select("region", "node", "pivot", (1 - F.col("common") / total).alias("d"), (F.col("common") * 100 >= total * 80).alias("link"))
+    return got.select(
+        "region", "node", "pivot", (1 - F.col("common") / total).alias("d"), (F.col("common") * 100 >= total * 80).alias("link")
+    )
 
 
 def forest(link, count):
@@ -387,9 +419,13 @@ def region_links(members_: DataFrame, sets_: DataFrame, parts: int) -> DataFrame
     blocks = F.ceil(F.col("m") / block).cast("int")
     rows = members_.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node", F.lit(2)), blocks).cast("int")})
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "d")
+    rows = rows.select(
+        "region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "d"
+    )
     rows = rows.join(sets_.select("node", "n", "keys").hint("merge"), "node")
-    rows = rows.select("region", "i", "j", "own", "node", "comp", "d", "n", "keys").repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j", "own", "node")
+    rows = rows.select(
+        "region", "i", "j", "own", "node", "comp", "d", "n", "keys"
+    ).repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j", "own", "node")
 
     def run(batches):
         for (_, i, j), table in groups(batches, ["region", "i", "j"]):
@@ -399,7 +435,9 @@ def region_links(members_: DataFrame, sets_: DataFrame, parts: int) -> DataFrame
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             common = common_counts(unpacked(table.column("keys")), left, right)
             ok = 180 * common.astype(np.int64) >= 80 * (n[left][:, None] + n[right][None, :])
-            ok &= (comp[left][:, None] != comp[right][None, :]) & (np.abs(d[left][:, None] - d[right][None, :]) <= RADIUS + 1e-9)
+            ok &= (comp[left][:, None] != comp[right][None, :]) & (
+                np.abs(d[left][:, None] - d[right][None, :]) <= RADIUS + 1e-9
+            )
             a, b = np.nonzero(ok)
             a, b = forest((left[a], right[b]), len(node))
             if len(a):
@@ -411,7 +449,9 @@ def region_links(members_: DataFrame, sets_: DataFrame, parts: int) -> DataFrame
 def opened(members_: DataFrame, comp: DataFrame) -> DataFrame:
     """Members of the regions that hold more than one component: (region, node, d, m, comp)."""
     rows = members_.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    open_ = rows.groupBy("region").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    open_ = rows.groupBy("region").agg(
+        F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")
+    ).where("low < high")
     return rows.join(open_.select("region", "m"), "region")
 
 
@@ -419,7 +459,9 @@ def voronoi(large: DataFrame, sets_: DataFrame, parts: int, level: int) -> tuple
     """The regions of SPLIT new pivots in each region: members (region, node, d, parent_m); the
     regions that are better not split (region); and links (a, b) to the pivots."""
     lot = F.xxhash64("node", F.lit(100 + level))
-    pivots = large.groupBy("region", F.pmod(lot, F.lit(SPLIT)).alias("k")).agg(F.min(F.struct(lot.alias("h"), "node")).alias("p"), F.max("m").alias("m"))
+    pivots = large.groupBy("region", F.pmod(lot, F.lit(SPLIT)).alias("k")).agg(
+        F.min(F.struct(lot.alias("h"), "node")).alias("p"), F.max("m").alias("m")
+    )
     pivots = pivots.select("region", F.col("p.node").alias("pivot"), "m")
     found = shared.cut(distances(large.select("region", "node", "m"), pivots, sets_, parts))
     # a member's nearest distance and its windows, as one row a member
@@ -476,10 +518,14 @@ def rows_with_components(docs: DataFrame) -> DataFrame:
         comp = links(sets_, parts)
         # components of classes, named by their smallest document
         full = own.where("node is not null and doc_id is not null").select("doc_id", "content", "node", "n")
-        classes = full.groupBy("node").agg(F.min("doc_id").alias("least")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        classes = full.groupBy("node").agg(F.min("doc_id").alias("least")).join(comp, "node", "left").withColumn(
+            "component", F.coalesce("component", "node")
+        )
         least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
         of_node = shared.cut(classes.join(least, "component").select("node", "component_id"))
-    rest = own.where("node is null or doc_id is null").select("doc_id", "content", F.lit(None).cast("long").alias("node"), "n", F.col("doc_id").alias("component_id"))
+    rest = own.where("node is null or doc_id is null").select(
+        "doc_id", "content", F.lit(None).cast("long").alias("node"), "n", F.col("doc_id").alias("component_id")
+    )
     return full.join(of_node, "node").select("doc_id", "content", "node", "n", "component_id").unionByName(rest)
 
 

@@ -120,7 +120,10 @@ def fit(docs: DataFrame, labels: DataFrame, label="quality", keep=None, rows=SAM
             got = [t for table in tables(batch.column("text")) for t in table]
             at = [np.flatnonzero(t).astype(np.int32) for t in got]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), batch.column("__y"), kernel.binary([shared.block([i, t[i].astype(np.int32)]) for i, t in zip(at, got)])],
+                [
+                    batch.column("__id"), batch.column("__y"),
+                    kernel.binary([shared.block([i, t[i].astype(np.int32)]) for i, t in zip(at, got)])
+                ],
                 ["id", "y", "counts"],
             )
 

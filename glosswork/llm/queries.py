@@ -18,7 +18,9 @@ from . import (
 )
 
 #: The list of the URL query: host, path, verdict.
-URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+URL_RULES = [
+    ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")
+]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,7 +53,10 @@ def toxic_scores(docs, labels, keep=None):
 def op4_toxicity(spark, sf_dir):
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
     scored = toxic_scores(docs, labels, lambda c: ~held_out(c, 4, 2))
-    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
 
 
 def op5_embedding_near_dedup(spark, sf_dir):
@@ -61,12 +66,18 @@ def op5_embedding_near_dedup(spark, sf_dir):
 def op6_quality_classifier(spark, sf_dir):
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
     scored = quality.score(docs, quality.fit(docs, labels, keep=lambda c: ~held_out(c, 3, 1)))
-    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
 
 
 def op7_sharding(spark, sf_dir):
     out = sharding.shard(read(spark, sf_dir, "documents"), 8)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 def op8_suffix_array_dedup(spark, sf_dir):

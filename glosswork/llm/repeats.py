@@ -156,14 +156,18 @@ def _earlier(docs, unit, width, v, cover, across_only, buckets, n, tables):
         for p, (r, q, *c) in shared.pack(part[ask], [row[ask], place[ask], *[x[ask] for x in more]], n):
             start, count, high, low = split_runs(r, q)
             out[p] = [rid[r[start]], count, high, low, *([] if order is None else [order[r[start]]]), *c]
-        empty = [np.zeros(0, x) for x in own] + [np.zeros(0, np.int64)] * (order is not None) + [np.zeros(0, x.dtype) for x in more]
+        empty = [np.zeros(0, x) for x in own] + [np.zeros(0, np.int64)] * (order is not None) + [
+            np.zeros(0, x.dtype) for x in more
+        ]
         passed = {}
         for p, (r, q) in shared.pack(shared.part_of(kernel.mix(rid.view(kernel.U)), n)[row[tell]], [row[tell], place[tell]], n):
             start, count, high, low = split_runs(r, q)
             passed[p] = [rid[r[start]], count, high, low]
         none = [np.zeros(0, x) for x in own]
         parts = sorted(out.keys() | passed.keys())
-        return shared.packed_batch([keys[p] for p in parts], [shared.block([*out.get(p, empty), *passed.get(p, none)]) for p in parts])
+        return shared.packed_batch(
+            [keys[p] for p in parts], [shared.block([*out.get(p, empty), *passed.get(p, none)]) for p in parts]
+        )
 
     def entries(got):
         """(distinct rids, rid of each entry, place of each entry) of arrays as in own."""

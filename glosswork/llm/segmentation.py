@@ -13,6 +13,9 @@ and its pieces (a bounded table) are sent to the executors.  Scores that are mer
 weights 1 / (rank + 2.7); scores of unigram models are log probabilities.  A character that is no
 piece, the literal U+2581 among them, is spelled in byte pieces, so decoding is always exact.
 
+No normalisation is applied and no space is put before a text, as either would make decoding
+lossy; so ids at the start of a text can differ from those of an encoder that adds a space.
+
 Defined cases: null text gives null pieces and decodes to null; empty text gives no pieces; a null
 key counts as the hash of the text; repeated rows are segmented alike; an empty table gives no
 rows.  Other columns are passed through untouched.
@@ -165,7 +168,10 @@ class Lattice:
 class Lattices:
     """Lattices of the distinct chunks met so far; forgets all of them beyond KEPT_EDGES."""
 
-    PARTS = {"source": np.int32, "piece": np.int32, "cum": np.float32, "off": np.int32, "degree": np.int32, "first": np.int32, "last": np.int32}
+    PARTS = {
+        "source": np.int32, "piece": np.int32, "cum": np.float32, "off": np.int32, "degree": np.int32, "first": np.int32,
+        "last": np.int32
+    }
 
     def __init__(self, voc):
         self.voc = voc
@@ -198,7 +204,9 @@ class Lattices:
         if len(new):
             own = Lattice(data[gather(start[new], length[new])], length[new], self.voc)
             count, nodes, edges = self.size["first"], self.size["off"], self.size["source"]
-            for name, shift in (("source", nodes), ("piece", 0), ("cum", 0), ("off", edges), ("degree", 0), ("first", nodes), ("last", nodes)):
+            for name, shift in (
+                ("source", nodes), ("piece", 0), ("cum", 0), ("off", edges), ("degree", 0), ("first", nodes), ("last", nodes)
+            ):
                 self.append(name, getattr(own, name) + shift)
             both = np.concatenate([self.hash, h[new]])
             order = np.argsort(both, kind="stable")
@@ -230,7 +238,9 @@ def encode_rows(array, keys, lattice, seed):
     node, first = lattice.last[which], lattice.first[which]
     todo, steps = np.arange(len(start)), []
     while len(todo):
-        u = (kernel.mix(base[todo] + kernel.U(((len(steps) + 1) * kernel.MUL_A) & kernel.MASK)) >> kernel.U(11)).astype(np.float64) * 2.0**-53
+        u = (
+            kernel.mix(base[todo] + kernel.U(((len(steps) + 1) * kernel.MUL_A) & kernel.MASK)) >> kernel.U(11)
+        ).astype(np.float64) * 2.0**-53
         here = node[todo]
         slot, last = lattice.off[here], lattice.off[here] + lattice.degree[here] - 1
         going = np.flatnonzero((lattice.cum[slot] <= u) & (slot < last))
@@ -279,7 +289,9 @@ def encode(docs: DataFrame, path=MODEL, seed=0, sharpness=1.0, key="doc_id", che
             pieces, offsets = encode_rows(text, keys, lattices, seed)
             null = text.is_null()
             mask = null.to_numpy(zero_copy_only=False)
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(pieces), mask=null if null.true_count else None)
+            lists = pa.ListArray.from_arrays(
+                pa.array(offsets.astype(np.int32)), pa.array(pieces), mask=null if null.true_count else None
+            )
             out = [batch.column(n) for n in kept] + [lists, pa.array(np.diff(offsets), mask=mask)]
             if check:
                 data, ends = decode_rows(pieces, offsets, voc)

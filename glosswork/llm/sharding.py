@@ -64,14 +64,18 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
         return F.coalesce(F.sum(column).over(window), F.lit(0))
 
     sizes = entries.groupBy("bucket").agg(F.sum("n").alias("b")).withColumn("run", F.floor(F.col("bucket") / RUN))
-    runs = sizes.groupBy("run").agg(F.sum("b").alias("r")).withColumn("runs_before", so_far("r", before().orderBy("run"))).drop("r")
+    runs = sizes.groupBy("run").agg(F.sum("b").alias("r")).withColumn(
+        "runs_before", so_far("r", before().orderBy("run"))
+    ).drop("r")
     sizes = sizes.withColumn("buckets_before", so_far("b", before("run").orderBy("bucket"))).join(runs, "run")
     offsets = sizes.select("bucket", (F.col("runs_before") + F.col("buckets_before")).alias("start"))
     own = entries.withColumn("own", so_far("n", before("bucket").orderBy(*key))).join(offsets, "bucket")
     own = own.select(*key, "n", (F.col("start") + F.col("own")).alias("start"))
     last = F.col("start") + F.col("n") - 1
     few = own.where(F.col("n") <= BUCKET).select(*key, F.explode(F.sequence("start", last)).alias("row_number"))
-    parts = own.where(F.col("n") > BUCKET).select(*key, F.explode(F.sequence("start", last, F.lit(BUCKET).cast("long"))).alias("low"), last.alias("last"))
+    parts = own.where(F.col("n") > BUCKET).select(
+        *key, F.explode(F.sequence("start", last, F.lit(BUCKET).cast("long"))).alias("low"), last.alias("last")
+    )
     parts = parts.repartition("low")  # the parts of a frequent entry, over several tasks
     many = parts.select(*key, F.explode(F.sequence("low", F.least(F.col("low") + (BUCKET - 1), "last"))).alias("row_number"))
     return few.unionByName(many), total
@@ -79,7 +83,15 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
 
 def step(x: Column, a: int, b: int, seed: int) -> Column:
     """One pass of the network over a place; halves are x mod a and x div a."""
-    keys = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit((c + seed) % PRIME).cast("long").alias("c"), F.lit(i % 2 == 0).alias("left")) for i, (m, c) in enumerate(KEYS[:ROUNDS])])
+    keys = F.array(
+        *[
+            F.struct(
+                F.lit(m).cast("long").alias("m"), F.lit((c + seed) % PRIME).cast("long").alias("c"),
+                F.lit(i % 2 == 0).alias("left")
+            ) for i,
+            (m, c) in enumerate(KEYS[:ROUNDS])
+        ]
+    )
 
     def turn(s, k):
         other = F.when(k["left"], s["r"]).otherwise(s["l"])
@@ -103,7 +115,9 @@ def permuted(x: Column, n: int, seed=0) -> Column:
     if not walk:
         return first
     out = F.aggregate(F.sequence(F.lit(1), F.lit(walk)), first, lambda p, _: F.when(p < n, p).otherwise(step(p, a, b, seed)))
-    return out if walk == a * b - n else F.when(out < n, out).otherwise(F.raise_error(F.lit("a walk left its bound; choose another seed")).cast("long"))
+    return out if walk == a * b - n else F.when(out < n, out).otherwise(
+        F.raise_error(F.lit("a walk left its bound; choose another seed")).cast("long")
+    )
 
 
 def shard(docs: DataFrame, shards=8, seed=0) -> DataFrame:

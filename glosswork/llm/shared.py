@@ -19,7 +19,10 @@ def settled(spark: SparkSession):
     """For the jobs that run inside: small Arrow batches, as rows hold whole texts or packed
     blocks, and shuffle files that go when their job ends.  The session's own settings come back
     afterwards, also after an error."""
-    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    own = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS),
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"
+    }
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
@@ -218,11 +221,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     )
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    last = None
+    last, n = None, partitions(spark)
     while True:
         # large star: every larger neighbour of u links to the smallest id near u
         both = pairs.select("u", "v").union(pairs.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        least = least.repartition(n)  # apart from the sums, so that the join can split the hub of a star
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its smaller neighbours link to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))

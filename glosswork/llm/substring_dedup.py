@@ -51,7 +51,10 @@ def dedup(docs: DataFrame, width=WIDTH) -> DataFrame:
                 sha.append(hashlib.sha256(kept[-1]).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [column(batch, n) for n in names]
-                + [pa.array([k.decode() for k in kept], pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)],
+                + [
+                    pa.array([k.decode() for k in kept], pa.string()), pa.array(total, pa.int64()),
+                    pa.array(removed, pa.int64()), pa.array(sha)
+                ],
                 names + [f.name for f in added],
             )
 

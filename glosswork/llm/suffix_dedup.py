@@ -63,7 +63,10 @@ def dedup(docs: DataFrame, width=WIDTH, buckets=BUCKETS) -> DataFrame:
                 kept.append(text.tobytes())
                 sha.append(hashlib.sha256(kept[-1]).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [column(batch, n) for n in names] + [kernel.binary(kept), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha)],
+                [column(batch, n) for n in names] + [
+                    kernel.binary(kept), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
+                    pa.array(sha)
+                ],
                 names + [f.name for f in added],
             )
 

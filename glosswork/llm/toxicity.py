@@ -22,6 +22,9 @@ from . import kernel, shared
 #: Rows of the learning sample: the labelled rows with the smallest hash of doc_id, half of them
 #: toxic where there are as many.
 SAMPLE_ROWS = 5_000
+#: Features of the sample at most, 4 bytes each on the driver; rows beyond them, in the same order,
+#: are left out of the sample (one row is always taken).
+SAMPLE_FEATURES = 25_000_000
 BITS = 20
 CHUNK = 2 << 20
 STEMS = (4, 5)
@@ -32,7 +35,9 @@ def beginnings(words, n):
     out = np.full(len(words.start), n, kernel.U)
     for k in range(n):
         at = words.start + k
-        out = out * kernel.U(257) + np.where(at < words.end, words.data[np.minimum(at, len(words.data) - 1)], 0).astype(kernel.U)
+        out = out * kernel.U(257) + np.where(
+            at < words.end, words.data[np.minimum(at, len(words.data) - 1)], 0
+        ).astype(kernel.U)
     return kernel.mix(out)
 
 
@@ -59,7 +64,9 @@ class Ftrl:
 
     def weights(self, at):
         z, n = self.z[at], self.n[at]
-        return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+        return np.where(
+            np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
+        )
 
     def learn(self, at, y):
         """at: distinct buckets; the last bucket is the intercept."""
@@ -103,9 +110,18 @@ def fit(docs: DataFrame, labels: DataFrame, label="toxic", keep=None, rows=SAMPL
                 ["id", "y", "keys"],
             )
 
-    some = docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(sample_of(labels, label, keep, rows, True)), "__id")
-    got = some.mapInArrow(run, "id long, y int, keys binary").collect()
-    got = sorted(((r.id, r.y, bytes(r["keys"])) for r in got))
+    some = docs.select(F.col("doc_id").alias("__id"), "text").join(
+        F.broadcast(sample_of(labels, label, keep, rows, True)), "__id"
+    )
+    found = some.mapInArrow(run, "id long, y int, keys binary").repartition(16, "id")
+    found = found.sortWithinPartitions("id", "y", "keys")
+    got, size = [], 0
+    for r in found.toLocalIterator():  # one part at a time, until the sample is full
+        size += len(r["keys"]) // 4
+        if got and size > SAMPLE_FEATURES:
+            break
+        got.append((r.id, r.y, bytes(r["keys"])))
+    got.sort()
     order = np.random.default_rng(0).permutation(len(got))
     model, bias = Ftrl(bits), np.array([1 << bits])
     for _ in range(passes):

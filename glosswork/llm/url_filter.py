@@ -7,8 +7,9 @@ such lengths as the list has.  Each form is looked up in a blocked Bloom filter
 four 64-bit words a key, joined by block number); what passes goes to an exact equi-join with
 the list, which removes false positives.  Everything is DataFrame functions.
 
-The filter has BLOCKS blocks at most, whatever the list's size, so it can be broadcast; a longer
-list only lets more candidates through to the exact join.  Distinct (host, path) pairs are judged
+The filter has BITS_PER_KEY bits for each entry, so it rules out as much of a long list as of a
+short one.  Up to BLOCKS blocks it is broadcast; a larger one is joined by block number like any
+table.  Distinct (host, path) pairs are judged
 once and joined back, so a URL repeated in a third of the rows is judged once.
 
 Defined cases: a null URL or one without "://" has empty host and path and gets the default
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Blocks of 256 bits, 40 bytes a row: 2.6 MB at most.
+#: Blocks of 256 bits, 40 bytes a row, that are broadcast: 2.6 MB.
 BLOCKS = 1 << 16
 BITS_PER_KEY = 16
 PROBES = 4
@@ -75,21 +76,25 @@ def may_contain(keys: DataFrame, column: str, bloom: DataFrame, blocks: int) ->
     for w in range(4):
         own = F.col(f"w{w}").bitwiseAND(m[w]) == m[w]
         hit = own if hit is None else hit & own
-    return probe.join(F.broadcast(bloom), "block").where(hit).select(*keys.columns)
+    bloom = F.broadcast(bloom) if blocks <= BLOCKS else bloom
+    return probe.join(bloom, "block").where(hit).select(*keys.columns)
 
 
-def judge(pages: DataFrame, listed: DataFrame, default="allow", blocks=BLOCKS) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, default="allow") -> DataFrame:
     """(page_id, url, host, path, rule, verdict, listed): the longest fitting entry of each URL."""
     rules = listed.select(
-        F.translate("host", UPPER, LOWER).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")
+        F.translate(
+            "host", UPPER, LOWER
+        ).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")
     ).where("r_host <> ''")
     rules = rules.groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))
     rules = rules.withColumn("key", F.concat("r_host", F.lit("\n"), "r_path"))
     shape = rules.agg(
-        F.max(F.size(F.split("r_host", r"\."))).alias("labels"), F.collect_set(F.length("r_path")).alias("lengths"), F.count("*").alias("n")
+        F.max(
+            F.size(F.split("r_host", r"\."))
+        ).alias("labels"), F.collect_set(F.length("r_path")).alias("lengths"), F.count("*").alias("n")
     ).first()
-    sized = 1 << max(4, min(blocks, max(1, shape.n * BITS_PER_KEY // 256)).bit_length())
-    sized = min(sized, blocks)
+    sized = 1 << max(4, (shape.n * BITS_PER_KEY // 256).bit_length())
 
     parsed = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     distinct = parsed.select("host", "path").where("host <> ''").distinct()
@@ -103,5 +108,7 @@ def judge(pages: DataFrame, listed: DataFrame, default="allow", blocks=BLOCKS) -
     longest = F.max(F.struct(F.length("rule").alias("n"), "rule", "r_verdict")).alias("best")
     best = fits.groupBy("host", "path").agg(longest).select("host", "path", "best.rule", "best.r_verdict")
     return parsed.join(best, ["host", "path"], "left").select(
-        "page_id", "url", "host", "path", "rule", F.coalesce("r_verdict", F.lit(default)).alias("verdict"), F.col("rule").isNotNull().alias("listed")
+        "page_id", "url", "host", "path", "rule", F.coalesce(
+            "r_verdict", F.lit(default)
+        ).alias("verdict"), F.col("rule").isNotNull().alias("listed")
     )

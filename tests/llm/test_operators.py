@@ -36,7 +36,10 @@ def corpus():
     rows = [text(RNG.randint(1, 150)) for _ in range(40)]
     rows += [text(30) + " " + passage + " " + text(30) for _ in range(6)]
     rows += [edited(base, s) for s in (0, 0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.1)]
-    rows += [text(40) + "\n" + rows[0], passage + " " + passage, "é" * 80, "é" * 80, "", None, " \t\n ", "a", "A", "a b c d", "x " * 200, "ünïcode  " * 30]
+    rows += [
+        text(40) + "\n" + rows[0], passage + " " + passage, "é" * 80, "é" * 80, "", None, " \t\n ", "a", "A", "a b c d",
+        "x " * 200, "ünïcode  " * 30
+    ]
     out = list(enumerate(rows))
     return out + [out[3], (None, rows[41]), (None, None), (3, "another text with the same id")]
 
@@ -76,12 +79,16 @@ def test_words_and_hashes():
 
 def test_part_keys_reach_every_partition(spark):
     keys = shared.part_keys(7)
-    got = spark.createDataFrame([(int(k),) for k in keys], "part int").repartition(7, "part").select(F.spark_partition_id().alias("p"), "part").collect()
+    got = spark.createDataFrame([(int(k),) for k in keys], "part int").repartition(7, "part").select(
+        F.spark_partition_id().alias("p"), "part"
+    ).collect()
     assert {r.p: r.part for r in got} == dict(enumerate(keys.tolist()))
 
 
 def test_components(spark):
-    edges = [(5, 3), (3, 9), (9, 9), (9, 5), (20, 21), (21, 22), (22, 23), (23, 24), (1, 2)] + [(100, 101 + i) for i in range(50)]
+    edges = [
+        (5, 3), (3, 9), (9, 9), (9, 5), (20, 21), (21, 22), (22, 23), (23, 24), (1, 2)
+    ] + [(100, 101 + i) for i in range(50)]
     got = {r.node: r.component for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert [got[i] for i in (3, 5, 9, 24, 2, 150)] == [3, 3, 3, 20, 1, 100]
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
@@ -114,7 +121,11 @@ def test_url_filter(spark):
     want = Counter((i, *brute_rule(u, queries.URL_RULES)) for i, u, _ in rows)
     assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == want
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
-    assert {r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, z string"), rules.limit(0)).collect()} == {"allow"}
+    assert {
+        r.verdict for r in url_filter.judge(
+            spark.createDataFrame(rows, "page_id long, url string, z string"), rules.limit(0)
+        ).collect()
+    } == {"allow"}
 
 
 def test_bloom_filter_has_no_false_negatives(spark):
@@ -133,7 +144,11 @@ def test_decontamination(spark):
     para = items[1][1].split()
     para[5] = para[13] = para[27] = "changed"
     del para[20]
-    rows = [(0, text(200)), (1, text(50) + " " + items[0][1].upper() + " " + text(50)), (2, text(80) + " " + " ".join(para)), (3, None), (4, ""), (5, items[0][1]), (5, items[0][1]), (None, items[0][1]), (6, " ".join(items[2][1].split()[:10]) + " " + text(90))]
+    rows = [
+        (0, text(200)), (1, text(50) + " " + items[0][1].upper() + " " + text(50)), (2, text(80) + " " + " ".join(para)),
+        (3, None), (4, ""), (5, items[0][1]), (5, items[0][1]), (None, items[0][1]),
+        (6, " ".join(items[2][1].split()[:10]) + " " + text(90))
+    ]
     rows += [(100 + i, text(150)) for i in range(20)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(frame(spark, rows), bench).collect()}
@@ -158,7 +173,9 @@ def test_decontamination_of_a_copy_whose_surviving_trigrams_are_common(spark):
 def test_decontamination_with_one_intact_trigram(spark):
     short, long = "a b c d e f g h", text(60).split()
     far = long[:30] + [f"x{i}" for i in range(55)] + long[30:]  # the gap parts the hits: two passages
-    thin = [x for i, w in enumerate(long) for x in ([w, f"y{i}"] if i < 56 and i % 2 else [w])]  # its only trigrams are at the end
+    thin = [  # its only trigrams are at the end
+        x for i, w in enumerate(long) for x in ([w, f"y{i}"] if i < 56 and i % 2 else [w])
+    ]
     rows = [(0, "a b c X e f Y h"), (1, text(30) + " a b c X e f Y h " + text(30)), (2, " ".join(far)), (3, " ".join(thin))]
     bench = spark.createDataFrame([(0, short), (1, " ".join(long))], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(frame(spark, rows), bench).collect()}
@@ -183,6 +200,33 @@ def test_alignment_scores():
         assert s == 0 or brute_align(a[i : j + 1], b) == s
 
 
+def test_decontamination_recall_over_edit_shares(spark):
+    """Copies with edited, dropped and added words, against Smith-Waterman of every pair."""
+    rng = random.Random(21)
+    items = [(i, text(rng.choice([12, 25, 40]), rng)) for i in range(6)]
+    rows = []
+    for i in range(120):
+        item = items[i % 6][1].split()
+        share = rng.choice([0.1, 0.2, 0.3])
+        copy = []
+        for w in item:
+            x = rng.random()
+            copy += [w] if x >= share else [] if x < share / 4 else [w, f"n{i}"] if x < share / 2 else [f"m{i}{len(copy)}"]
+        rows.append((i, text(15, rng) + " " + " ".join(copy) + " " + text(15, rng)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(frame(spark, rows), bench).collect()}
+    number = {}
+    code = lambda t: [number.setdefault(w, len(number)) for w in t.split()]
+    want = {}
+    for d, t in rows:
+        for k, item in items:
+            score = brute_align(code(t), code(item)) / (2 * len(item.split()))
+            if score >= 0.5:
+                want[d, k] = score
+    assert len(want) > 90 and set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert len(got) >= 0.97 * len(want)
+
+
 # --- 3
 
 
@@ -240,7 +284,9 @@ def labelled(spark):
         rows.append((i, " ".join(w + "%%%" for w in words) if junk else " ".join(words)))
         labels.append((i, int(not junk), int(bad)))
     rows += [(1000, ""), (1001, None), (None, "nastyone nastytwo"), (0, rows[0][1])]
-    return frame(spark, [(d, t, "x") for d, t in rows], DOC + ", score string"), spark.createDataFrame(labels + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    return frame(spark, [(d, t, "x") for d, t in rows], DOC + ", score string"), spark.createDataFrame(
+        labels + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int"
+    )
 
 
 def held(i, m, r):
@@ -254,7 +300,9 @@ def test_classifiers_on_held_out_rows(spark, module, label, m, r, least):
     got = module.score(df, model).select("doc_id", "score").collect()
     truth = {x.doc_id: x[label] for x in labels.collect()}
     assert len(got) == 504 and all(0 <= x.score <= 1 for x in got)
-    test = [(x.score >= least) == bool(truth[x.doc_id]) for x in got if held(x.doc_id, m, r) and truth.get(x.doc_id) is not None]
+    test = [
+        (x.score >= least) == bool(truth[x.doc_id]) for x in got if held(x.doc_id, m, r) and truth.get(x.doc_id) is not None
+    ]
     assert len(test) > 90 and np.mean(test) > 0.93
     assert module.score(df.limit(0), model).count() == 0
     none = module.score(df.limit(5), module.fit(df, labels.limit(0))).collect()
@@ -327,7 +375,9 @@ def test_votes_against_brute_force():
 
 
 def test_idf_counts_all_documents(spark):
-    rows = [(i, "good plain words") for i in range(10)] + [(i, "rare" + " 7 7" * (i % 2)) for i in range(10, 90)] + [(90, None), (None, "rare"), (91, "")]
+    rows = [(i, "good plain words") for i in range(10)] + [
+        (i, "rare" + " 7 7" * (i % 2)) for i in range(10, 90)
+    ] + [(90, None), (None, "rare"), (91, "")]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int")
     model = quality.fit(frame(spark, rows).repartition(3), labels)
     n = Counter(b for _, t in rows if t is not None for b in {int(k) for k in quality.counted(pa.array([t]))})
@@ -342,9 +392,17 @@ def test_idf_counts_all_documents(spark):
 def test_embedding_links(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 16))
-    x = np.concatenate([base, base[:10] + 0.05 * rng.standard_normal((10, 16)), base[:10] + 0.02 * rng.standard_normal((10, 16)), np.tile(base[0], (5, 1)), base[1:2] * 3])
+    x = np.concatenate(
+        [
+            base, base[:10] + 0.05 * rng.standard_normal((10, 16)), base[:10] + 0.02 * rng.standard_normal((10, 16)),
+            np.tile(base[0], (5, 1)), base[1:2] * 3
+        ]
+    )
     rows = [(int(i), [float(v) for v in r], int(i % 40 % 3)) for i, r in enumerate(x)]
-    rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, [None] + [1.0] * 15, 1), (904, rows[0][1], None), (None, rows[0][1], 0), (905, [1.0, 2.0], 0), (906, [], 0), (0, rows[0][1], 0)]
+    rows += [
+        (900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, [None] + [1.0] * 15, 1),
+        (904, rows[0][1], None), (None, rows[0][1], 0), (905, [1.0, 2.0], 0), (906, [], 0), (0, rows[0][1], 0)
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = embedding_dedup.link(df).collect()
     assert len(got) == len(rows)
@@ -377,7 +435,9 @@ def test_embedding_recall_at_the_threshold(spark, monkeypatch):
     other /= np.linalg.norm(other, axis=1, keepdims=True)
     near = 0.9801 * base + np.sqrt(1 - 0.9801**2) * other
     rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, near]))] + [(9000, None, 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("n", F.lit("clash")).withColumn("cls", F.lit(0))
+    df = spark.createDataFrame(
+        rows, "vec_id long, embedding array<double>, label int"
+    ).withColumn("n", F.lit("clash")).withColumn("cls", F.lit(0))
     x = np.concatenate([base, near])
     want = int((np.triu(x @ x.T, 1) >= 0.98).sum())
     for fill in (32, 0.05):
@@ -504,7 +564,9 @@ def test_ngram_join(spark, docs, rows):
 def test_ngram_join_of_a_large_group_of_near_copies(spark, monkeypatch):
     rng = random.Random(8)
     base = text(100, rng)
-    rows = [(i, edited(base, rng.choice([0.005, 0.02, 0.03, 0.04]), rng)) for i in range(160)] + [(1000 + i, text(80, rng)) for i in range(40)]
+    rows = [
+        (i, edited(base, rng.choice([0.005, 0.02, 0.03, 0.04]), rng)) for i in range(160)
+    ] + [(1000 + i, text(80, rng)) for i in range(40)]
     sets, find = brute_groups(rows)
     want = {d: find(d) for d, _ in sets}
     assert len(set(want.values())) > 45

@@ -32,8 +32,12 @@ def rows_of(pairs):
 def pairs():
     same = words(60, 1)
     return [
-        (1, same), (3, same), (3, words(50, 2)), (5, words(40, 3)), (6, words(45, 4)), (6, words(45, 4)), (7, None), (7, None), (8, ""), (9, " \n"),
-        (None, same), (None, None), (None, words(30, 5)), (10, words(60_000, 6)), (11, "one"), (12, "One"), (13, same + " " + words(40, 7)),
+        (1, same), (3, same), (
+            3, words(50, 2)
+        ), (5, words(40, 3)), (6, words(45, 4)), (6, words(45, 4)), (7, None), (7, None), (8, ""), (9, " \n"),
+        (None, same), (None, None), (None, words(30, 5)), (10, words(60_000, 6)), (11, "one"), (12, "One"), (
+            13, same + " " + words(40, 7)
+        ),
     ]
 
 
@@ -75,7 +79,9 @@ def test_repeated_words_go(spark, pairs):
 
 def test_contaminated_rows_go(spark, pairs):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 80").orderBy("item_id").first().text
-    more = [(20, "so " + item), (20, words(20, 9)), (None, item), (21, words(30_000, 10) + " " + item + " " + words(30_000, 11))]
+    more = [
+        (20, "so " + item), (20, words(20, 9)), (None, item), (21, words(30_000, 10) + " " + item + " " + words(30_000, 11))
+    ]
     got = Counter(staged(spark, "benchmark_decontamination", rows_of(pairs + more)))
     assert got == Counter(map(tuple, rows_of(pairs + more[1:2])))
 
@@ -88,13 +94,20 @@ def test_pieces(spark, pairs):
 
 def test_clashing_columns_and_long_texts_of_operators(spark, pairs):
     plain = spark.createDataFrame(pairs, "doc_id long, text string")
-    odd = plain.withColumns({c: F.lit("x") for c in ("node", "component_id", "n", "seeds", "item_id", "score", "content", "region", "h")})
+    odd = plain.withColumns(
+        {c: F.lit("x") for c in ("node", "component_id", "n", "seeds", "item_id", "score", "content", "region", "h")}
+    )
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     for run in (ngram_join.join, lambda d: decontamination.contaminated(d, bench.withColumn("words", F.lit(1)))):
         assert Counter(run(odd).collect()) == Counter(run(plain).collect())
     for op in (suffix_dedup.dedup, substring_dedup.dedup):
         cols = [c for c in op(plain).columns if c not in ("kept",)]
-        clash = plain.withColumns({"__rid": F.lit(1), "__ord": F.lit(2), "__starts": F.lit(3), "rest": F.lit(4), "__places": F.lit(5), "n_removed": F.lit("x")})
+        clash = plain.withColumns(
+            {
+                "__rid": F.lit(1), "__ord": F.lit(2), "__starts": F.lit(3), "rest": F.lit(4), "__places": F.lit(5),
+                "n_removed": F.lit("x")
+            }
+        )
         assert Counter(op(clash).select(cols).collect()) == Counter(op(plain).select(cols).collect())
         assert {r.rest for r in op(clash).select("rest").collect()} == {4}
 
