@@ -513,7 +513,7 @@ def rows_with_components(docs: DataFrame) -> DataFrame:
         texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
         total = own.agg(F.sum("n")).first()[0] or 0
         parts = max(shared.partitions(spark), -(-total // ENTRIES))
-        sets_ = shared.written(shared_sets(texts, common_shingles(own), parts))
+        sets_ = shared.written(shared_sets(texts, common_shingles(own), parts), clean=True)
         tables.append(sets_)
         comp = links(sets_, parts)
         # components of classes, named by their smallest document

@@ -231,10 +231,12 @@ def _earlier(docs, unit, width, v, cover, across_only, buckets, n, tables):
     def exchanged(df, send, receive):
         return shared.dealt(df.mapInArrow(send, shared.PACKED), n).mapInArrow(receive, shared.PACKED)
 
-    flags = shared.written(by_row(exchanged(texts.select("__rid", "text"), anchors, company), n, False))
+    flags = shared.written(by_row(exchanged(texts.select("__rid", "text"), anchors, company), n, False), clean=True)
     tables.append(flags)
+    if flags.isEmpty():
+        return docs.sparkSession.createDataFrame([], "__rid long, __starts array<binary>")
     # a merge join at every size: texts and flags both grow with the input
-    some = shared.written(texts.join(flags.hint("merge"), "__rid").dropDuplicates(["__rid"]))
+    some = shared.written(texts.join(flags.hint("merge"), "__rid").dropDuplicates(["__rid"]), clean=True)
     tables.append(some)
 
     def windows(bucket):
@@ -287,7 +289,7 @@ def _earlier(docs, unit, width, v, cover, across_only, buckets, n, tables):
     parts = []
     try:
         for b in range(buckets):
-            parts.append(shared.written(by_row(exchanged(some, windows(b), later), n, True)))
+            parts.append(shared.written(by_row(exchanged(some, windows(b), later), n, True), clean=True))
     except BaseException:
         shared.discard(*parts)
         raise

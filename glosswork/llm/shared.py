@@ -15,22 +15,19 @@ ARROW_ROWS = 200
 
 
 @contextlib.contextmanager
-def settled(spark: SparkSession):
-    """For the jobs that run inside: small Arrow batches, as rows hold whole texts or packed
-    blocks, and shuffle files that go when their job ends.  The session's own settings come back
-    afterwards, also after an error."""
-    own = {
-        "spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS),
-        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"
-    }
-    before = {k: spark.conf.get(k, None) for k in own}
-    for k, v in own.items():
-        spark.conf.set(k, v)
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting for the jobs that run inside; the session's own comes back, also after an error."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def settled(spark: SparkSession):
+    """Small Arrow batches for the jobs that run inside, as rows hold whole texts or packed blocks."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 @contextlib.contextmanager
@@ -66,11 +63,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Computes df once into a Parquet table of the shared folder; for wide rows."""
+def written(df: DataFrame, clean: bool = False) -> DataFrame:
+    """Computes df once into a Parquet table of the shared folder; for wide rows.
+
+    clean: its shuffle files go when the job ends.  Only for plans all of whose stages are read to
+    the end: Spark would also take the files from a stage that still runs when a limit is reached
+    or a join turns out empty.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", str(clean).lower()):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
