@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import (
     decontamination,
     embedding_dedup,
+    language_id,
     ngram_join,
+    periodic_runs,
+    prefix_trie,
     quality,
     segmentation,
     sharding,
+    shared,
     substring_dedup,
     suffix_dedup,
     toxicity,
@@ -94,6 +98,67 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
 
+def with_periods(docs):
+    """documents, as the query of op11 has them: with h = crc32 of the id, in the documents with h % 10 = 0 the n words from
+    word a = g % n on repeat the first p of these, g being floor(h / 10) and p = 1 + floor((n - a) / (3 + g % 8))."""
+    word = r"[^\x20\x09-\x0D]+"
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.withColumn("ws", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(word), F.lit(0))))
+    n, g = F.size("ws").cast("long"), F.floor(h / 10)
+    rows = rows.withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    made = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("ws", at(i).cast("int")))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark, sf_dir):
+    docs = with_periods(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = periodic_runs.find(docs).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.col("best")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256")
+    )
+
+
+def grafted(turns: DataFrame) -> DataFrame:
+    """Numbered turns as the query of op12 has them: a conversation c begins with the first h turns of
+    c - c % 5, h being crc32(c) % 9, and goes on with its own turns from the one behind its first h."""
+    h = lambda c: (F.crc32(c.cast("string")) % 9).cast("int")
+    convs = turns.where("pos = 0").select("conv_id", "total", (F.col("conv_id") - F.col("conv_id") % 5).alias("donor"))
+    donors = convs.select(F.col("conv_id").alias("donor"), F.col("total").alias("have"))
+    lent = F.least(h(F.col("conv_id")), F.coalesce("have", F.lit(0))).alias("lent")
+    convs = convs.join(donors, "donor", "left").select("conv_id", "donor", lent)
+    given = turns.where((F.col("conv_id") % 5 == 0) & (F.col("pos") < 8)).withColumnRenamed("conv_id", "donor")
+    given = given.join(convs, "donor").where("pos < lent").select(
+        "conv_id", (F.col("pos") + 1).alias("depth"), "token", "size"
+    )
+    # where the donor has all h turns, own turns keep their places; others are few and moved up
+    short = convs.where(F.col("lent") < h(F.col("conv_id"))).select(
+        "conv_id", (h(F.col("conv_id")) - F.col("lent")).alias("up")
+    )
+    own = turns.where(F.col("pos") >= h(F.col("conv_id"))).join(short, "conv_id", "left")
+    own = own.select("conv_id", (F.col("pos") + 1 - F.coalesce("up", F.lit(0))).alias("depth"), "token", "size")
+    exists = convs.select("conv_id", *[F.lit(None).cast(kind).alias(name) for name, kind in own.dtypes[1:]])
+    return exists.unionByName(given).unionByName(own)
+
+
+def op12_conversation_prefix_trie(spark, sf_dir):
+    with shared.scratch() as held:
+        held.append(shared.written(prefix_trie.numbered(read(spark, sf_dir, "conversations"))))
+        return prefix_trie.nodes(grafted(held[0]))
+
+
+def op13_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = language_id.profiles(docs, keep=lambda c: ~held_out(c, 3, 1))
+    out = language_id.predict(docs, learned)
+    return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -107,6 +172,9 @@ QUERIES = {
         op8_suffix_array_dedup,
         op9_substring_dedup,
         op10_ngram_jaccard_join,
+        op11_periodic_runs,
+        op12_conversation_prefix_trie,
+        op13_language_id,
     )
 }
 
