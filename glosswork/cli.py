@@ -8,7 +8,7 @@ import os
 from pyspark.sql import SparkSession, functions as F
 
 from . import __version__
-from .plans.analysis import analyze
+from .plans.analysis import analyze, release
 from .settings import Settings
 from .sources import files, reports
 
@@ -29,9 +29,12 @@ def main(argv: list[str] | None = None) -> int:
     if bad:
         p.error(f"{bad[0].source_name}: {bad[0].error}")
     settings = Settings(theme_count=args.themes, quotes_per_theme=args.quotes, central_theme=args.central_theme)
-    result = analyze(documents, settings).persist()
-    reports.save(result, args.out, args.format)
-    n = result.select("document_count", F.size("themes").alias("themes"), "quote_count").first()
+    result = analyze(documents, settings)
+    try:
+        reports.save(result, args.out, args.format)
+        n = result.select("document_count", F.size("themes").alias("themes"), "quote_count").first()
+    finally:
+        release(result)
     print(
         f"Wrote {args.out}\nDocuments analyzed: {n.document_count}\nSuggested themes: {n.themes}\nQuote units analyzed: {n.quote_count}"
     )

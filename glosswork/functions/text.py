@@ -11,19 +11,26 @@ from pyspark.sql import Column, functions as F
 
 from .lexicon import STOPWORDS
 
-# Patterns that decide the results.
+# White space, and patterns that decide the results.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = r"(?U)[\s\x1c-\x1f]"
-EDGES = rf"^{SPACE}+|{SPACE}+$"
 #: Line ends of all kinds.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 TOKEN = "[A-Za-z가-힣][A-Za-z0-9가-힣'-]*"
 SPEAKER = rf"(?s)^([A-Za-z가-힣][A-Za-z0-9가-힣 _.-]{{0,60}})(?U:[\s\x1c-\x1f])*:(?U:[\s\x1c-\x1f])+(.+)$"
-SENTENCE_BREAK = r"(?U)(?<=[.!?])[\s\x1c-\x1f]+"
+SENTENCE_BREAK = r"(?<=[.!?]) "
+#: A token without apostrophes at its end that is no participant number (p12).
+WORD = "(?![pP][0-9]+'*(?![A-Za-z0-9가-힣'-]))[A-Za-z가-힣](?:[A-Za-z0-9가-힣'-]*[A-Za-z0-9가-힣-])?"
 NOT_MATCHED = "[^a-z0-9가-힣-]+"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, F.lit(EDGES), F.lit(""))
+    return F.btrim(c, F.lit(SPACES))
+
+
+def filled(c: Column) -> Column:
+    """Whether a text has any character that is no white space; false for null."""
+    return F.coalesce(c.rlike(f"[^{SPACES}]"), F.lit(False))
 
 
 def normalize_space(c: Column) -> Column:
@@ -38,19 +45,22 @@ def normalize_for_match(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Array of sentences, each with its closing mark (a full stop where there was none)."""
-    pieces = F.filter(F.split(normalize_space(c), SENTENCE_BREAK), lambda s: s != "")
+    pieces = F.array_remove(F.split(normalize_space(c), SENTENCE_BREAK), "")
     return F.transform(pieces, lambda s: F.when(s.rlike("[.!?]$"), s).otherwise(F.concat(s, F.lit("."))))
 
 
 def words(c: Column) -> Column:
-    """All tokens, lower case, without outer apostrophes and participant numbers (p12).
+    """All tokens, lower case, without outer apostrophes and participant numbers.
 
-    Tokens hold no space and begin with a letter, so they are cleaned joined, not one by one.
+    Tokens hold no space, so they are made lower case joined, not one by one.
     """
-    found = F.lower(F.array_join(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), " "))
-    found = F.regexp_replace(found, F.lit("'+(?= |$)"), F.lit(""))
-    found = F.ltrim(F.regexp_replace(found, F.lit("(?:^| )p[0-9]+(?= |$)"), F.lit("")))
-    return F.filter(F.split(found, " "), lambda t: t != "")
+    found = F.array_join(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), " ")
+    return F.array_remove(F.split(F.lower(found), " "), "")
+
+
+def word_count(c: Column) -> Column:
+    """The number of words()."""
+    return F.regexp_count(c, F.lit(WORD))
 
 
 def content_words(c: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .. import stages
 from ..functions import text as tx
 
 UNKNOWN = "Unknown"
@@ -15,7 +16,7 @@ UNKNOWN = "Unknown"
 
 def not_blank(documents: DataFrame) -> DataFrame:
     """Documents with any character that is no white space."""
-    return documents.where(F.length(tx.strip(F.coalesce("text", F.lit("")))) > 0)
+    return documents.where(tx.filled(F.col("text")))
 
 
 def _lines(text):
@@ -35,7 +36,7 @@ def segment_array(text):
         start = F.filter(
             F.sequence(F.lit(1), F.size(all_lines)),
             lambda i: (at(i) != "") & (
-                (F.regexp_extract(at(i), tx.SPEAKER, 2) != "") | (i == 1) | (at(F.greatest(i - 1, F.lit(1))) == "")
+                (i == 1) | (at(F.greatest(i - 1, F.lit(1))) == "") | (F.contains(at(i), F.lit(":")) & at(i).rlike(tx.SPEAKER))
             ),
         )
 
@@ -75,7 +76,7 @@ def sentence_units(segs: DataFrame) -> DataFrame:
     """One row per sentence of each segment, with sent_pos and word_count."""
     out = segs.select("*", F.posexplode(tx.sentences(F.col("text"))).alias("p", "sentence")).drop("text")
     out = out.withColumn("sent_pos", F.col("p") + 1).withColumnRenamed("sentence", "text").drop("p")
-    return out.withColumn("word_count", F.size(tx.words(F.col("text"))))
+    return out.withColumn("word_count", tx.word_count(F.col("text")))
 
 
 def quote_array(text, min_quote_words: int = 4):
@@ -83,10 +84,9 @@ def quote_array(text, min_quote_words: int = 4):
 
     def of_segment(s, k):
         def quote(x):
-            words = F.size(tx.words(x)).alias("word_count")
             return F.struct(
                 (k + 1).alias("seg_pos"), s["speaker"].alias("speaker"), x.alias("text"), s["source_line"].alias("source_line"),
-                words
+                tx.word_count(x).alias("word_count")
             )
 
         return F.transform(tx.sentences(s["text"]), quote)
@@ -96,10 +96,11 @@ def quote_array(text, min_quote_words: int = 4):
 
 def unnumbered_quotes(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
     """Sentences of enough words, without running numbers: one scan, no shuffle."""
+    # outer: else a filter on the whole array is inferred and pushed below, and evaluated again
     rows = not_blank(documents).select(
-        "corpus_id", "doc_pos", "source_name", F.explode(quote_array(F.col("text"), min_quote_words)).alias("q")
+        "corpus_id", "doc_pos", "source_name", F.explode_outer(quote_array(F.col("text"), min_quote_words)).alias("q")
     )
-    return rows.select("corpus_id", "doc_pos", "source_name", "q.*")
+    return rows.where("q is not null").select("corpus_id", "doc_pos", "source_name", "q.*")
 
 
 #: Documents whose numbers are summed in one task: those with equal doc_pos div RUN; runs are
@@ -107,27 +108,35 @@ def unnumbered_quotes(documents: DataFrame, min_quote_words: int = 4) -> DataFra
 RUN = 4096
 
 
-def quote_units(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
-    """Sentences of enough words, numbered through each corpus.
+def parsed(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
+    """The documents' columns but text, with row (a number of their own), filled (whether not blank), quotes
+    and n, their count: a table, as texts are parsed once."""
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.withColumns(
+        {
+            "row": F.monotonically_increasing_id(), "filled": tx.filled(F.col("text")), "content": F.xxhash64("text"),
+            "quotes": quote_array(text, min_quote_words)
+        }
+    )
+    return stages.write(rows.drop("text")).withColumn("n", F.size("quotes").cast("long"))
+
 
-    A document's quotes are an array, made in its row.  Documents are dealt by runs of positions;
-    a quote's number is the count in earlier runs, plus that in earlier documents of the run, plus
-    its place in the array, so no task sums a whole corpus.  Both sides read the same exchange,
-    so texts are parsed once.  Documents of equal position are taken by name, then by content; a
-    null corpus or position is one like any other, nulls first.
+def numbered(docs: DataFrame) -> DataFrame:
+    """The quotes of parsed documents, numbered through each corpus.
+
+    A quote's number is the count in earlier runs of documents, plus that in earlier documents of
+    the run, plus its place in its document.  These sums need the counts only, a narrow row for each
+    document, and no task sums a whole corpus; then each document learns where it begins.  Documents of
+    equal position are taken by name, then by content; a null corpus or position is one like any
+    other, nulls first.
     """
-    run = F.floor(F.col("doc_pos") / RUN)
-    parsed = not_blank(documents).select(
-        "corpus_id", run.alias("run"), F.struct(
-            "doc_pos", "source_name", quote_array(F.col("text"), min_quote_words).alias("quotes")
-        ).alias("d")
-    )
-    dealt = parsed.repartition("corpus_id", "run")
-    # the whole struct goes in, so that both sides keep the same columns and share the exchange
-    n = F.aggregate(F.array("d"), F.lit(0).cast("long"), lambda a, d: a + F.size(d["quotes"]))
     before = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
-    runs = dealt.groupBy("corpus_id", "run").agg(F.sum(n).alias("n")).withColumn("part", F.floor(F.col("run") / RUN))
+    run = F.floor(F.col("doc_pos") / RUN).alias("run")
+    counts = docs.where("n > 0").select("corpus_id", run, "doc_pos", "source_name", "content", "row", "n")
+    counts = counts.repartition("corpus_id", "run")
+    runs = counts.groupBy("corpus_id", "run").agg(F.sum("n").alias("n")).withColumn("part", F.floor(F.col("run") / RUN))
+    # a row for each run, then for each 4096 runs
     parts = runs.groupBy("corpus_id", "part").agg(F.sum("n").alias("n"))
     parts = parts.select(
         F.col("corpus_id").alias("c"), F.col("part").alias("p"),
@@ -138,13 +147,12 @@ def quote_units(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
     runs = runs.select(
         F.col("corpus_id").alias("c"), F.col("run").alias("r"), (F.col("parts_before") + F.col("runs_before")).alias("before")
     )
-    order = [F.col("d.doc_pos"), F.col("d.source_name"), F.xxhash64("d")]
-    rows = dealt.withColumn("docs_before", so_far(n, before("corpus_id", "run").orderBy(*order)))
-    rows = rows.join(runs, F.col("corpus_id").eqNullSafe(F.col("c")) & F.col("run").eqNullSafe(F.col("r")))
-    rows = rows.select(
-        "corpus_id", "d.doc_pos", "d.source_name", (F.col("before") + F.col("docs_before")).alias("before"),
-        F.posexplode("d.quotes").alias("p", "q")
-    )
+    order = before("corpus_id", "run").orderBy("doc_pos", "source_name", "content", "row")
+    begin = counts.withColumn("docs_before", so_far("n", order))
+    begin = begin.join(runs, F.col("corpus_id").eqNullSafe(F.col("c")) & F.col("run").eqNullSafe(F.col("r")))
+    begin = begin.select("row", (F.col("before") + F.col("docs_before")).alias("before"))
+    rows = docs.select("row", "corpus_id", "doc_pos", "source_name", "quotes").join(begin, "row")
+    rows = rows.select("corpus_id", "doc_pos", "source_name", "before", F.posexplode_outer("quotes").alias("p", "q"))
     rows = rows.withColumn("quote_idx", (F.col("before") + F.col("p") + 1).cast("int"))
     return rows.select(
         "corpus_id", "doc_pos", "q.seg_pos", "quote_idx", quote_id(
@@ -153,5 +161,11 @@ def quote_units(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
     )
 
 
+def quote_units(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
+    """Sentences of enough words, numbered through each corpus."""
+    rows = not_blank(documents).select("corpus_id", "doc_pos", "source_name", "text")
+    return numbered(parsed(rows, min_quote_words))
+
+
 def quote_id(number):
     return F.format_string("Q%04d", number)

@@ -28,46 +28,52 @@ def _ahead(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.withColumns({"n1": F.lead("w1", 1).over(line), "n2": after})
 
 
-def cluster_words(quotes: DataFrame, assignments: DataFrame) -> DataFrame:
-    """(corpus_id, cluster_pos, t, n1, n2): content words of each member that has any, and the
-    next two words of the cluster.  Members are taken by runs, so a cluster needs no single task."""
-    own = assignments.select(*KEY, "member_pos", "quote_idx")
-    words = quotes.select("corpus_id", "quote_idx", tx.content_words(F.col("text")).alias("t")).where(F.size("t") > 0)
-    words = words.join(own, ["corpus_id", "quote_idx"]).withColumn("run", F.floor(F.col("member_pos") / RUN))
-    words = _ahead(words.withColumns({"w1": F.get("t", F.lit(0)), "w2": F.get("t", F.lit(1))}), [*KEY, "run"], "member_pos")
+def _borders(words: DataFrame) -> DataFrame:
+    """(KEY, last, w, n1, n2): of each member the last words (one or two) and the next two of the cluster.
+
+    words: KEY, member_pos, and of each member with any words its first two (w1, w2) and last two.
+    Members are taken by runs, so a cluster needs no single task.
+    """
+    words = words.withColumn("run", F.floor(F.col("member_pos") / RUN))
+    words = _ahead(words, [*KEY, "run"], "member_pos")
     # of a run: its first word, and the second, which may be the next member's
     first = F.min(F.struct("member_pos", "w1", F.coalesce("w2", "n1").alias("w2"))).alias("f")
     runs = words.groupBy(*KEY, "run").agg(first).select(*KEY, "run", "f.w1", "f.w2")
     runs = _ahead(runs, KEY, "run").select(*KEY, "run", F.col("n1").alias("r1"), F.col("n2").alias("r2"))
-    rows = words.join(runs, [*KEY, "run"])
     n1 = F.coalesce("n1", "r1").alias("n1")
     n2 = F.when(F.col("n1").isNull(), F.col("r2")).otherwise(F.coalesce("n2", "r1")).alias("n2")
-    return rows.select(*KEY, "t", n1, n2)
+    return words.join(runs, [*KEY, "run"]).select(*KEY, "last", n1, n2).where("n1 is not null")
 
 
 def keywords(quotes: DataFrame, assignments: DataFrame, idf: DataFrame, limit: int = KEYWORDS) -> DataFrame:
     """(corpus_id, cluster_pos, keyword, score, k): the best terms and phrases of each cluster.
 
-    Phrases run over the members' texts in member order, from one quote into the next, so a
-    member's words are followed by the next two words of the cluster.
+    Phrases run over the members' texts in member order, from one quote into the next.  Those
+    within a quote are made in its row; those over a border from the last two words of each
+    member and the two words that follow, so only these four are put in order.
     """
-
-    def grams(line, n):
-        def at(i):
-            words = [F.get(line, i + k) for k in range(n)]
-            weight = F.when(words[-1].isNotNull(), F.lit(PHRASE_WEIGHT if n > 1 else 1.0))
-            return F.struct(
-                F.concat_ws(" ", *words).alias("keyword"), F.concat_ws("_", *words).alias("term"), weight.alias("w")
-            )
-
-        return F.transform(F.sequence(F.lit(0), F.size(line) - 3), at)
-
-    line = F.concat("t", F.array("n1", "n2"))
-    every = tx.bound(line, lambda x: F.concat(*[grams(x, n) for n in (1, 2, 3)]))
-    counts = cluster_words(quotes, assignments).select(
-        *KEY, F.explode(every).alias("g")
-    ).select(*KEY, "g.*").where("w is not null")
-    counts = counts.groupBy(*KEY, "keyword", "term", "w").agg(F.count("*").alias("n"))
+    own = assignments.select(*KEY, "member_pos", "quote_idx")
+    # outer: words are made once, before the filter
+    words = quotes.select("corpus_id", "quote_idx", F.explode_outer(F.array(tx.content_words(F.col("text")))).alias("t"))
+    words = words.where(F.size("t") > 0).join(own, ["corpus_id", "quote_idx"])
+    inside = words.select(*KEY, F.explode_outer(F.concat("t", tx.grams(F.col("t"), 2, " "), tx.grams(F.col("t"), 3, " "))).alias("keyword"))
+    ends = words.select(
+        *KEY, "member_pos", F.get("t", F.lit(0)).alias("w1"), F.get("t", F.lit(1)).alias("w2"),
+        F.slice("t", -F.least(F.size("t"), F.lit(2)), F.lit(2)).alias("last")
+    )
+    over = _borders(ends)
+    a, b = F.element_at("last", -1), F.try_element_at("last", F.lit(-2))
+    three = F.when(F.col("n2").isNotNull(), F.concat_ws(" ", a, "n1", "n2"))
+    across = F.array(F.concat_ws(" ", a, "n1"), three, F.when(b.isNotNull(), F.concat_ws(" ", b, a, "n1")))
+    over = over.select(*KEY, F.explode_outer(across).alias("keyword")).where("keyword is not null")
+    counts = inside.unionByName(over).groupBy(*KEY, "keyword").agg(F.count("*").alias("n"))
+    # words hold neither spaces nor underscores
+    counts = counts.withColumns(
+        {
+            "term": F.translate("keyword", " ", "_"),
+            "w": F.when(F.contains("keyword", F.lit(" ")), PHRASE_WEIGHT).otherwise(1.0)
+        }
+    )
     scored = counts.join(idf.select("corpus_id", "term", "idf"), ["corpus_id", "term"], "left")
     bonus = F.when(
         (F.col("w") == 1.0) & F.coalesce(F.map_contains_key(hints(), F.col("term")), F.lit(False)), HINT_WEIGHT * F.col("n")

@@ -4,22 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .. import stages
 from ..functions import text as tx
 
 
 def terms(quotes: DataFrame, focus: str = "") -> DataFrame:
-    """(corpus_id, quote_idx, term, tf)"""
-    out = quotes.select(
-        "corpus_id", "quote_idx", F.explode(tx.vector_terms(tx.focus_augmented(F.col("text"), focus))).alias("term")
-    )
-    return out.groupBy("corpus_id", "quote_idx", "term").agg(F.count("*").alias("tf"))
+    """(corpus_id, quote_idx, term, tf): counted within the quote's row, without a shuffle."""
+    every = tx.vector_terms(tx.focus_augmented(F.col("text"), focus))
+
+    def counted(all_terms):
+        once = F.array_distinct(all_terms)
+        n = lambda t: F.size(all_terms) - F.size(F.array_remove(all_terms, t))
+        many = lambda t: F.struct(t.alias("term"), n(t).cast("long").alias("tf"))
+        one = lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("tf"))
+        return F.when(F.size(once) == F.size(all_terms), F.transform(once, one)).otherwise(F.transform(once, many))
+
+    # outer: else a filter on the whole array is inferred and pushed below, and evaluated again
+    rows = quotes.select("corpus_id", "quote_idx", F.explode_outer(tx.bound(every, counted)).alias("t"))
+    return rows.where("t is not null").select("corpus_id", "quote_idx", "t.term", "t.tf")
 
 
 def idf(tf: DataFrame, quotes: DataFrame) -> DataFrame:
     """(corpus_id, term, df, idf): ln((1+N)/(1+df))+1, N quotes."""
     total = quotes.groupBy("corpus_id").agg(F.count("*").alias("total"))
-    # counted by tf, so that the column stays and the exchange behind tf is shared with other uses
-    df = tf.groupBy("corpus_id", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    df = tf.groupBy("corpus_id", "term").agg(F.count("*").alias("df"))
     return df.join(total, "corpus_id").select(
         "corpus_id", "term", "df", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf")
     )
@@ -41,6 +49,13 @@ def weights(tf: DataFrame, idfs: DataFrame) -> DataFrame:
     ).select("corpus_id", "quote_idx", "term", "tf", "weight")
 
 
+def weigh(quotes: DataFrame, focus: str = "") -> tuple[DataFrame, DataFrame]:
+    """idf() and weights() of quotes, each a table."""
+    tf = terms(quotes, focus)
+    idfs = stages.write(idf(tf, quotes))
+    return idfs, stages.write(weights(tf, idfs))
+
+
 def l1(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("corpus_id", "quote_idx").agg(F.sum(F.abs("weight")).alias("l1"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .. import stages
 from ..functions import display, lexicon, text as tx
 from ..operators import cluster, codebook as cb, segment, themes as th, vectors as vec
 from ..settings import Settings
@@ -37,7 +38,7 @@ def conversations(spark, sf_dir, one_corpus=False) -> DataFrame:
     name = F.concat(F.lit("conv_"), F.col("conv_id").cast("string"))
     if one_corpus:
         return t.select(
-            F.lit("all").alias("corpus_id"), (F.col("conv_id") * 65536 + F.col("turn")).alias("doc_pos"),
+            F.lit("all").alias("corpus_id"), (F.col("conv_id").cast("decimal(20,0)") * (1 << 32) + F.col("turn")).alias("doc_pos"),
             name.alias("source_name"), said.alias("text")
         )
     return t.select(
@@ -58,6 +59,11 @@ def conv_quotes(spark, sf_dir, one_corpus=False) -> DataFrame:
     return segment.quote_units(conversations(spark, sf_dir, one_corpus))
 
 
+def staged_quotes(spark, sf_dir, one_corpus=False) -> DataFrame:
+    """The quotes as a table, for queries that read them several times."""
+    return stages.write(conv_quotes(spark, sf_dir, one_corpus))
+
+
 def counts(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("bigint") for c in cols})
 
@@ -123,7 +129,8 @@ def token_stream(spark, sf_dir):
 
 
 def token_freq(spark, sf_dir):
-    q = segment.unnumbered_quotes(documents(spark, sf_dir)).select(F.explode(tx.words(F.col("text"))).alias("token"))
+    q = segment.unnumbered_quotes(documents(spark, sf_dir)).select(F.explode_outer(tx.words(F.col("text"))).alias("token"))
+    q = q.where("token is not null")
     return q.groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -139,10 +146,8 @@ def ngram_terms(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir, focus="", one_corpus=False):
-    q = conv_quotes(spark, sf_dir, one_corpus)
-    tf = vec.terms(q, focus)
-    idf = vec.idf(tf, q)
-    return q, idf, vec.weights(tf, idf)
+    q = staged_quotes(spark, sf_dir, one_corpus)
+    return q, *vec.weigh(q, focus)
 
 
 def _rounded(df, *cols, digits=4):
@@ -150,11 +155,14 @@ def _rounded(df, *cols, digits=4):
 
 
 def idf_terms(spark, sf_dir):
-    return _rounded(_vectors(spark, sf_dir, one_corpus=True)[1], "idf")
+    q = staged_quotes(spark, sf_dir, one_corpus=True)
+    return _rounded(vec.idf(vec.terms(q), q), "idf")
 
 
 def tfidf_weights(spark, sf_dir):
-    return _rounded(counts(_vectors(spark, sf_dir)[2], "quote_idx"), "weight")
+    q = staged_quotes(spark, sf_dir)
+    tf = vec.terms(q)
+    return _rounded(counts(vec.weights(tf, stages.write(vec.idf(tf, q))), "quote_idx"), "weight")
 
 
 def vector_l1(spark, sf_dir):
@@ -182,7 +190,7 @@ def by_speaker(quotes: DataFrame) -> DataFrame:
 
 def _themed(spark, sf_dir, focus=""):
     q, idf, w = _vectors(spark, sf_dir, focus)
-    return q, idf, w, by_speaker(q)
+    return q, idf, w, stages.write(by_speaker(q))
 
 
 def group_centroid(spark, sf_dir):
@@ -263,7 +271,7 @@ def theme_validation(spark, sf_dir):
 
 def _speaker_themes(spark, sf_dir):
     q, idf, w, a = _themed(spark, sf_dir)
-    return th.ordered(th.clustered_themes(q, a, idf, vec.relevance(w, a), Settings(quotes_per_theme=2)), Settings())
+    return th.ordered(th.clustered_themes(q, a, idf, stages.write(vec.relevance(w, a)), Settings(quotes_per_theme=2)), Settings())
 
 
 def theme_order(spark, sf_dir):

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import segment
-from ..plans.analysis import analyze
+from ..plans.analysis import analyze, release
 from ..settings import Settings
 
 
@@ -35,5 +35,15 @@ def spoken_by_window(documents: DataFrame, time: str, width: str, delay: str) ->
 
 
 def analyze_batches(documents: DataFrame, sink: Callable[[DataFrame, int], None], settings: Settings = Settings()):
-    """A writer that gives the result of each micro-batch's corpora to sink(result, batch_id)."""
-    return documents.writeStream.foreachBatch(lambda batch, n: sink(analyze(batch, settings), n))
+    """A writer that gives the result of each micro-batch's corpora to sink(result, batch_id).
+
+    The result's table goes once sink returns, so batches leave nothing behind."""
+
+    def run(batch, n):
+        result = analyze(batch, settings)
+        try:
+            sink(result, n)
+        finally:
+            release(result)
+
+    return documents.writeStream.foreachBatch(run)
