@@ -16,7 +16,7 @@ UNKNOWN = "Unknown"
 
 def not_blank(documents: DataFrame) -> DataFrame:
     """Documents with any character that is no white space."""
-    return documents.where(tx.filled(F.col("text")))
+    return stages.spread(documents).where(tx.filled(F.col("text")))
 
 
 def _lines(text):
@@ -112,7 +112,7 @@ def parsed(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
     """The documents' columns but text, with row (a number of their own), filled (whether not blank), quotes
     and n, their count: a table, as texts are parsed once."""
     text = F.coalesce("text", F.lit(""))
-    rows = documents.withColumns(
+    rows = stages.spread(documents).withColumns(
         {
             "row": F.monotonically_increasing_id(), "filled": tx.filled(F.col("text")), "content": F.xxhash64("text"),
             "quotes": quote_array(text, min_quote_words)
@@ -163,7 +163,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def quote_units(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
     """Sentences of enough words, numbered through each corpus."""
-    rows = not_blank(documents).select("corpus_id", "doc_pos", "source_name", "text")
+    rows = documents.where(tx.filled(F.col("text"))).select("corpus_id", "doc_pos", "source_name", "text")
     return numbered(parsed(rows, min_quote_words))
 
 

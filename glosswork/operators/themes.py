@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .. import stages
 from ..functions import display, lexicon, text as tx
 from ..settings import Settings
 
@@ -54,7 +55,7 @@ def keywords(quotes: DataFrame, assignments: DataFrame, idf: DataFrame, limit: i
     """
     own = assignments.select(*KEY, "member_pos", "quote_idx")
     # outer: words are made once, before the filter
-    words = quotes.select("corpus_id", "quote_idx", F.explode_outer(F.array(tx.content_words(F.col("text")))).alias("t"))
+    words = stages.spread(quotes).select("corpus_id", "quote_idx", F.explode_outer(F.array(tx.content_words(F.col("text")))).alias("t"))
     words = words.where(F.size("t") > 0).join(own, ["corpus_id", "quote_idx"])
     inside = words.select(*KEY, F.explode_outer(F.concat("t", tx.grams(F.col("t"), 2, " "), tx.grams(F.col("t"), 3, " "))).alias("keyword"))
     ends = words.select(

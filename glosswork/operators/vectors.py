@@ -20,7 +20,7 @@ def terms(quotes: DataFrame, focus: str = "") -> DataFrame:
         return F.when(F.size(once) == F.size(all_terms), F.transform(once, one)).otherwise(F.transform(once, many))
 
     # outer: else a filter on the whole array is inferred and pushed below, and evaluated again
-    rows = quotes.select("corpus_id", "quote_idx", F.explode_outer(tx.bound(every, counted)).alias("t"))
+    rows = stages.spread(quotes).select("corpus_id", "quote_idx", F.explode_outer(tx.bound(every, counted)).alias("t"))
     return rows.where("t is not null").select("corpus_id", "quote_idx", "t.term", "t.tf")
 
 

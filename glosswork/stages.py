@@ -50,6 +50,18 @@ def write(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df with its rows dealt to all cores where it is small: less than a file split for each core,
+    so that a scan would keep only some of them busy.  Larger and streaming inputs stay as they are."""
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < split * cores else df
+
+
 @contextlib.contextmanager
 def scope():
     """The tables written inside go at its end, also after an error, except those in the list that is given."""
@@ -69,8 +81,9 @@ def scope():
 
 
 def release(df: DataFrame) -> None:
-    """Deletes the table of write() or of a result, once nothing reads it any more."""
-    _delete(df.sparkSession, df.staged_at)
+    """Deletes the table of write() or of a result, once nothing reads it any more; other rows have none."""
+    if path := getattr(df, "staged_at", None):
+        _delete(df.sparkSession, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
