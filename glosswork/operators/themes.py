@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import stages
 from ..functions import display, lexicon, text as tx
 from ..settings import Settings
+from . import ranks
 
 KEYWORDS = 5
 HINT_WEIGHT, PHRASE_WEIGHT = 4.0, 1.75
@@ -114,8 +115,8 @@ def label(words):
 def ranked(rows: DataFrame, key: list[str], settings: Settings) -> DataFrame:
     """rows with quote_rank within each theme: relevance and focus, then place in the sources."""
     rank_score = F.col("relevance") + tx.alignment(F.col("text"), settings.central_theme)
-    order = Window.partitionBy(*key).orderBy(F.desc(F.round(rank_score, 9)), "source_name", "source_line", "quote_id")
-    return rows.withColumn("quote_rank", F.row_number().over(order))
+    order = [F.desc(F.round(rank_score, 9)), F.col("source_name"), F.col("source_line"), F.col("quote_id")]
+    return ranks.numbered(rows, key, order, "quote_rank")
 
 
 def shown(rows: DataFrame, settings: Settings) -> DataFrame:

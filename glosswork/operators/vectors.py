@@ -94,3 +94,51 @@ def best_pair(pairs: DataFrame) -> DataFrame:
     """The most similar pair of each corpus; of equals the first."""
     order = Window.partitionBy("corpus_id").orderBy(F.desc("cos"), "left_idx", "right_idx")
     return pairs.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
+
+
+#: How far below the best known cosine a pair may be and still be looked at: more than the digits compared.
+MARGIN = 2e-6
+
+
+def likely_pairs(vectors: DataFrame) -> DataFrame:
+    """(corpus_id, left_idx, right_idx, cos): few pairs, among them the most similar of each corpus and its ties.
+
+    Equal vectors stand for their first quote, and their first two are a pair.  A lower bound of the best
+    cosine comes from the two heaviest quotes of each term.  Terms are put in order, rare ones first; a
+    quote's last terms are left out of the index as long as what they could add to any cosine, by their
+    length or by each term's greatest weight, stays below the bound.  A pair that reaches it shares a
+    term that both keep, the first they share.
+    """
+    listed = F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("v")
+    packed = vectors.groupBy("corpus_id", "quote_idx").agg(listed)
+    first = packed.groupBy("corpus_id", "v").agg(F.min("quote_idx").alias("quote_idx"), F.count("*").alias("n"))
+    first = stages.write(first)
+    copies = packed.join(first.where("n > 1").select("corpus_id", "v", F.col("quote_idx").alias("left_idx")), ["corpus_id", "v"])
+    copies = copies.where("quote_idx > left_idx").groupBy("corpus_id", "left_idx").agg(F.min("quote_idx").alias("right_idx"))
+    rows = first.select("corpus_id", "quote_idx", F.explode("v").alias("t")).select("corpus_id", "quote_idx", "t.*")
+    terms = rows.groupBy("corpus_id", "term").agg(
+        F.count("*").alias("df"), F.max("weight").alias("most"), F.max(F.struct("weight", "quote_idx")).alias("a")
+    )
+    shared = terms.where("df > 1")
+    rows = stages.write(rows.join(shared, ["corpus_id", "term"]))  # terms of one quote make no pair
+    next_ = rows.where("quote_idx <> a.quote_idx").groupBy("corpus_id", "term").agg(
+        F.max(F.struct("weight", "quote_idx")).alias("b"), F.first("a").alias("a")
+    )
+    lone = next_.select("corpus_id", F.least("a.quote_idx", "b.quote_idx").alias("left_idx"), F.greatest("a.quote_idx", "b.quote_idx").alias("right_idx"))
+    known = _cosines(lone.distinct(), rows).unionByName(copies.withColumn("cos", F.lit(1.0)))
+    known = stages.write(known)
+    bound = known.groupBy("corpus_id").agg((F.max("cos") - MARGIN).alias("bound"))
+    line = Window.partitionBy("corpus_id", "quote_idx").orderBy(F.desc("df"), "term")
+    rest = F.least(F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(line)), F.sum(F.col("weight") * F.col("most")).over(line))
+    index = rows.join(bound, "corpus_id").withColumn("rest", rest).where("rest >= bound").select("corpus_id", "term", "quote_idx")
+    index = stages.write(index)
+    pairs = index.withColumnRenamed("quote_idx", "left_idx").join(index.withColumnRenamed("quote_idx", "right_idx"), ["corpus_id", "term"])
+    pairs = pairs.where("left_idx < right_idx").select("corpus_id", "left_idx", "right_idx").distinct()
+    return _cosines(pairs, rows).unionByName(copies.withColumn("cos", F.lit(1.0)))
+
+
+def _cosines(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    left = rows.select("corpus_id", F.col("quote_idx").alias("left_idx"), "term", F.col("weight").alias("x"))
+    right = rows.select("corpus_id", F.col("quote_idx").alias("right_idx"), "term", F.col("weight").alias("y"))
+    both = pairs.join(left, ["corpus_id", "left_idx"]).join(right, ["corpus_id", "right_idx", "term"])
+    return both.groupBy("corpus_id", "left_idx", "right_idx").agg(F.sum(F.col("x") * F.col("y")).alias("cos"))

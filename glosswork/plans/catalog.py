@@ -174,7 +174,7 @@ def pair_cosine(spark, sf_dir):
 
 
 def best_pair(spark, sf_dir):
-    pairs = _rounded(vec.pair_cosine(_vectors(spark, sf_dir)[2]), "cos", digits=6)
+    pairs = _rounded(vec.likely_pairs(_vectors(spark, sf_dir)[2]), "cos", digits=6)
     return counts(vec.best_pair(pairs), "left_idx", "right_idx")
 
 
