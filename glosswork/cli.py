@@ -24,6 +24,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
     args = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    cores = spark.sparkContext.defaultParallelism
+    if spark.sparkContext.master.startswith("local"):  # a few files on one machine: no more parts than cores
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     documents = files.read_files(spark, [os.path.abspath(x) for x in args.inputs])
     bad = documents.where("error is not null").select("source_name", "error").take(1)
     if bad:

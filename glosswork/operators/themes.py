@@ -163,9 +163,8 @@ def clustered_themes(
         F.count("*").cast("int").alias("quote_count"),
         F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("cos"))), 3).alias("score"), aligned
     )
-    themes = totals.join(evidence(ranked(rows, KEY, settings), KEY, settings), KEY).join(
-        keyword_lists(keywords(quotes, assignments, idf)), KEY, "left"
-    )
+    listed = stages.write(keyword_lists(keywords(quotes, assignments, idf)))
+    themes = totals.join(evidence(ranked(rows, KEY, settings), KEY, settings), KEY).join(listed, KEY, "left")
     words = F.coalesce("keywords", F.array().cast("array<string>"))
     themes = themes.withColumn("keywords", prioritized(words, settings.central_theme, F.col("aligned")))
     number = F.col("cluster_pos")

@@ -155,17 +155,26 @@ CSV_COLUMNS = [
 ]
 
 
-def csv_text(result: DataFrame) -> DataFrame:
-    """(corpus_id, report): header and rows, quoted where needed, quotes doubled."""
-
+def _csv_line() -> Column:
     def cell(c):
         text = F.coalesce(F.col(c).cast("string"), F.lit(""))  # a null is an empty cell
         quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
         return F.when(text.rlike('[",\r\n]'), quoted).otherwise(text)
 
-    rows = csv_rows(result).select(
-        "corpus_id", F.struct("p", "k", F.concat_ws(",", *[cell(c) for c in CSV_COLUMNS]).alias("line")).alias("r")
-    )
+    return F.concat_ws(",", *[cell(c) for c in CSV_COLUMNS])
+
+
+def csv_lines(result: DataFrame) -> DataFrame:
+    """(corpus_id, line_no, line): each corpus's header, then its rows; a line may hold line ends of a cell."""
+    head = result.select("corpus_id", F.lit(-1).alias("p"), F.lit(-1).alias("k"), F.lit(",".join(CSV_COLUMNS)).alias("line"))
+    rows = head.unionByName(csv_rows(result).select("corpus_id", "p", "k", _csv_line().alias("line")))
+    place = F.struct("p", "k")
+    return rows.select("corpus_id", place.alias("line_no"), "line")
+
+
+def csv_text(result: DataFrame) -> DataFrame:
+    """(corpus_id, report): header and rows, quoted where needed, quotes doubled."""
+    rows = csv_rows(result).select("corpus_id", F.struct("p", "k", _csv_line().alias("line")).alias("r"))
     rows = rows.groupBy("corpus_id").agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["line"]).alias("lines"))
     all_ = result.select("corpus_id").join(rows, "corpus_id", "left")
     lines = F.concat(F.array(F.lit(",".join(CSV_COLUMNS))), F.coalesce("lines", F.array().cast("array<string>")))
