@@ -117,6 +117,39 @@ def file_texts(spark, sf_dir):
     return files.decoded(rows).select("path", "text", "error")
 
 
+def _docx(texts):
+    """A document of a paragraph a line, as a word processor packs it."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    import pyarrow as pa
+
+    out = []
+    for text in texts.to_pylist():
+        body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in text.split("\n"))
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{files.WORD[1:-1]}"><w:body>{body}</w:body></w:document>')
+        out.append(packed.getvalue())
+    return pa.array(out, pa.binary())
+
+
+def office_texts(spark, sf_dir):
+    """Turns as DOCX files, or as RTF with all letters beyond ASCII as hex escapes, decoded."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^ -\[\]-z|~\u00a1-\u00ff\n]", "")
+    escaped = lambda c: F.when(
+        c.rlike("[\u00a1-\u00ff]"), F.concat(F.lit("\\'"), F.lower(F.hex(F.encode(c, "ISO-8859-1"))))
+    ).when(c == "\n", "\\par ").otherwise(c)
+    rtf = F.concat(F.lit("{\\rtf1\\ansi{\\info x} "), F.array_join(F.transform(F.split(plain, ""), escaped), ""), F.lit("}"))
+    word, docx = F.col("turn") % 2 == 0, F.arrow_udf(_docx, "binary")
+    rows = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("_", F.lit("conv"), "conv_id", F.concat(F.col("turn").cast("string"), F.when(word, ".docx").otherwise(".RTF"))).alias("path"),
+        F.when(word, docx(plain)).otherwise(F.encode(rtf, "UTF-8")).alias("content")
+    )
+    return files.decoded(rows).select("path", "text", "error")
+
+
 # --- tokens, terms, vectors
 
 
@@ -283,6 +316,17 @@ def theme_order(spark, sf_dir):
     )
 
 
+def focused_themes(spark, sf_dir):
+    """Themes in order of the focus: labels and keywords that it leads, the best quotes by it."""
+    q, idf, w, a = _themed(spark, sf_dir, FOCUS)
+    t = th.ordered(th.clustered_themes(q, a, idf, stages.write(vec.relevance(w, a)), SETTINGS), SETTINGS)
+    shown = F.array_join(F.transform("quotes", lambda x: x["quote_id"]), ",").alias("shown")
+    return counts(
+        t.select("corpus_id", "theme_pos", "id", "name", F.array_join("keywords", "; ").alias("keywords"), "quote_count", "score", shown),
+        "theme_pos", "quote_count"
+    )
+
+
 def theme_ids_colors(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("bigint").alias("number")).distinct()
     return rows.select(
@@ -485,7 +529,7 @@ QUERIES = {
     for f in (
         flagship, file_texts, doc_lines, turn_segments, document_segments, sentence_units, quote_units, document_quotes, token_stream, token_freq, stopword_filtered, ngram_terms, idf_terms,
         tfidf_weights, vector_l1, pair_cosine, best_pair, group_centroid, quote_relevance, theme_cohesion, group_keywords, focused_keywords, hint_labels, ranked_quotes, top_n_quotes,
-        theme_validation, theme_order, theme_ids_colors, codebook_gate, codebook_matches, codebook_themes, focus_alignment, focus_augmented, normalized_text, validation_text,
+        theme_validation, theme_order, focused_themes, office_texts, theme_ids_colors, codebook_gate, codebook_matches, codebook_themes, focus_alignment, focus_augmented, normalized_text, validation_text,
         theme_row_label, status_text, percent_text, file_selection, farthest_seeds, bounded_clusters, agglomerative_clusters, merged_clusters, scalable_clusters, theme_analysis,
         document_themes, quotes_csv_rows, result_csv, result_json, markdown_lines, theme_list, theme_detail, corpus_summary,
     )

@@ -211,6 +211,25 @@ def all(focus, codebook, settings) -> dict[str, str]:
         printf('T%02d', cluster_pos) AS id, row_number() OVER (PARTITION BY s.corpus_id ORDER BY quote_count DESC, score DESC,
             coalesce(label, 'Emerging Theme'), cluster_pos) AS theme_pos
         FROM sizes s LEFT JOIN labels USING (corpus_id, cluster_pos) JOIN shown USING (corpus_id, cluster_pos))""")
+    first = listed(tx.python_words(focus))
+    focused = chain(CONV, focus, ranked(focus, settings.quotes_per_theme)) + f""",
+    al AS (SELECT corpus_id, cluster_pos, max({aligned('text', focus)}) AS al FROM quotes JOIN assigned USING (corpus_id, quote_idx) GROUP BY 1, 2),
+    pk AS (SELECT corpus_id, cluster_pos, al, CASE WHEN al > 0 THEN ({first} || list_filter(coalesce(ks, []),
+        lambda x: NOT list_contains({first}, x)))[1:5] ELSE coalesce(ks, []) END AS ks FROM al LEFT JOIN lists_k USING (corpus_id, cluster_pos)),
+    lab AS (SELECT *, coalesce({hinted()}, nullif({title()}, ''), 'Emerging Theme') AS label FROM pk),
+    best AS (SELECT corpus_id, cluster_pos, string_agg(quote_id, ',' ORDER BY quote_rank) AS shown, string_agg(q.text, ' ' ORDER BY quote_rank) AS said
+        FROM ranked r JOIN quotes q USING (corpus_id, quote_id) WHERE quote_rank <= {settings.quotes_per_theme} GROUP BY 1, 2),
+    sizes AS (SELECT corpus_id, cluster_pos, count(*) AS quote_count, round(greatest(0.0, least(1.0, avg(cos))), 3) AS score
+        FROM relevance GROUP BY 1, 2),
+    whole AS (SELECT *, label || ' ' || array_to_string(ks, ' ') || ' ' || said AS everything
+        FROM sizes JOIN lab USING (corpus_id, cluster_pos) JOIN best USING (corpus_id, cluster_pos))
+    SELECT corpus_id, row_number() OVER (PARTITION BY corpus_id ORDER BY round({aligned('everything', focus)}, 9) DESC, quote_count DESC,
+            score DESC, label, cluster_pos) AS theme_pos, printf('T%02d', cluster_pos) AS id, label AS name,
+        array_to_string(ks, '; ') AS keywords, quote_count, score, shown FROM whole"""
+    office = r"""WITH c AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^ -\[\]-z|~\x{00a1}-\x{00ff}\n]', '', 'g') AS t FROM conversations)
+        SELECT 'conv_' || conv_id || '_' || turn || CASE WHEN turn % 2 = 0 THEN '.docx' ELSE '.RTF' END AS path,
+            array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))),
+                lambda x: x <> ''), chr(10)) AS text, CAST(NULL AS VARCHAR) AS error FROM c"""
     v = "evidence_count"
     written = f"'evidence=' || {v} || ', sources=' || source_count || ', speakers=' || speaker_count || ', central alignment=' || central_theme_alignment || ', status=' || review_status"
     screen = f"'Evidence ' || {v} || ' | Sources ' || source_count || ' | Speakers ' || speaker_count || ' | Focus ' || {percent('central_theme_alignment')} || ' | ' || review_status"
@@ -263,6 +282,8 @@ def all(focus, codebook, settings) -> dict[str, str]:
         "top_n_quotes": f"{rank} SELECT {cols} FROM ranked WHERE quote_rank <= {settings.quotes_per_theme}",
         "theme_validation": f"{rank} SELECT * FROM valid",
         "theme_order": f"{themes} SELECT corpus_id, theme_pos, id, name, quote_count, score FROM themes",
+        "focused_themes": focused,
+        "office_texts": office,
         "theme_ids_colors": f"SELECT DISTINCT CAST(o_custkey AS BIGINT) AS number, printf('T%02d', CAST(o_custkey AS BIGINT)) AS theme_id, {color('o_custkey')} AS color FROM orders",
         "codebook_gate": rf"""{docs} SELECT corpus_id, bool_or(len(list_filter({listed(lexicon.CONTEXT_TERMS)}, lambda t: contains({norm('text')}, t))) > 0)
             AND bool_or(regexp_matches(text, '(?i)\b4[-\s]?h\b')) AS gate FROM quotes GROUP BY 1""",
