@@ -1,11 +1,10 @@
 """Suffix-array dedup: bytes of 50-byte strings that also start in an earlier document.
 
-Suffixes are grouped by their first WIDTH bytes.  A difference cover of period 31 (six places of
+What is built is not a suffix array: suffixes are brought together by a 64-bit hash of their first
+WIDTH bytes, not put in order, and no ranks are made.  A difference cover of period 31 (six places of
 31) is sampled first: cover-sample strings are grouped globally, which settles every suffix whose
-aligned sample has no company in another document.  The suffixes that are left are then sorted
-blockwise, one bucket at a time, and only one bucket's suffixes are on disk together.  Suffixes
-are ordered by a hash of the first WIDTH bytes rather than by the bytes themselves, as only ties
-of that length matter here.
+aligned sample has no company in another document.  The suffixes that are left are then grouped
+one range of hashes at a time, and only one range's suffixes are on disk together.
 
 Defined cases: null text counts as empty; texts are judged as UTF-8 bytes and matches never cross
 documents; documents with equal ids don't remove from each other; a null doc_id comes after all

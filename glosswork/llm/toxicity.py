@@ -22,8 +22,8 @@ from . import kernel, shared
 #: Rows of the learning sample: the labelled rows with the smallest hash of doc_id, half of them
 #: toxic where there are as many.
 SAMPLE_ROWS = 5_000
-#: Features of the sample at most, 4 bytes each on the driver; rows beyond them, in the same order,
-#: are left out of the sample (one row is always taken).
+#: Features of the sample at most, 4 bytes each on the driver.  Parts of the sample are read one by one, by id
+#: within a part, until it is full; the rows behind are left out, of whichever label (one row is always taken).
 SAMPLE_FEATURES = 25_000_000
 BITS = 20
 CHUNK = 2 << 20
