@@ -127,20 +127,27 @@ def shown(rows: DataFrame, settings: Settings) -> DataFrame:
 QUOTE = ["quote_id", "speaker", "text", "relevance", "source_line", "source_name"]
 
 
-def evidence(rows: DataFrame, key: list[str], settings: Settings) -> DataFrame:
-    """By theme: the shown quotes, in order, and the counts of its validation."""
+def focus_flags(text, focus: str) -> list:
+    """For each focus word whether a text contains it, 1 or 0."""
+    normal = tx.normalize_for_match(text)
+    return [F.contains(normal, F.lit(tx.match_form(t))).cast("int") for t in tx.python_words(focus)]
+
+
+def evidence(rows: DataFrame, key: list[str], settings: Settings, listed: bool = True) -> DataFrame:
+    """By theme: the shown quotes, in order (none without listed), the counts of its validation, and found,
+    which focus words the shown quotes have."""
     some = shown(rows, settings)
-    terms = tx.python_words(settings.central_theme)
     # the shown text has a focus word if one of its quotes has: words hold no space
-    found = [F.max(F.contains(tx.normalize_for_match(F.col("text")), F.lit(tx.match_form(t))).cast("int")) for t in terms]
-    aligned = F.round(sum(found, F.lit(0)) / float(len(terms)), 3) if terms else F.max(F.lit(0.0))
-    listed = F.sort_array(F.collect_list(F.struct("quote_rank", F.struct(*QUOTE).alias("q"))))
+    flags = [F.max(f) for f in focus_flags(F.col("text"), settings.central_theme)]
+    aligned = F.round(sum(flags, F.lit(0)) / float(len(flags)), 3) if flags else F.max(F.lit(0.0))
+    quote = F.struct("quote_rank", F.struct(*QUOTE).alias("q"))
+    quotes = F.sort_array(F.collect_list(quote if listed else F.when(F.lit(False), quote)))
     return some.groupBy(*key).agg(
-        F.transform(listed, lambda s: s["q"]).alias("quotes"),
+        F.transform(quotes, lambda s: s["q"]).alias("quotes"),
         F.count("*").cast("int").alias("displayed_quote_count"),
         F.count_distinct("source_name").cast("int").alias("source_count"),
         F.count_distinct("speaker").cast("int").alias("speaker_count"),
-        aligned.alias("central_theme_alignment"),
+        aligned.alias("central_theme_alignment"), F.array(*flags).cast("array<int>").alias("found")
     )
 
 
@@ -153,18 +160,24 @@ def validation(evidence_count):
     )
 
 
+def clustered_rows(quotes: DataFrame, relevance: DataFrame, settings: Settings) -> DataFrame:
+    """The quotes of every cluster, ranked: quotes' columns, KEY, cos, relevance, quote_rank."""
+    rows = relevance.join(quotes, ["corpus_id", "quote_idx"]).withColumn("relevance", F.round("cos", 3))
+    return ranked(rows, KEY, settings)
+
+
 def clustered_themes(
-    quotes: DataFrame, assignments: DataFrame, idf: DataFrame, relevance: DataFrame, settings: Settings
+    quotes: DataFrame, assignments: DataFrame, idf: DataFrame, rows: DataFrame, settings: Settings, listed_quotes: bool = True
 ) -> DataFrame:
-    """Themes of clusters: corpus_id, number, id, name, color, keywords, quote_count, score, quotes, validation."""
-    rows = relevance.join(quotes, ["corpus_id", "quote_idx"]).withColumn("relevance", F.round("cos", 3))
+    """Themes of clusters: corpus_id, number, id, name, color, keywords, quote_count, score, quotes, validation,
+    found.  rows: clustered_rows().  Without listed_quotes, quotes are empty lists."""
     aligned = F.max(tx.alignment(F.col("text"), settings.central_theme)).alias("aligned")
     totals = rows.groupBy(*KEY).agg(
         F.count("*").cast("int").alias("quote_count"),
         F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("cos"))), 3).alias("score"), aligned
     )
     listed = stages.write(keyword_lists(keywords(quotes, assignments, idf)))
-    themes = totals.join(evidence(ranked(rows, KEY, settings), KEY, settings), KEY).join(listed, KEY, "left")
+    themes = totals.join(evidence(rows, KEY, settings, listed_quotes), KEY).join(listed, KEY, "left")
     words = F.coalesce("keywords", F.array().cast("array<string>"))
     themes = themes.withColumn("keywords", prioritized(words, settings.central_theme, F.col("aligned")))
     number = F.col("cluster_pos")
@@ -172,13 +185,19 @@ def clustered_themes(
         "corpus_id", number.alias("number"), F.format_string("T%02d", number).alias("id"), label(
             F.col("keywords")
         ).alias("name"), display.theme_color(number).alias("color"),
-        "keywords", "quote_count", "score", "quotes", validation(F.col("quote_count")).alias("validation"),
+        "keywords", "quote_count", "score", "quotes", validation(F.col("quote_count")).alias("validation"), "found",
     )
 
 
-def codebook_themes(matched: DataFrame, settings: Settings) -> DataFrame:
-    """Themes of frames, same columns; only the first theme_count frames that matched are kept."""
-    key = ["corpus_id", "frame_pos"]
+FRAME_KEY = ["corpus_id", "frame_pos"]
+
+
+def codebook_themes(matched: DataFrame, settings: Settings, listed_quotes: bool = True) -> DataFrame:
+    """Themes of frames, same columns; only the first theme_count frames that matched are kept.
+
+    matched: codebook.matches(), with quote_rank if they are ranked already."""
+    key = FRAME_KEY
+    rows = matched if "quote_rank" in matched.columns else ranked(matched, key, settings)
     mean = F.avg(F.col("relevance").cast("decimal(10,3)")).cast("double")
     totals = matched.groupBy(*key).agg(
         F.count("*").cast("int").alias("quote_count"), F.round(mean, 3).alias("score"), F.first("frame_name").alias("name"), F.first(
@@ -187,23 +206,21 @@ def codebook_themes(matched: DataFrame, settings: Settings) -> DataFrame:
     )
     first = F.row_number().over(Window.partitionBy("corpus_id").orderBy("frame_pos"))
     totals = totals.withColumn("__k", first).where(F.col("__k") <= max(1, settings.theme_count))
-    themes = totals.join(evidence(ranked(matched, key, settings), key, settings), key)
+    themes = totals.join(evidence(rows, key, settings, listed_quotes), key)
     number = F.col("frame_pos")
     return themes.select(
         "corpus_id", number.alias("number"), F.format_string(
             "C%02d", number
         ).alias("id"), "name", display.theme_color(number).alias("color"), "keywords", "quote_count", "score",
-        "quotes", validation(F.col("quote_count")).alias("validation"),
+        "quotes", validation(F.col("quote_count")).alias("validation"), "found",
     )
 
 
 def ordered(themes: DataFrame, settings: Settings) -> DataFrame:
     """themes with theme_pos: by focus, size, score, name, number."""
-    focus = F.lit(0.0)
-    if settings.central_theme.strip():
-        whole = F.concat_ws(
-            " ", "name", F.array_join("keywords", " "), F.array_join(F.transform("quotes", lambda q: q["text"]), " ")
-        )
-        focus = F.round(tx.alignment(whole, settings.central_theme), 9)
+    # a focus word counts if the name, a keyword or a shown quote has it: words hold no space
+    flags = focus_flags(F.concat_ws(" ", "name", F.array_join("keywords", " ")), settings.central_theme)
+    either = [F.greatest(f, F.get("found", F.lit(i))) for i, f in enumerate(flags)]
+    focus = F.round(sum(either, F.lit(0)) / float(len(flags)), 9) if flags else F.lit(0.0)
     order = Window.partitionBy("corpus_id").orderBy(F.desc(focus), F.desc("quote_count"), F.desc("score"), "name", "number")
-    return themes.withColumn("theme_pos", F.row_number().over(order))
+    return themes.withColumn("theme_pos", F.row_number().over(order)).drop("found")

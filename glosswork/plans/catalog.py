@@ -275,8 +275,7 @@ def hint_labels(spark, sf_dir):
 
 def _ranked(spark, sf_dir, settings=SETTINGS):
     q, _, w, a = _themed(spark, sf_dir, FOCUS)
-    rows = vec.relevance(w, a).join(q, ["corpus_id", "quote_idx"]).withColumn("relevance", F.round("cos", 3))
-    return th.ranked(rows, ["corpus_id", "cluster_pos"], settings)
+    return th.clustered_rows(q, vec.relevance(w, a), settings)
 
 
 RANKED = ["corpus_id", "cluster_pos", "quote_rank", "quote_id", "speaker", "source_name", "source_line", "relevance"]
@@ -294,7 +293,7 @@ def theme_validation(spark, sf_dir):
     rows = _ranked(spark, sf_dir)
     key = ["corpus_id", "cluster_pos"]
     out = rows.groupBy(*key).agg(F.count("*").alias("evidence_count")).join(
-        th.evidence(rows, key, SETTINGS).drop("quotes"), key
+        th.evidence(rows, key, SETTINGS, False).drop("quotes", "found"), key
     )
     return counts(
         out.withColumn("review_status", F.lit(lexicon.REVIEW_STATUS)), "cluster_pos", "displayed_quote_count", "source_count",
@@ -304,7 +303,8 @@ def theme_validation(spark, sf_dir):
 
 def _speaker_themes(spark, sf_dir):
     q, idf, w, a = _themed(spark, sf_dir)
-    return th.ordered(th.clustered_themes(q, a, idf, stages.write(vec.relevance(w, a)), Settings(quotes_per_theme=2)), Settings())
+    s = Settings(quotes_per_theme=2)
+    return th.ordered(th.clustered_themes(q, a, idf, stages.write(th.clustered_rows(q, vec.relevance(w, a), s)), s), Settings())
 
 
 def theme_order(spark, sf_dir):
@@ -319,7 +319,8 @@ def theme_order(spark, sf_dir):
 def focused_themes(spark, sf_dir):
     """Themes in order of the focus: labels and keywords that it leads, the best quotes by it."""
     q, idf, w, a = _themed(spark, sf_dir, FOCUS)
-    t = th.ordered(th.clustered_themes(q, a, idf, stages.write(vec.relevance(w, a)), SETTINGS), SETTINGS)
+    rows = stages.write(th.clustered_rows(q, vec.relevance(w, a), SETTINGS))
+    t = th.ordered(th.clustered_themes(q, a, idf, rows, SETTINGS), SETTINGS)
     shown = F.array_join(F.transform("quotes", lambda x: x["quote_id"]), ",").alias("shown")
     return counts(
         t.select("corpus_id", "theme_pos", "id", "name", F.array_join("keywords", "; ").alias("keywords"), "quote_count", "score", shown),

@@ -91,21 +91,41 @@ def nodes_of(plan):
 
 
 def test_an_analysis_runs_in_small_plans_and_leaves_nothing(spark, monkeypatch):
-    sizes, write = [], stages.write
+    sizes, paths, write = [], [], stages.write
 
     def seen(df):
         sizes.append(nodes_of(df._jdf.queryExecution().executedPlan()))
-        return write(df)
+        out = write(df)
+        paths.append(out.staged_at)
+        return out
 
     monkeypatch.setattr(stages, "write", seen)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(stages.folder(spark))
-    tables = lambda: {s.getPath().toString() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder) if "/stage-" in s.getPath().toString()}
-    before, cached = tables(), spark._jsc.getPersistentRDDs().size()
-    for k in range(3):
+
+    def there():
+        at = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+        return [p for p, a in zip(paths, at) if a.getFileSystem(spark._jsc.hadoopConfiguration()).exists(a)]
+
+    cached = spark._jsc.getPersistentRDDs().size()
+    for k in range(2):
         result = analysis.analyze(catalog.conversations(spark, SF), Settings(theme_count=3, quotes_per_theme=2, agglomerative_limit=5 + 200 * k))
         assert result.count() == 20 and result.where("size(themes) > 0").count() > 10
-        assert len(tables() - before) == 1
+        assert len(paths) > 10 and there() == [result.staged_at]
         analysis.release(result)
-        assert tables() == before
+        assert there() == []
     assert spark._jsc.getPersistentRDDs().size() == cached
     assert max(sizes) < 100, sorted(sizes)
+
+
+def test_evidence_is_a_table_beside_the_result(spark):
+    texts = {"camp": "Aunt: He was diagnosed with autism last winter, yet 4-H camp became his favourite week. The siren was too loud and everyone talked at once."}
+    rows = [("camp", 0, "camp.txt", texts["camp"])] + [r for r in map(tuple, catalog.conversations(spark, SF).limit(30).collect())]
+    docs = spark.createDataFrame(rows, "corpus_id string, doc_pos long, source_name string, text string")
+    for s in (Settings(theme_count=2, central_theme="thin erth"), Settings(theme_count=2, quotes_per_theme=2)):
+        whole = analysis.analyze(docs, s)
+        result, evidence = analysis.analyze_tables(docs, s)
+        listed = {(r.corpus_id, t.id, i + 1, *q) for r in whole.collect() for t in r.themes for i, q in enumerate(t.quotes)}
+        assert {tuple(r) for r in evidence.collect()} == listed and {x[1][0] for x in listed} == {"C", "T"}
+        bare = [[t.asDict(True) | {"quotes": []} for t in r.themes] for r in whole.orderBy("corpus_id").collect()]
+        assert bare == [[t.asDict(True) for t in r.themes] for r in result.orderBy("corpus_id").collect()]
+        for table in (whole, result, evidence):
+            analysis.release(table)
