@@ -151,8 +151,19 @@ def numbered(docs: DataFrame) -> DataFrame:
     begin = counts.withColumn("docs_before", so_far("n", order))
     begin = begin.join(runs, F.col("corpus_id").eqNullSafe(F.col("c")) & F.col("run").eqNullSafe(F.col("r")))
     begin = begin.select("row", (F.col("before") + F.col("docs_before")).alias("before"))
-    rows = docs.select("row", "corpus_id", "doc_pos", "source_name", "quotes").join(begin, "row")
-    rows = rows.select("corpus_id", "doc_pos", "source_name", "before", F.posexplode_outer("quotes").alias("p", "q"))
+    return _exploded(docs.select("row", "corpus_id", "doc_pos", "source_name", "quotes").join(begin, "row"))
+
+
+def numbered_in_place(docs: DataFrame) -> DataFrame:
+    """numbered() of documents that are dealt by corpus, where a task holds a whole corpus: nothing is shuffled."""
+    order = Window.partitionBy("corpus_id").orderBy("doc_pos", "source_name", "content", "row")
+    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return _exploded(docs.where("n > 0").withColumn("before", F.coalesce(before, F.lit(0))))
+
+
+def _exploded(docs: DataFrame) -> DataFrame:
+    """The quotes of documents, with their numbers; before: how many come earlier in the corpus."""
+    rows = docs.select("corpus_id", "doc_pos", "source_name", "before", F.posexplode_outer("quotes").alias("p", "q"))
     rows = rows.withColumn("quote_idx", (F.col("before") + F.col("p") + 1).cast("int"))
     return rows.select(
         "corpus_id", "doc_pos", "q.seg_pos", "quote_idx", quote_id(
@@ -161,10 +172,14 @@ def numbered(docs: DataFrame) -> DataFrame:
     )
 
 
+def parsed_filled(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
+    """parsed() of the documents that are not blank."""
+    return parsed(documents.where(tx.filled(F.col("text"))).select("corpus_id", "doc_pos", "source_name", "text"), min_quote_words)
+
+
 def quote_units(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
     """Sentences of enough words, numbered through each corpus."""
-    rows = documents.where(tx.filled(F.col("text"))).select("corpus_id", "doc_pos", "source_name", "text")
-    return numbered(parsed(rows, min_quote_words))
+    return numbered(parsed_filled(documents, min_quote_words))
 
 
 def quote_id(number):
