@@ -122,9 +122,14 @@ def rank_order(settings: Settings) -> list:
     return [F.desc(F.round(rank_score, 9)), F.col("source_name"), F.col("source_line"), F.col("quote_id")]
 
 
+def is_shown(settings: Settings):
+    """Whether a ranked quote is one of the best of its theme; all are, if no number is set."""
+    return F.col("quote_rank") <= settings.quotes_per_theme if settings.quotes_per_theme > 0 else F.lit(True)
+
+
 def shown(rows: DataFrame, settings: Settings) -> DataFrame:
     """The best quotes of each theme, or all."""
-    return rows.where(F.col("quote_rank") <= settings.quotes_per_theme) if settings.quotes_per_theme > 0 else rows
+    return rows.where(is_shown(settings)) if settings.quotes_per_theme > 0 else rows
 
 
 QUOTE = ["quote_id", "speaker", "text", "relevance", "source_line", "source_name"]
