@@ -111,14 +111,26 @@ RUN = 4096
 def parsed(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
     """The documents' columns but text, with row (a number of their own), filled (whether not blank), quotes
     and n, their count: a table, as texts are parsed once."""
-    text = F.coalesce("text", F.lit(""))
-    rows = stages.spread(documents).withColumns(
+    return _counted(stages.write(_parsed(stages.spread(documents), min_quote_words)))
+
+
+def parsed_in_place(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
+    """parsed() where the documents are: no table, so texts are parsed again by each that reads it."""
+    return _counted(_parsed(documents, min_quote_words))
+
+
+def _parsed(documents: DataFrame, min_quote_words: int) -> DataFrame:
+    # row: also keeps filters on the quotes from being pushed below, where texts would be parsed again for them
+    return documents.withColumns(
         {
             "row": F.monotonically_increasing_id(), "filled": tx.filled(F.col("text")), "content": F.xxhash64("text"),
-            "quotes": quote_array(text, min_quote_words)
+            "quotes": quote_array(F.coalesce("text", F.lit("")), min_quote_words)
         }
-    )
-    return stages.write(rows.drop("text")).withColumn("n", F.size("quotes").cast("long"))
+    ).drop("text")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n", F.size("quotes").cast("long"))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -172,9 +184,14 @@ def _exploded(docs: DataFrame) -> DataFrame:
     )
 
 
+def filled(documents: DataFrame) -> DataFrame:
+    """The documents that are not blank."""
+    return documents.where(tx.filled(F.col("text"))).select("corpus_id", "doc_pos", "source_name", "text")
+
+
 def parsed_filled(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:
     """parsed() of the documents that are not blank."""
-    return parsed(documents.where(tx.filled(F.col("text"))).select("corpus_id", "doc_pos", "source_name", "text"), min_quote_words)
+    return parsed(filled(documents), min_quote_words)
 
 
 def quote_units(documents: DataFrame, min_quote_words: int = 4) -> DataFrame:

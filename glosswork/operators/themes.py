@@ -142,21 +142,28 @@ def focus_flags(text, focus: str) -> list:
 
 
 def evidence(rows: DataFrame, key: list[str], settings: Settings, listed: bool = True) -> DataFrame:
-    """By theme: the shown quotes, in order (none without listed), the counts of its validation, and found,
-    which focus words the shown quotes have."""
-    some = shown(rows, settings)
+    """By theme: the columns of of_shown()."""
+    return shown(rows, settings).groupBy(*key).agg(*of_shown(settings, listed))
+
+
+def of_shown(settings: Settings, listed: bool = True) -> list:
+    """Of all ranked quotes of a theme: the shown ones, in order (none without listed), the counts of its validation, and
+    found, which focus words the shown quotes have."""
+    own = lambda c: F.when(is_shown(settings), c)
     # the shown text has a focus word if one of its quotes has: words hold no space
-    flags = [F.max(f) for f in focus_flags(F.col("text"), settings.central_theme)]
+    flags = [F.max(own(f)) for f in focus_flags(F.col("text"), settings.central_theme)]
     aligned = F.round(sum(flags, F.lit(0)) / float(len(flags)), 3) if flags else F.max(F.lit(0.0))
     quote = F.struct("quote_rank", F.struct(*QUOTE).alias("q"))
-    quotes = F.sort_array(F.collect_list(quote if listed else F.when(F.lit(False), quote)))
-    return some.groupBy(*key).agg(
+    quotes = F.sort_array(F.collect_list(own(quote) if listed else F.when(F.lit(False), quote)))
+    # a set of as many as are shown; without such a number rows are sent to be counted, as a set may be too large
+    distinct = (lambda c: F.size(F.collect_set(own(c)))) if settings.quotes_per_theme > 0 else F.count_distinct
+    return [
         F.transform(quotes, lambda s: s["q"]).alias("quotes"),
-        F.count("*").cast("int").alias("displayed_quote_count"),
-        F.count_distinct("source_name").cast("int").alias("source_count"),
-        F.count_distinct("speaker").cast("int").alias("speaker_count"),
+        F.count_if(is_shown(settings)).cast("int").alias("displayed_quote_count"),
+        distinct(F.col("source_name")).cast("int").alias("source_count"),
+        distinct(F.col("speaker")).cast("int").alias("speaker_count"),
         aligned.alias("central_theme_alignment"), F.array(*flags).cast("array<int>").alias("found")
-    )
+    ]
 
 
 def validation(evidence_count):
@@ -185,25 +192,43 @@ def dealt_rows(clustered: DataFrame, columns: list[str], settings: Settings) ->
 def of_clusters(dealt: DataFrame, large: DataFrame | None, clusters, columns: list[str], settings: Settings, weighed=None) -> tuple[DataFrame, DataFrame]:
     """The ranked rows of all clusters and their keyword_lists(), each a table.  dealt: clustered quotes by corpus;
     clusters: gives the assignments of the quotes in large (see bycorpus.apart()); weighed: their vectors, if known."""
-    rows = dealt_rows(dealt, columns, settings)
-    found = best_keywords(bycorpus.keyword_counts(dealt, settings.central_theme))
+    rows, found = dealt_rows(dealt, columns, settings), dealt_keywords(dealt, settings)
     if large is not None:
-        idf, weights = weighed or vec.weigh(large, settings.central_theme)
-        a = clusters(large)
-        rows = rows.unionByName(clustered_rows(large, stages.write(vec.relevance(weights, a)), settings).select(*rows.columns))
-        found = found.unionByName(keywords(large, a, idf))
+        more = of_large(large, clusters(large), settings, weighed)
+        rows, found = rows.unionByName(more[0].select(*rows.columns)), found.unionByName(more[1])
     return stages.write(rows), stages.write(keyword_lists(found))
 
 
-def clustered_themes(rows: DataFrame, listed: DataFrame, settings: Settings, listed_quotes: bool = True) -> DataFrame:
+def dealt_keywords(dealt: DataFrame, settings: Settings) -> DataFrame:
+    """keywords() of clustered quotes that are dealt by corpus."""
+    return best_keywords(bycorpus.keyword_counts(dealt, settings.central_theme))
+
+
+def of_large(large: DataFrame, assigned: DataFrame, settings: Settings, weighed=None) -> tuple[DataFrame, DataFrame]:
+    """clustered_rows() and keywords() of quotes by joins."""
+    idf, weights = weighed or vec.weigh(large, settings.central_theme)
+    return clustered_rows(large, stages.write(vec.relevance(weights, assigned)), settings), keywords(large, assigned, idf)
+
+
+def clustered_themes(
+    rows: DataFrame, listed: DataFrame, settings: Settings, listed_quotes: bool = True, dealt: bool = False
+) -> DataFrame:
     """Themes of clusters: corpus_id, number, id, name, color, keywords, quote_count, score, quotes, validation,
-    found.  rows and listed: of_clusters().  Without listed_quotes, quotes are empty lists."""
+    found.  rows and listed: of_clusters().  Without listed_quotes, quotes are empty lists.  dealt: both are still dealt
+    by corpus, as no tables are."""
     aligned = F.max(tx.alignment(F.col("text"), settings.central_theme)).alias("aligned")
-    totals = rows.groupBy(*KEY).agg(
+    # one pass: rows that are no table are not made again for the shown ones
+    themes = rows.groupBy(*KEY).agg(
         F.count("*").cast("int").alias("quote_count"),
-        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("cos"))), 3).alias("score"), aligned
+        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("cos"))), 3).alias("score"), aligned,
+        *of_shown(settings, listed_quotes)
     )
-    themes = totals.join(evidence(rows, KEY, settings, listed_quotes), KEY).join(listed, KEY, "left")
+    if dealt:  # joined by the corpus alone: both keys would have the themes shuffled with their quotes
+        words = F.map_from_entries(F.collect_list(F.struct("cluster_pos", "keywords")))
+        themes = themes.join(listed.groupBy("corpus_id").agg(words.alias("words")), "corpus_id", "left")
+        themes = themes.withColumn("keywords", F.try_element_at("words", F.col("cluster_pos"))).drop("words")
+    else:
+        themes = themes.join(listed, KEY, "left")
     words = F.coalesce("keywords", F.array().cast("array<string>"))
     themes = themes.withColumn("keywords", prioritized(words, settings.central_theme, F.col("aligned")))
     number = F.col("cluster_pos")
